@@ -45,10 +45,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rank_pairs(rows: DataFrame, first: str, second: str, name: str) -> DataFrame:
-    """Order-preserving rank of (first, second) among the distinct pairs, joined back."""
-    pairs = rows.groupBy(first, second).agg(F.lit(1).alias("_one")).drop("_one")
-    ranked = global_index(pairs, [first, second], name)
-    return rows.join(ranked, [first, second]).drop(first, second)
+    """Order-preserving rank of (first, second) among the distinct pairs, joined back; null where one of them is."""
+    pairs = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(first, second).agg(F.lit(1).alias("_one"))
+    ranked = global_index(pairs.drop("_one"), [first, second], name)
+    return rows.join(ranked, [first, second], "left").drop(first, second)
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -77,9 +77,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     while length * 2 <= longest:
         here, ahead_ = f"r{length}", f"_next{length}"
         follow = ranked.select("key", (F.col("pos") - length).alias("pos"), F.col(here).alias(ahead_))
-        paired = ranked.join(follow, ["key", "pos"], "left").withColumn(ahead_, F.coalesce(ahead_, F.lit(-1).cast("long")))
+        # no line follows, or one without a second copy: no run of this length starts here that repeats
+        paired = ranked.join(follow, ["key", "pos"], "left")
         pair_rank = _rank_pairs(paired.withColumn("_a", F.col(here)), "_a", ahead_, f"r{length * 2}")
-        # a suffix that ends before the length has no rank for it
         ranked, length = stage(pair_rank), length * 2
     runs = ranked.select("key", "id", "pos", F.col("m").alias("size"), *[f"r{1 << b}" for b in range(length.bit_length())]).where("size is not null")
     ends = ranked.where("k is not null").select("key", (F.col("pos") - F.col("k") + 1).alias("pos"), F.col("k").alias("size"))
@@ -93,6 +93,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
             here.withColumn("_end", F.col("pos") + F.col("size") - width)
             .join(tail, ["key", "_end"])
             .select("key", "id", "pos", "size", F.col(f"r{width}").alias("head"), "tail")
+            .where("head is not null and tail is not null")
         )
     named = stage(reduce(DataFrame.unionByName, named))
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("key").alias("k"), F.col("pos").alias("p"))
