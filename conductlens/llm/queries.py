@@ -18,6 +18,12 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conductlens.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"), width=400).drop("spans")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conductlens.llm.mixing import mix_sources
 
@@ -70,7 +76,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_toxicity, op5_line_dedup, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_sharding, op10_ann)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op4_toxicity, op5_line_dedup, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_sharding, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
