@@ -31,6 +31,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conductlens.llm.sentencepiece_lattice import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conductlens.llm.toxicity import score_toxicity
 
@@ -76,7 +82,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op4_toxicity, op5_line_dedup, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_sharding, op10_ann)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_sharding, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
