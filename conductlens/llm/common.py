@@ -43,9 +43,9 @@ def ascii_lower(column):
     return F.translate(column, UPPER, UPPER.lower())
 
 
-def rows_estimate(df: DataFrame) -> int:
-    """Row count, an action; used to size partitions and to end loops."""
-    return df.count()
+def row_key(id_col: str, text_col: str):
+    """Hash of a row's id and text, by which an operator's decisions find their rows; never null."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def partitions(spark: SparkSession) -> int:

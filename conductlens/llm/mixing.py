@@ -25,7 +25,6 @@ last in order; a source of size 0 has target 0; documents of size 0 are taken
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.llm.common import stage
+from conductlens.llm.common import row_key, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
@@ -140,7 +139,7 @@ def mix_sources(
     most: float = 3.0,
     block_rows: int = 20_000,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken.
+    """One row per document: id, source, size, source_size, target, copies, taken, key.
 
     ``taken`` counts the words of whole copies and of the at most two partly
     taken documents per source; ``copies`` are whole copies only.
@@ -150,6 +149,7 @@ def mix_sources(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            row_key(id_col, text_col).alias("row_key"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
@@ -192,4 +192,5 @@ def mix_sources(
         "target",
         (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies"),
         (F.col("sure") * F.col("size") + F.floor(F.coalesce("share", F.lit(0.0)) * F.col("size") + 0.5)).cast("long").alias("taken"),
+        F.col("row_key").alias("key"),
     )

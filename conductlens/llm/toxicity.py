@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conductlens.llm.common import stage
+from conductlens.llm.common import row_key, stage
 
 SLOTS = 1 << 20
 BIN = 0.25  # width of an evidence bin
@@ -191,13 +191,13 @@ def score_toxicity(
     folds: int = 5,
     most: float = 1.0,
 ) -> DataFrame:
-    """One row per document: id, held_out, score, predicted, evidence, passages (start, end, score, evidence in tokens).
+    """One row per document: id, held_out, score, predicted, evidence, passages (start, end, score, evidence in tokens), key.
 
     Labels of rows whose crc32(id) mod ``folds`` is 0 are never read.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
@@ -209,10 +209,10 @@ def score_toxicity(
     if not tally.n or tally.t in (0, tally.n):
         rate = F.lit(float(tally.t / tally.n) if tally.n else 0.0)
         none = F.lit(None).cast("array<struct<start:int,end:int,score:double,evidence:double>>")
-        out = rows.select("id", held_out.alias("held_out"), rate.alias("score"), (rate >= 0.5).cast("int").alias("predicted"), F.lit(0.0).alias("evidence"), none.alias("passages"))
+        out = rows.select("id", held_out.alias("held_out"), rate.alias("score"), (rate >= 0.5).cast("int").alias("predicted"), F.lit(0.0).alias("evidence"), none.alias("passages"), "key")
         return out.withColumnRenamed("id", id_col)
 
-    present = rows.where(~held_out & F.col("id").isNotNull()).mapInArrow(_present, f"id {docs.schema[id_col].dataType.simpleString()}, slots array<int>")
+    present = rows.where(~held_out & F.col("id").isNotNull()).select("id", "text").mapInArrow(_present, f"id {docs.schema[id_col].dataType.simpleString()}, slots array<int>")
     counts = (
         present.join(known, "id")
         .select("toxic", "slots")
@@ -235,13 +235,14 @@ def score_toxicity(
             yield pd.DataFrame(
                 {
                     "id": pdf["id"],
+                    "key": pdf["key"],
                     "evidence": [sum(p[3] for p in ps) for ps in found],
                     "passages": [[{"start": a, "end": b, "score": s, "evidence": e} for a, b, s, e in ps] for ps in found],
                 }
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = stage(rows.mapInPandas(scan, f"id {kind}, evidence double, passages array<struct<start:int,end:int,score:double,evidence:double>>"))
+    scanned = stage(rows.mapInPandas(scan, f"id {kind}, key long, evidence double, passages array<struct<start:int,end:int,score:double,evidence:double>>"))
     # the logistic curve is fitted on counts per (evidence bin, label): a bounded table of sums over all training labels
     bin_ = F.least(F.floor(F.col("evidence") / BIN), F.lit(MOST_BINS)).cast("int")
     bins = (
@@ -249,8 +250,8 @@ def score_toxicity(
     )
     a, b, knee = _logistic(bins["bin"].to_numpy(np.float64) * BIN, bins["t"].to_numpy(np.float64), bins["n"].to_numpy(np.float64))
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least(F.col("evidence"), F.lit(knee)) + F.col("evidence") * 1e-6)))
-    return scanned.select("id", held_out.alias("held_out"), score.alias("score"), "evidence", "passages").select(
-        F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages"
+    return scanned.select("id", held_out.alias("held_out"), score.alias("score"), "evidence", "passages", "key").select(
+        F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages", "key"
     )
 
 
