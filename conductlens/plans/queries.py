@@ -1,9 +1,242 @@
-"""Registered queries of the behaviour library."""
+"""Registered queries of the behaviour library, over the given tables through the adapter."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from conductlens.operators.detect import (
+    anomaly_records,
+    detect,
+    detection_summary,
+    rate_spikes,
+    unknown_sequences,
+    unknown_tools,
+    unprofiled_agents,
+    volume_spikes,
+)
+from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, profile_to_document
+from conductlens.operators.sessions import accept_events, session_runs
+from conductlens.plans import oracles
+from conductlens.plans.fixtures import behaviour_events, halves, split, transcript_lines, with_replays
+from conductlens.schemas import EVENT_COLUMNS
+from conductlens.sources.store import anomalies_to_json, events_to_json, parse_events
+from conductlens.sources.transcripts import parse_transcripts
+from conductlens.sources.transcripts import transcript_totals as totals_of
+
+KEY = ["agent_id", "session_id", "sequence_position", "arrival"]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to four places; times without zone; lists as text: comparable across engines."""
+    out = []
+    for c, kind in df.dtypes:
+        if kind == "double":
+            out.append(F.round(c, 4).alias(c))
+        elif kind == "timestamp":
+            out.append(F.col(c).cast("timestamp_ntz").alias(c))
+        elif kind == "array<string>":
+            out.append(F.array_join(c, "|").alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split(behaviour_events(spark, sf_dir))[0]
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Profile]:
+    train, score = split(behaviour_events(spark, sf_dir))
+    return score, build_profile(train)
+
+
+def accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that replay dedup keeps, replays mixed in."""
+    return _rounded(accept_events(with_replays(behaviour_events(spark, sf_dir))).select(*KEY, "timestamp", "event_type", "tool_name"))
+
+
+def session_run_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of sessions: first arrival, last arrival and size of each."""
+    runs = session_runs(behaviour_events(spark, sf_dir))
+    out = runs.groupBy("agent_id", "session_id", "run").agg(F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival"), F.count(F.lit(1)).alias("n"))
+    return out.drop("run")
+
+
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one order over all agents."""
+    runs = session_runs(behaviour_events(spark, sf_dir), [])
+    out = runs.groupBy("session_id", "run").agg(F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival"), F.count(F.lit(1)).alias("n"))
+    return out.drop("run")
+
+
+def agent_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(build_profile(_train(spark, sf_dir)).agent)
+
+
+def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_profile(_train(spark, sf_dir)).hour
+
+
+def known_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_profile(_train(spark, sf_dir)).resource
+
+
+def tool_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(build_profile(_train(spark, sf_dir)).tool)
+
+
+def param_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(build_profile(_train(spark, sf_dir)).param_set)
+
+
+def tool_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_profile(_train(spark, sf_dir)).bigram
+
+
+def high_water_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_profile(_train(spark, sf_dir)).hwm
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> Profile:
+    first, second = halves(_train(spark, sf_dir))
+    return build_profile(second, stored=build_profile(first))
+
+
+def resumed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agents' table after building on one part and resuming on the other."""
+    return _rounded(_resumed(spark, sf_dir).agent)
+
+
+def resumed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_resumed(spark, sf_dir).tool)
+
+
+def resumed_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumed(spark, sf_dir).bigram
+
+
+def unprofiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents of the score part without a profile; the profile leaves out agent-3."""
+    score, profile = _trained(spark, sf_dir)
+    return unprofiled_agents(score, profile.where(F.col("agent_id") != "agent-3"))
+
+
+SHOWN = [*KEY, "tool_name", "anomaly_type", "severity", "z_score", "confidence", "observed_num", "baseline_mean"]
+
+
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return _rounded(df.select(*SHOWN, *more))
+
+
+def unknown_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(unknown_tools(*_trained(spark, sf_dir)), "description", "baseline_value")
+
+
+def unknown_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(unknown_sequences(*_trained(spark, sf_dir)), "description", "baseline_value")
+
+
+def unknown_pairs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(unknown_sequences(*_trained(spark, sf_dir), scope="stream"), "description", "baseline_value")
+
+
+def rate_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(rate_spikes(*_trained(spark, sf_dir)))
+
+
+def rate_anomalies_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(rate_spikes(*_trained(spark, sf_dir), scope="stream"))
+
+
+def volume_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(volume_spikes(*_trained(spark, sf_dir)))
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All anomalies of the score part against the train part."""
+    return _shown(detect(*_trained(spark, sf_dir)), "detector")
+
+
+def anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score, profile = _trained(spark, sf_dir)
+    return detection_summary(score, detect(score, profile), profile)
+
+
+def anomalies_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomaly records as JSON text, with their order."""
+    lines = anomalies_to_json(anomaly_records(detect(*_trained(spark, sf_dir))))
+    return lines.select(
+        "arrival",
+        "detector",
+        F.get_json_object("value", "$.anomaly_type").alias("anomaly_type"),
+        F.get_json_object("value", "$.evidence.event.session_id").alias("session_id"),
+        F.get_json_object("value", "$.severity").alias("severity"),
+    )
+
+
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(build_summary(build_profile(_train(spark, sf_dir))))
+
+
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair counts after a round trip through nested documents."""
+    return document_to_profile(profile_to_document(build_profile(_train(spark, sf_dir)))).bigram
+
+
+def events_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON text and read back strictly."""
+    return _rounded(parse_events(events_to_json(behaviour_events(spark, sf_dir)))[0].select(*EVENT_COLUMNS))
+
+
+def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _ = parse_transcripts(transcript_lines(spark, sf_dir))
+    place = [F.col("arrival.file").alias("file"), F.col("arrival.line_no").alias("line_no"), F.col("arrival.block").alias("block")]
+    return _rounded(events.select(*EVENT_COLUMNS, *place))
+
+
+def transcript_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = transcript_lines(spark, sf_dir)
+    return totals_of(lines, *parse_transcripts(lines))
+
+
+ALL = [
+    accepted_events,
+    session_run_sizes,
+    stream_runs,
+    agent_profile,
+    hourly_activity,
+    known_resources,
+    tool_profile,
+    param_patterns,
+    tool_bigrams,
+    high_water_marks,
+    resumed_profile,
+    resumed_tools,
+    resumed_bigrams,
+    unprofiled,
+    unknown_tool_calls,
+    unknown_pairs,
+    unknown_pairs_stream,
+    rate_anomalies,
+    rate_anomalies_stream,
+    volume_anomalies,
+    anomalies,
+    anomaly_summary,
+    anomalies_json,
+    profile_summary,
+    profile_documents,
+    events_json_roundtrip,
+    transcript_events,
+    transcript_totals,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.all_sql()
