@@ -166,6 +166,6 @@ def anomaly_records(anomalies: DataFrame) -> DataFrame:
 
 def detection_summary(events: DataFrame, anomalies: DataFrame, profile: Profile) -> DataFrame:
     """(metric, n): events scanned (of profiled agents), anomalies in total and by type."""
-    scanned = attach_profile(events, profile).agg(F.count(F.lit(1)).alias("n")).select(F.lit("events_scanned").alias("metric"), "n")
-    by_type = anomalies.rollup("anomaly_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("anomaly_type", F.lit("anomalies")).alias("metric"), "n")
-    return scanned.unionByName(by_type)
+    total = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
+    by_type = anomalies.groupBy(F.col("anomaly_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    return total(attach_profile(events, profile), "events_scanned").unionByName(total(anomalies, "anomalies")).unionByName(by_type)
