@@ -152,7 +152,7 @@ def search(
     keyed = entries.select("entry", "vec", keys("vec").alias("keys"))
     placed = keyed.select("entry", "vec", F.posexplode("keys").alias("curve", "key"))
     on = [
-        global_index(placed.where(F.col("curve") == c).select("entry", "vec", "key"), ["key", "entry"]) for c in range(curves)
+        global_index(placed.where(F.col("curve") == c).select("entry", "vec", "key"), ["key", "entry"], "pos") for c in range(curves)
     ]
     n_curves, window = _fit_window(entries, on, wanted, total, k, recall, sample)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from conductlens.functions.staging import global_index, stage
+
+__all__ = ["ascii_lower", "connected_components", "global_index", "partitions", "row_key", "stage", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only on a single machine that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(column):
     """A-Z to a-z and nothing else."""
     return F.translate(column, UPPER, UPPER.lower())
@@ -52,32 +31,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def global_index(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
-    """Number the rows 0.. in a total order without sorting in one task.
-
-    Rows are range-partitioned and sorted inside the partitions; the sorted
-    form is written once so that the partition numbers cannot change between
-    evaluations, then the sizes of the partitions (one row each) give offsets.
-    """
-    spark = df.sparkSession
-    n = partitions(spark)
-    mark = f"_{name}_at"
-    done = stage(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id())
-    )
-    part, local = F.shiftright(mark, 33), F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = done.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: its size is bounded by the number of partitions.
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (
-        done.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + local)
-        .drop("_part", "_offset", mark)
-    )
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u long, v long) undirected links -> (node, component): the smallest node reachable.
 
@@ -111,6 +64,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
 
-
-def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)
