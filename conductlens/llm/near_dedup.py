@@ -11,11 +11,14 @@ give a collision-corrected Jaccard estimate that drops pairs six standard
 deviations below the threshold, and what is left is verified on full sets.
 
 No bucket is expanded into all its pairs.  Documents with equal sets are one
-node.  In each bucket the nodes are first compared with one pivot; links join
-nodes to components; buckets that still hold several components get another
-pivot.  Last, nodes outside a bucket's largest component are compared with its
-members from other components, which makes the result complete: every pair
-that shares a band is either verified or already connected.
+node.  In each bucket the nodes are first compared with one pivot, the node
+that shares the most bands over all; links join nodes to components; buckets
+that still hold several components can get more pivots.  What is left are nodes of different components that share a band,
+mostly because of a passage that many documents hold.  These are completed by
+an exact prefix filter: two sets of the wanted similarity share a shingle among
+the rarest quarter of each, so nodes meet only on their rare shingles, and only
+those outside a shingle's largest component meet its others.  Every pair that
+shares a band is thus verified, already connected, or ruled out.
 
 Defined cases: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than the shingle width is one shingle.
@@ -33,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from conductlens.llm.common import connected_components, stage
 from conductlens.llm.shingles import WordHashes, shingle_set
@@ -146,8 +150,49 @@ def _verified(percent: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component, n, hash) rows of sets."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            sizes = np.array([len(x) for x in sets])
+            spread = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), sizes))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [spread(0), spread(1), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["node", "component", "n", "hash"]
+            )
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the similarity.
+
+    Of n shingles, rarest first, a similar set must hold one of the first
+    n - ceil(percent / 100 * n) + 1.  Shingles that one node alone holds come
+    first and match nothing; they are only counted.
+    """
+    rows = nodes.join(sets.withColumnRenamed("id", "node"), "node").select("node", "component", "hashes")
+    rows = stage(rows.mapInArrow(_exploded, "node long, component long, n long, hash long"))
+    held = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    shared = rows.join(held, "hash")
+    counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("many"))
+    # places of the prefix that shared shingles can take
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("many"))
+    open_ = shared.join(counted, "node").withColumn("room", room).where("room > 0")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "hash"))
+    ranked = open_.withColumn("_r", rank).where("_r <= room and lo <> hi")
+    # left: shingles from this one on; the ones before it are rarer
+    prefix = stage(ranked.select("hash", "node", "component", "n", (F.col("many") - F.col("_r") + 1).alias("left")))
+    sizes = prefix.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    outside = prefix.join(largest, "hash").where("component <> largest").select("hash", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    # at the rarest shingle of both, the rest must be long enough for the overlap: (100 + p) * overlap >= p * (n + nx)
+    near = F.least("left", "lx") * (100 + percent) >= (F.col("n") + F.col("nx")) * percent
+    met = prefix.join(outside, "hash").where((F.col("component") != F.col("cx")) & near)
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, pivots: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, pivots: int = 0
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -158,8 +203,11 @@ def near_duplicates(
     )
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).where("key <> 0")
     buckets = buckets.select("node", "n", F.xxhash64("band", "key").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").drop("size")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(buckets.join(shared, "bucket"))
+    # the text that copies stem from shares the most bands: it is the best pivot
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    first = members.select("bucket", "node").join(degrees, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
     wanted = members.select(F.col("node").alias("id")).distinct()
     sets = stage(
         texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, hashes binary").dropDuplicates(["id"])
@@ -183,28 +231,22 @@ def near_duplicates(
         return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = stage(members.where("node <> pivot").select(*ordered("node", "pivot")).distinct())
+    tried = stage(members.join(first, "bucket").where("node <> pivot").select(*ordered("node", "pivot")).distinct())
     links = verified(tried)
     label = components(links)
     for step in range(pivots + 1):
         parts = members.select("bucket", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         torn = parts.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         parts = stage(parts.join(torn, "bucket", "left_semi"))
+        if not parts.limit(1).count():
+            break
         if step < pivots:
             # a pivot for each bucket, and the members of other components
             pivot = parts.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(step))).alias("p"))
             pairs = parts.join(pivot, "bucket").where("component <> p.component").select(*ordered(F.col("node"), F.col("p.node")))
         else:
-            # whoever stands outside the bucket's largest component meets its members from other components
-            sizes = parts.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-            outside = parts.join(largest, "bucket").where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-            pairs = parts.join(outside, "bucket").where("component <> cx").select(*ordered(F.col("node"), F.col("x")))
+            pairs = _prefix_pairs(parts.select("node", "component").distinct(), sets, percent)
         fresh = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not fresh.limit(1).count():
-            if not parts.limit(1).count():
-                break
-            continue
         tried = tried.unionByName(fresh)
         more = verified(fresh)
         if more.limit(1).count():
