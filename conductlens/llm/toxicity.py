@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Training: how many labelled documents of each class hold a word, or a word
-beginning with its first three, four or five letters (compounds and inflected
+beginning with its first four or five letters (compounds and inflected
 forms share them), counted over all labelled training rows.  These units are
 hashed to 2^20 slots, which bounds the model whatever the vocabulary.  A slot's
 log-odds use a Dirichlet prior that is proportional to the slot's count in both
@@ -42,18 +42,22 @@ from conductlens.llm.common import row_key, stage
 SLOTS = 1 << 20
 BIN = 0.25  # width of an evidence bin
 MOST_BINS = 4000
-BLANK = str.maketrans({c: " " for c in string.punctuation + "«»“”„’…¿¡–—"})
+AROUND = string.punctuation + "«»“”„’…¿¡–—"  # what is stripped from a word
 
 
-HEADS = (3, 4, 5)  # letters of word beginnings
+HEADS = (4, 5)  # letters of word beginnings
 
 
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().translate(BLANK).split()
+    """Words of the whole text, in lower case, with the punctuation around them."""
+    return (text or "").lower().split()
 
 
 def units(token: str) -> list[int]:
-    """Slots of a token: the word itself and its beginnings."""
+    """Slots of a token: the word itself, without punctuation, and its beginnings."""
+    token = token.strip(AROUND)
+    if not token:
+        return []
     parts = [token, *(f"{token[:k]}*" for k in HEADS if len(token) >= k)]
     return [xxhash.xxh3_64_intdigest(p) & (SLOTS - 1) for p in parts]
 
@@ -61,10 +65,10 @@ def units(token: str) -> list[int]:
 class Units(dict):
     """token -> slots, emptied when large."""
 
-    def __missing__(self, token: str) -> list[int]:
-        if len(self) > 300_000:
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
             self.clear()
-        self[token] = found = units(token)
+        self[token] = found = tuple(units(token))
         return found
 
 
@@ -79,29 +83,43 @@ class Scores(dict):
         if len(self) > 500_000:
             self.clear()
         at = units(token)
-        self[token] = score = float(self.model.score[max(at, key=lambda i: abs(self.model.z[i]))])
+        self[token] = score = float(self.model.score[max(at, key=lambda i: abs(self.model.z[i]))]) if at else self.model.background
         return score
 
 
+FAR = 0xFFFF
+
+
+def packed(slots: np.ndarray) -> bytes:
+    """A set of slots as 16-bit gaps; FAR carries a gap on to the next one."""
+    gaps = np.diff(np.sort(slots), prepend=0)
+    out = np.full(int((gaps // FAR + 1).sum()), FAR, np.uint16)
+    out[np.cumsum(gaps // FAR + 1) - 1] = gaps % FAR
+    return out.tobytes()
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The slots of one set, from its gaps."""
+    return np.cumsum(data.astype(np.int64))[data != FAR]
+
+
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = Units()
     for batch in batches:
-        found = [{i for word in set(tokens(t)) for i in cache[word]} for t in batch.column(1).to_pylist()]
-        rows = [np.fromiter(x, np.int32, len(x)) for x in found]
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "slots"])
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            rows = []
+            for text in part.column(1).to_pylist():
+                found = set().union(*map(cache.__getitem__, set(tokens(text))))
+                rows.append(packed(np.fromiter(found, np.int64, len(found))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["id", "slots"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, SLOTS), np.int64)
     for batch in batches:
-        toxic = batch.column(0).to_numpy() == 1
-        lists = batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat, of = lists.flatten().to_numpy(), np.repeat(toxic, sizes)
-        for k in (0, 1):
-            counts[k] += np.bincount(flat[of == bool(k)], minlength=SLOTS)
+        for toxic, slots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[toxic, unpacked(np.frombuffer(slots.as_buffer(), np.uint16))] += 1
     seen = np.flatnonzero(counts.sum(axis=0))
     for i in range(0, len(seen), 100_000):
         part = seen[i : i + 100_000]
@@ -114,6 +132,7 @@ class Model:
     z: np.ndarray  # significance of the slot's log-odds, 0 where it counts as background
     scale: float
     offset: float  # K of the extreme-value law
+    background: float = -0.02
 
 
 def fit_scores(slot: np.ndarray, clean: np.ndarray, toxic: np.ndarray, prior: float = 0.02, least_z: float = 5.0, drift: float = 0.02, least_odds: float = 2.5) -> Model:
@@ -130,19 +149,19 @@ def fit_scores(slot: np.ndarray, clean: np.ndarray, toxic: np.ndarray, prior: fl
     chance = (toxic + clean) * share  # toxic documents with the unit if it told nothing
     strength = (toxic - chance) / np.sqrt(chance * (1 - share))
     sure = (np.abs(strength) >= least_z) & ((odds < 0) | (odds >= least_odds))
-    score, significance = np.full(SLOTS, -drift), np.zeros(SLOTS)
+    score, significance = np.full(SLOTS, -drift, np.float32), np.zeros(SLOTS, np.float32)
     score[slot] = np.where(sure, np.maximum(odds, -1.0), 0.0) - drift
     significance[slot] = np.where(sure, strength, 0.0)
     # scale: the positive root of E exp(scale s) = 1 under the tokens of clean documents
     weight = clean / max(clean.sum(), 1)
-    s = score[slot]
+    s = score[slot].astype(np.float64)
     if not (weight * s).sum() < 0 or not (s[weight > 0] > 0).any():
-        return Model(score, significance, 1.0, 1.0)
+        return Model(score, significance, 1.0, 1.0, -drift)
     lo, hi = 1e-6, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if (weight * np.exp(mid * s)).sum() > 1 else (mid, hi)
-    return Model(score, significance, hi, 0.1)
+    return Model(score, significance, hi, 0.1, -drift)
 
 
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -212,9 +231,9 @@ def score_toxicity(
         out = rows.select("id", held_out.alias("held_out"), rate.alias("score"), (rate >= 0.5).cast("int").alias("predicted"), F.lit(0.0).alias("evidence"), none.alias("passages"), "key")
         return out.withColumnRenamed("id", id_col)
 
-    present = rows.where(~held_out & F.col("id").isNotNull()).select("id", "text").mapInArrow(_present, f"id {docs.schema[id_col].dataType.simpleString()}, slots array<int>")
+    present = rows.where(~held_out & F.col("id").isNotNull()).select("id", "text").mapInArrow(_present, f"id {docs.schema[id_col].dataType.simpleString()}, slots binary")
     counts = (
-        present.join(known, "id")
+        present.join(known.hint("shuffle_hash"), "id")  # the small side is hashed, the other one need not be sorted
         .select("toxic", "slots")
         .mapInArrow(_count, "slot long, clean long, toxic long")
         .groupBy("slot")
@@ -223,7 +242,7 @@ def score_toxicity(
     )
     model = fit_scores(counts["slot"].to_numpy(), counts["clean"].to_numpy(np.float64), counts["toxic"].to_numpy(np.float64))
     sent = spark.sparkContext.broadcast(
-        (model.score.astype(np.float32), model.z.astype(np.float32), model.scale, model.offset)
+        (model.score, model.z, model.scale, model.offset, model.background)
     )  # 8 MB: two floats for each of SLOTS
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
