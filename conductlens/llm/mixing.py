@@ -137,7 +137,7 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     most: float = 3.0,
-    block_rows: int = 20_000,
+    block_rows: int = 2_000,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken, key.
 
@@ -173,7 +173,7 @@ def mix_sources(
         # a source's blocks hold block_rows documents on average, whatever its size
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_rows))
         flown = stage(
-            live.withColumn("_block", F.pmod(F.xxhash64("key", "row", F.lit(level)), blocks))
+            live.withColumn("_block", F.pmod(F.xxhash64("key", F.lit(level)), blocks))
             .groupBy("source", "_block")
             .applyInPandas(lambda pdf: _flight(pdf.drop(columns="_block")), schema)
         )
