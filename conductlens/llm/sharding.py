@@ -40,7 +40,7 @@ def _slots(df: DataFrame, order: list[str], name: str = "slot") -> DataFrame:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, slack: float = 0.0
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, slack: float = 0.0
 ) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
 
@@ -66,19 +66,23 @@ def shard_documents(
     for step in range(rounds):
         # links of a group per shard, combined in the map tasks
         held = at.where("degree > 1").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = held.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("to"), F.max("n").alias("there"))
+        tied = {r["shard"]: r["n"] for r in at.where("degree > 1").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # shards that linked documents fill already take no more; who is in one stays
+        free = [s for s in range(shards) if tied.get(s, 0) < quota * 0.95]
+        best = held.where(F.col("shard").isin(free)).groupBy("grp").agg(
+            F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("to"), F.max("n").alias("there")
+        )
         wish = (
             at.where("degree > 1")
             .join(best, "grp")
-            .where("shard <> to")
+            .join(held, ["grp", "shard"])
+            .where((F.col("shard") != F.col("to")) & (F.col("n") <= F.col("there")))
             .select("row", "grp", "to", F.col("shard").alias("from"), "there", F.xxhash64("row", F.lit(step)).alias("_t"))
         )
-        loads = {r["shard"]: r["n"] for r in at.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         asked = {(r["from"], r["to"]): r["n"] for r in wish.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not asked:
             break
         # singles give way in the last step, so a shard may take linked documents up to its quota of linked ones
-        tied = {r["shard"]: r["n"] for r in at.where("degree > 1").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         share = {}
         for t in range(shards):
             into = sum(n for (_, to), n in asked.items() if to == t)
