@@ -34,13 +34,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.sha2(text, 256).alias("text_sha256"),
         )
     )
-    many = lambda *keys: (  # noqa: E731  keys that more than one row has
-        lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    )
-    by_length = many("n_bytes")(rows)
-    by_prefix = many("n_bytes", "prefix")(rows.join(by_length, "n_bytes", "left_semi"))
+
+    def many(df: DataFrame, *keys: str) -> DataFrame:
+        """Keys that more than one row has; staged, so that Spark can split a hot key's rows in the joins that follow."""
+        return stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+
+    by_length = many(rows, "n_bytes")
+    by_prefix = many(rows.join(by_length, "n_bytes", "left_semi"), "n_bytes", "prefix")
     survivors = rows.join(by_prefix, ["n_bytes", "prefix"], "left_semi")
-    groups = (
+    groups = stage(
         survivors.groupBy("n_bytes", "prefix", "text_sha256")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"))
         .where("group_size > 1")

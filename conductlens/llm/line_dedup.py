@@ -55,7 +55,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     """(key, at): lines, by their place in the document, that a later copy of a repeated run covers."""
     lines = stage(_lines(docs, id_col, text_col).where("words > 0").dropDuplicates(["key", "at"]))
     # a run with a second copy consists of lines with a second copy
-    many = lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("line_id")
+    many = stage(lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("line_id"))
     in_doc = Window.partitionBy("key").orderBy("at")
     # ``pos`` numbers the non-blank lines of a document
     rows = lines.withColumn("pos", F.row_number().over(in_doc))
@@ -97,7 +97,8 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         )
     named = stage(reduce(DataFrame.unionByName, named))
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("key").alias("k"), F.col("pos").alias("p"))
-    firsts = named.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # staged, so that Spark can split the rows of a hot line in the join
+    firsts = stage(named.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     later = named.join(firsts, ["size", "head", "tail"]).where(place > F.col("first"))
     covered = later.select("key", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
     return rows.select("key", "pos", "at").join(covered, ["key", "pos"]).select("key", "at")

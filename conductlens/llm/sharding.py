@@ -58,7 +58,7 @@ def shard_documents(
     rows = stage(rows.withColumn("toss", F.xxhash64("id", "row", F.lit("shard"))))
     total = rows.count()
     quota = total / shards * (1 + slack)
-    linked = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("degree"))
+    linked = stage(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("degree")))  # staged: a hot group's rows can be split in the join
     at = stage(
         rows.join(linked, "grp").select("id", "row", "grp", "toss", "degree", F.pmod("toss", F.lit(shards)).cast("int").alias("shard"))
     )

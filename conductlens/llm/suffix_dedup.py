@@ -299,7 +299,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.first("h").alias("h"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("p").alias("p"))
     )
     each = distinct.select("text_key", "id", "copies", F.inline(F.arrays_zip("h", "lo", "hi", "p")))
-    often = each.groupBy("h").agg(F.sum("copies").alias("_n")).where("_n > 1").select("h")
+    # staged, as are other small sides below: Spark can then split a hot anchor's rows among tasks
+    often = stage(each.groupBy("h").agg(F.sum("copies").alias("_n")).where("_n > 1").select("h"))
     where = (
         each.join(often, "h")
         .groupBy("text_key", "copies", F.col("id").alias("_id"))
