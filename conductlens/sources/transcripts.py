@@ -22,6 +22,7 @@ from conductlens.schemas import EVENT_COLUMNS
 CALL = "struct<event_type:string,tool_name:string,param_keys:array<string>,resource_ids:array<string>,data_in_bytes:long,data_out_bytes:long,token_count:long>"
 DECODED = f"file string, line_no long, value string, error string, kind string, id string, time string, events array<{CALL}>"
 MOST = (1 << 63) - 1
+DEFAULT_AGENT = "openclaw"  # fixed value: the id that events get when none is named
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +129,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf[["file", "line_no", "value"]], out], axis=1)
 
 
-def parse_transcripts(lines: DataFrame, agent_id: str = "openclaw", ingest_time: str = "1970-01-01 00:00:00", carry_over: bool = True) -> tuple[DataFrame, DataFrame]:
+def parse_transcripts(lines: DataFrame, agent_id: str = DEFAULT_AGENT, ingest_time: str = "1970-01-01 00:00:00", carry_over: bool = True) -> tuple[DataFrame, DataFrame]:
     """(events with arrival, rejects) of transcript lines.
 
     Files follow each other in the order of their names.  With ``carry_over``
