@@ -18,6 +18,7 @@ encoded this way are the ``dictionary_units`` most frequent ones of the corpus,
 counted over all texts; their number bounds what is broadcast.  Rarer units are
 met in the pass over the texts, which folds the same lattice for each of them
 there: shuffling every rare occurrence twice would move more than the texts.
+The dictionary ends at a level of frequency, so it may hold somewhat fewer.
 
 Defined cases: null and empty texts have no tokens and decode to the empty
 text; U+2581 in a text decodes to a space, as in SentencePiece; repeated rows
@@ -288,7 +289,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     model_file: str = MODEL,
-    dictionary_units: int = 100_000,
+    dictionary_units: int = 150_000,
     longest_unit: int = 48,
 ) -> DataFrame:
     """One row per document: id, n_tokens, token_ids, round_trip (the ids decode to the text)."""
@@ -296,8 +297,16 @@ def encode(
     vocabulary = Vocabulary(model_file)
     text = prepared(F.coalesce(F.col(text_col), F.lit("")))
     units = docs.select(F.explode(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).alias("unit"))
-    common = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.char_length("unit") <= longest_unit)
-    common = stage(common.orderBy(F.desc("n"), "unit").limit(dictionary_units).select("unit"))
+    counted = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.char_length("unit") <= longest_unit)
+    counted = stage(counted.withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    # the lowest level of frequency from which on the units fit the dictionary: a table of about a thousand levels, no sort
+    levels = sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    least, room = None, dictionary_units
+    for level in levels:
+        if level["n"] > room:
+            break
+        least, room = level["level"], room - level["n"]
+    common = counted.where(F.lit(False) if least is None else F.col("level") >= least).select("unit")
     # at most dictionary_units rows of at most longest_unit characters
     known = encode_units(common.repartition("unit"), vocabulary).toPandas()
     sent = spark.sparkContext.broadcast(
