@@ -86,7 +86,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6}
+    return {"op5_line_dedup": OP5, "op6_exact_dedup": OP6}
+
+
+#: runs of at most five non-blank lines hold five words; a run's first place in order of (doc_id, line) stays
+OP5 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT *, regexp_replace(line, '^[\s\x00]+|[\s\x00]+$', '', 'g') AS t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM w WHERE words > 0
+), near AS (
+  SELECT doc_id, line_no, pos,
+    list(t) OVER f AS ft, list(least(words, 5)) OVER f AS fw, list(t) OVER p AS pt, list(least(words, 5)) OVER p AS pw
+  FROM b WINDOW f AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING),
+    p AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+), sized AS (
+  SELECT *, (SELECT min(s) FROM range(1, 6) r(s) WHERE s <= len(fw) AND list_sum(fw[1:s]) >= 5) AS m,
+    (SELECT min(s) FROM range(1, 6) r(s) WHERE s <= len(pw) AND list_sum(pw[len(pw) - s + 1:]) >= 5) AS k
+  FROM near
+), runs AS (
+  SELECT doc_id, pos, m AS size, ft[1:m] AS run FROM sized WHERE m IS NOT NULL
+  UNION SELECT doc_id, pos - k + 1, k, pt[len(pt) - k + 1:] FROM sized WHERE k IS NOT NULL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM runs
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM ranked WHERE nth > 1
+), gone AS (SELECT b.doc_id, b.line_no FROM b JOIN covered USING (doc_id, pos)),
+flagged AS (
+  SELECT w.doc_id, w.line, w.line_no, g.line_no IS NOT NULL AS removed, trim(w.line, ' ') = '' AS blank FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.line_no = w.line_no
+), settled AS (
+  SELECT *, coalesce(last_value(CASE WHEN blank AND NOT removed THEN NULL ELSE removed END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS away FROM flagged
+), per AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT away), '') AS kept
+  FROM settled GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+  sha256(CASE WHEN coalesce(n_removed, 0) > 0 THEN kept ELSE coalesce(d.text, '') END) AS text_sha256
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
 
 
 OP6 = """
