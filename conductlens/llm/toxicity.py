@@ -135,26 +135,33 @@ class Model:
     background: float = -0.02
 
 
-def fit_scores(slot: np.ndarray, clean: np.ndarray, toxic: np.ndarray, prior: float = 0.02, least_z: float = 5.0, drift: float = 0.02, least_odds: float = 2.5) -> Model:
-    """Log-odds per slot, and the scale of the extreme-value law of their segments.
+def telling_slots(counts: DataFrame, prior: float = 0.02, least_z: float = 5.0, least_odds: float = 2.5) -> tuple[DataFrame, float]:
+    """((slot, clean, odds, strength) of the slots whose log-odds count, sum of all clean counts).
 
     ``prior`` is the weight of the Dirichlet prior as a share of all counts;
-    log-odds below ``least_odds`` are topics rather than toxic words.
+    log-odds below ``least_odds`` are topics rather than toxic words.  Only
+    these slots go to the driver.
     """
-    alpha = prior * (clean + toxic)
-    y, z = toxic + alpha, clean + alpha
-    n_y, n_z = y.sum(), z.sum()
-    odds = np.log(y / (n_y - y)) - np.log(z / (n_z - z))
-    share = toxic.sum() / (toxic.sum() + clean.sum())
-    chance = (toxic + clean) * share  # toxic documents with the unit if it told nothing
-    strength = (toxic - chance) / np.sqrt(chance * (1 - share))
-    sure = (np.abs(strength) >= least_z) & ((odds < 0) | (odds >= least_odds))
+    total = counts.agg(F.sum("clean").cast("double").alias("c"), F.sum("toxic").cast("double").alias("t")).first()
+    both, alpha = F.col("clean") + F.col("toxic"), prior * (F.col("clean") + F.col("toxic"))
+    y, z = F.col("toxic") + alpha, F.col("clean") + alpha
+    n_y, n_z = total.t + prior * (total.c + total.t), total.c + prior * (total.c + total.t)
+    odds = F.log(y / (n_y - y)) - F.log(z / (n_z - z))
+    share = total.t / (total.c + total.t)
+    chance = both * share  # toxic documents with the unit if it told nothing
+    strength = (F.col("toxic") - chance) / F.sqrt(chance * (1 - share))
+    rated = counts.select("slot", "clean", odds.alias("odds"), strength.alias("strength"))
+    return rated.where((F.abs("strength") >= least_z) & ((F.col("odds") < 0) | (F.col("odds") >= least_odds))), total.c
+
+
+def fit_scores(slot: np.ndarray, clean: np.ndarray, odds: np.ndarray, strength: np.ndarray, all_clean: float, drift: float = 0.02) -> Model:
+    """Scores per slot, and the scale of the extreme-value law of their segments."""
     score, significance = np.full(SLOTS, -drift, np.float32), np.zeros(SLOTS, np.float32)
-    score[slot] = np.where(sure, np.maximum(odds, -1.0), 0.0) - drift
-    significance[slot] = np.where(sure, strength, 0.0)
+    score[slot] = np.maximum(odds, -1.0) - drift
+    significance[slot] = strength
     # scale: the positive root of E exp(scale s) = 1 under the tokens of clean documents
-    weight = clean / max(clean.sum(), 1)
-    s = score[slot].astype(np.float64)
+    weight = np.append(clean, max(all_clean - clean.sum(), 0.0)) / max(all_clean, 1.0)
+    s = np.append(score[slot].astype(np.float64), -drift)
     if not (weight * s).sum() < 0 or not (s[weight > 0] > 0).any():
         return Model(score, significance, 1.0, 1.0, -drift)
     lo, hi = 1e-6, 20.0
@@ -232,15 +239,16 @@ def score_toxicity(
         return out.withColumnRenamed("id", id_col)
 
     present = rows.where(~held_out & F.col("id").isNotNull()).select("id", "text").mapInArrow(_present, f"id {docs.schema[id_col].dataType.simpleString()}, slots binary")
-    counts = (
+    counts = stage(
         present.join(known.hint("shuffle_hash"), "id")  # the small side is hashed, the other one need not be sorted
         .select("toxic", "slots")
         .mapInArrow(_count, "slot long, clean long, toxic long")
         .groupBy("slot")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .toPandas()  # at most SLOTS rows
     )
-    model = fit_scores(counts["slot"].to_numpy(), counts["clean"].to_numpy(np.float64), counts["toxic"].to_numpy(np.float64))
+    telling, all_clean = telling_slots(counts)
+    rows_of = telling.orderBy("slot").toPandas()  # less than SLOTS rows
+    model = fit_scores(*(rows_of[c].to_numpy() for c in ("slot", "clean", "odds", "strength")), all_clean)
     sent = spark.sparkContext.broadcast(
         (model.score, model.z, model.scale, model.offset, model.background)
     )  # 8 MB: two floats for each of SLOTS
