@@ -355,6 +355,18 @@ def test_sharding(spark):
     assert rows(cut_links(placed, "grp")) == [{"cut": 2}]
 
 
+def test_sharding_where_every_row_has_a_copy(spark):
+    pairs = [(k, f"page {k // 2}") for k in range(1600)]
+    mixed = [(k, f"big {k // 150}") for k in range(600)] + [(600 + k, f"page {k // 2}") for k in range(600)] + [(1200 + k, f"five {k // 5}") for k in range(400)]
+    for docs in (pairs, mixed):
+        got = shard_documents(documents(spark, docs), shards=8)
+        placed = got.select("doc_id", "shard").join(documents(spark, docs).select("doc_id", "text"), "doc_id").localCheckpoint()
+        assert {r["count"] for r in rows(placed.groupBy("shard").count())} == {200}
+        cut = placed.groupBy("text").agg(F.count_distinct("shard").alias("n")).where("n > 1").count()
+        # only groups at the edge of a quota
+        assert cut <= 16 and rows(cut_links(placed, "text"))[0]["cut"] <= 96
+
+
 # --- 10 ---
 
 
