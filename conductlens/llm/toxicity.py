@@ -3,10 +3,13 @@
 Training: how many labelled documents of each class hold a word, or a word
 beginning with its first four or five letters (compounds and inflected
 forms share them), counted over all labelled training rows.  These units are
-hashed to 2^20 slots, which bounds the model whatever the vocabulary.  A slot's
-log-odds use a Dirichlet prior that is proportional to the slot's count in both
+counted exactly, each under its own 64-bit hash.  A unit's
+log-odds use a Dirichlet prior that is proportional to the unit's count in both
 classes together; a token gets the log-odds of its most significant unit, and
 tokens without a significant one count as background, a small negative score.
+Only significant units are sent to the executors, the most frequent 2^19 at
+most; if there are more, the rest reach their documents by a join on (document,
+unit), so the model in memory is bounded and no unit is lost.
 
 Scoring: one linear scan over the tokens of a whole text finds all maximal
 scoring segments.  Their scores are calibrated as extreme values: with the
@@ -34,12 +37,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conductlens.llm.common import row_key, stage
 
-SLOTS = 1 << 20
+MOST = 1 << 19  # telling units held in memory
+WORDS = 1 << 20  # words of 64 bits of the filter for the rest
 BIN = 0.25  # width of an evidence bin
 MOST_BINS = 4000
 AROUND = string.punctuation + "«»“”„’…¿¡–—"  # what is stripped from a word
@@ -54,16 +59,17 @@ def tokens(text: str | None) -> list[str]:
 
 
 def units(token: str) -> list[int]:
-    """Slots of a token: the word itself, without punctuation, and its beginnings."""
+    """Hashes of a token's units: the word itself, without punctuation, and its beginnings."""
     token = token.strip(AROUND)
     if not token:
         return []
     parts = [token, *(f"{token[:k]}*" for k in HEADS if len(token) >= k)]
-    return [xxhash.xxh3_64_intdigest(p) & (SLOTS - 1) for p in parts]
+    found = map(xxhash.xxh3_64_intdigest, parts)
+    return [h - (1 << 64) if h >> 63 else h for h in found]  # as a signed long
 
 
 class Units(dict):
-    """token -> slots, emptied when large."""
+    """token -> units, emptied when large."""
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > 200_000:
@@ -73,74 +79,90 @@ class Units(dict):
 
 
 class Scores(dict):
-    """token -> score, emptied when large."""
+    """token -> score, emptied when large; ``more`` holds a document's units that are not in the model."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.at = {u: i for i, u in enumerate(model.unit.tolist())}
+
+    def rated(self, token: str, more: dict[int, tuple[float, float]]) -> float:
+        best, z = self.model.background, 0.0
+        for u in units(token):
+            i = self.at.get(u)
+            found = (self.model.score[i], self.model.z[i]) if i is not None else more.get(u)
+            if found and abs(found[1]) > z:
+                best, z = float(found[0]), abs(found[1])
+        return best
 
     def __missing__(self, token: str) -> float:
         if len(self) > 500_000:
             self.clear()
-        at = units(token)
-        self[token] = score = float(self.model.score[max(at, key=lambda i: abs(self.model.z[i]))]) if at else self.model.background
+        self[token] = score = self.rated(token, {})
         return score
 
 
-FAR = 0xFFFF
-
-
-def packed(slots: np.ndarray) -> bytes:
-    """A set of slots as 16-bit gaps; FAR carries a gap on to the next one."""
-    gaps = np.diff(np.sort(slots), prepend=0)
-    out = np.full(int((gaps // FAR + 1).sum()), FAR, np.uint16)
-    out[np.cumsum(gaps // FAR + 1) - 1] = gaps % FAR
-    return out.tobytes()
-
-
-def unpacked(data: np.ndarray) -> np.ndarray:
-    """The slots of one set, from its gaps."""
-    return np.cumsum(data.astype(np.int64))[data != FAR]
-
-
-def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, clean, toxic) of labelled texts, combined over stretches of about a million units."""
     cache = Units()
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            rows = []
-            for text in part.column(1).to_pylist():
-                found = set().union(*map(cache.__getitem__, set(tokens(text))))
-                rows.append(packed(np.fromiter(found, np.int64, len(found))))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["id", "slots"])
+    found: list[np.ndarray] = []
+    marks: list[int] = []
+    held = 0
 
+    def combined() -> pa.RecordBatch:
+        unit, at = np.unique(np.concatenate(found), return_inverse=True)
+        toxic = np.bincount(at, np.repeat(marks, [len(f) for f in found]), len(unit)).astype(np.int64)
+        clean = np.bincount(at, minlength=len(unit)) - toxic
+        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(clean), pa.array(toxic)], ["unit", "clean", "toxic"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, SLOTS), np.int64)
     for batch in batches:
-        for toxic, slots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts[toxic, unpacked(np.frombuffer(slots.as_buffer(), np.uint16))] += 1
-    seen = np.flatnonzero(counts.sum(axis=0))
-    for i in range(0, len(seen), 100_000):
-        part = seen[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], ["slot", "clean", "toxic"])
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            here = set().union(*map(cache.__getitem__, set(tokens(text.as_py()))))
+            found.append(np.fromiter(here, np.int64, len(here)))
+            marks.append(toxic)
+            held += len(here)
+            if held > 1_000_000:
+                yield combined()
+                found, marks, held = [], [], 0
+    if held:
+        yield combined()
+
+
+def _mentions(bits: Broadcast):
+    """(key, unit) of the units of each text that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, words = Units(), bits.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                keys, found = [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    here = set().union(*map(cache.__getitem__, set(tokens(text.as_py()))))
+                    u = np.fromiter(here, np.int64, len(here))
+                    u = u[(words[u & (WORDS - 1)] >> ((u >> 20) & 63)) & 1 == 1]
+                    keys.append(np.full(len(u), key, np.int64))
+                    found.append(u)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], ["key", "unit"])
+
+    return run
 
 
 @dataclass
 class Model:
-    score: np.ndarray  # per slot
-    z: np.ndarray  # significance of the slot's log-odds, 0 where it counts as background
+    unit: np.ndarray  # telling units
+    score: np.ndarray  # per unit
+    z: np.ndarray  # significance of the unit's log-odds
     scale: float
     offset: float  # K of the extreme-value law
     background: float = -0.02
 
 
-def telling_slots(counts: DataFrame, prior: float = 0.02, least_z: float = 5.0, least_odds: float = 2.5) -> tuple[DataFrame, float]:
-    """((slot, clean, odds, strength) of the slots whose log-odds count, sum of all clean counts).
+def telling_units(counts: DataFrame, prior: float = 0.02, least_z: float = 5.0, least_odds: float = 2.5) -> tuple[DataFrame, float]:
+    """((unit, clean, toxic, odds, strength) of the units whose log-odds count, sum of all clean counts).
 
     ``prior`` is the weight of the Dirichlet prior as a share of all counts;
-    log-odds below ``least_odds`` are topics rather than toxic words.  Only
-    these slots go to the driver.
+    log-odds below ``least_odds`` are topics rather than toxic words.
     """
     total = counts.agg(F.sum("clean").cast("double").alias("c"), F.sum("toxic").cast("double").alias("t")).first()
     both, alpha = F.col("clean") + F.col("toxic"), prior * (F.col("clean") + F.col("toxic"))
@@ -150,25 +172,42 @@ def telling_slots(counts: DataFrame, prior: float = 0.02, least_z: float = 5.0,
     share = total.t / (total.c + total.t)
     chance = both * share  # toxic documents with the unit if it told nothing
     strength = (F.col("toxic") - chance) / F.sqrt(chance * (1 - share))
-    rated = counts.select("slot", "clean", odds.alias("odds"), strength.alias("strength"))
+    rated = counts.select("unit", "clean", "toxic", odds.alias("odds"), strength.alias("strength"))
     return rated.where((F.abs("strength") >= least_z) & ((F.col("odds") < 0) | (F.col("odds") >= least_odds))), total.c
 
 
-def fit_scores(slot: np.ndarray, clean: np.ndarray, odds: np.ndarray, strength: np.ndarray, all_clean: float, drift: float = 0.02) -> Model:
-    """Scores per slot, and the scale of the extreme-value law of their segments."""
-    score, significance = np.full(SLOTS, -drift, np.float32), np.zeros(SLOTS, np.float32)
-    score[slot] = np.maximum(odds, -1.0) - drift
-    significance[slot] = strength
+def split_units(telling: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(the most frequent telling units, MOST at most, the rest or None), divided at a power of two of their counts."""
+    level = F.floor(F.log2(F.col("clean") + F.col("toxic")))
+    sizes = sorted(((r["level"], r["n"]) for r in telling.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for at, n in sizes:
+        held += n
+        if held > MOST:
+            break
+        least = at
+    else:
+        return telling, None
+    often = level >= F.lit(least) if least is not None else F.lit(False)
+    return telling.where(often), telling.where(~often)
+
+
+def fit_scores(
+    unit: np.ndarray, clean: np.ndarray, odds: np.ndarray, strength: np.ndarray, all_clean: float, rest_clean: np.ndarray, rest_odds: np.ndarray, drift: float = 0.02
+) -> Model:
+    """Scores per unit, and the scale of the extreme-value law of their segments; the rest counts for the scale only."""
+    score, significance = (np.maximum(odds, -1.0) - drift).astype(np.float32), strength.astype(np.float32)
     # scale: the positive root of E exp(scale s) = 1 under the tokens of clean documents
+    clean, s = np.append(clean, rest_clean), np.append(score.astype(np.float64), np.maximum(rest_odds, -1.0) - drift)
     weight = np.append(clean, max(all_clean - clean.sum(), 0.0)) / max(all_clean, 1.0)
-    s = np.append(score[slot].astype(np.float64), -drift)
+    s = np.append(s, -drift)
     if not (weight * s).sum() < 0 or not (s[weight > 0] > 0).any():
-        return Model(score, significance, 1.0, 1.0, -drift)
+        return Model(unit, score, significance, 1.0, 1.0, -drift)
     lo, hi = 1e-6, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if (weight * np.exp(mid * s)).sum() > 1 else (mid, hi)
-    return Model(score, significance, hi, 0.1, -drift)
+    return Model(unit, score, significance, hi, 0.1, -drift)
 
 
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -238,27 +277,51 @@ def score_toxicity(
         out = rows.select("id", held_out.alias("held_out"), rate.alias("score"), (rate >= 0.5).cast("int").alias("predicted"), F.lit(0.0).alias("evidence"), none.alias("passages"), "key")
         return out.withColumnRenamed("id", id_col)
 
-    present = rows.where(~held_out & F.col("id").isNotNull()).select("id", "text").mapInArrow(_present, f"id {docs.schema[id_col].dataType.simpleString()}, slots binary")
     counts = stage(
-        present.join(known.hint("shuffle_hash"), "id")  # the small side is hashed, the other one need not be sorted
-        .select("toxic", "slots")
-        .mapInArrow(_count, "slot long, clean long, toxic long")
-        .groupBy("slot")
+        rows.where(~held_out & F.col("id").isNotNull())
+        .select("id", "text")
+        .join(known.hint("shuffle_hash"), "id")  # the small side is hashed, the other one need not be sorted
+        .select("toxic", "text")
+        .mapInArrow(_count, "unit long, clean long, toxic long")
+        .groupBy("unit")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
-    telling, all_clean = telling_slots(counts)
-    rows_of = telling.orderBy("slot").toPandas()  # less than SLOTS rows
-    model = fit_scores(*(rows_of[c].to_numpy() for c in ("slot", "clean", "odds", "strength")), all_clean)
+    telling, all_clean = telling_units(counts)
+    telling = stage(telling)
+    often, rest = split_units(telling)
+    rows_of = often.orderBy("unit").toPandas()  # at most MOST rows
+    # the rest, for the scale: means within 0.0001 of log-odds
+    rest_of = rest.groupBy(F.round("odds", 4)).agg(F.sum("clean").alias("clean"), F.avg("odds").alias("odds")).toPandas() if rest else pd.DataFrame({"clean": [], "odds": []})
+    model = fit_scores(*(rows_of[c].to_numpy() for c in ("unit", "clean", "odds", "strength")), all_clean, rest_of["clean"].to_numpy(np.float64), rest_of["odds"].to_numpy(np.float64))
     sent = spark.sparkContext.broadcast(
-        (model.score, model.z, model.scale, model.offset, model.background)
-    )  # 8 MB: two floats for each of SLOTS
+        (model.unit, model.score, model.z, model.scale, model.offset, model.background)
+    )  # 8 MB: 16 bytes for each of MOST units
+    texts = rows.withColumn("more", F.lit(None).cast("array<struct<unit:long,score:double,z:double>>"))
+    if rest is not None:
+        word = F.col("unit").bitwiseAND(F.lit(WORDS - 1))
+        bit = F.expr("shiftleft(1L, cast((shiftright(unit, 20) & 63) as int))")
+        filled = rest.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most WORDS rows
+        words = np.zeros(WORDS, np.int64)
+        words[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+        mentions = rows.select("key", "text").mapInArrow(_mentions(spark.sparkContext.broadcast(words)), "key long, unit long").distinct()
+        rated = rest.select("unit", (F.greatest("odds", F.lit(-1.0)) + model.background).alias("score"), F.col("strength").alias("z"))
+        more = mentions.join(rated, "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "score", "z")).alias("more"))  # a text's own units
+        texts = rows.join(stage(more), "key", "left").select("id", "text", "key", "more")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready = Model(*sent.value)
         cache = Scores(ready)
+
+        def scores(text: str | None, more) -> np.ndarray:
+            ws = tokens(text)
+            if more is None:
+                return np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))
+            own = {m["unit"]: (m["score"], m["z"]) for m in more}
+            memo = {w: cache.rated(w, own) for w in set(ws)}
+            return np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))
+
         for pdf in batches:
-            words = map(tokens, pdf["text"])
-            found = [significant(np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws)), ready, most) for ws in words]
+            found = [significant(scores(t, m), ready, most) for t, m in zip(pdf["text"], pdf["more"], strict=True)]
             yield pd.DataFrame(
                 {
                     "id": pdf["id"],
@@ -269,7 +332,7 @@ def score_toxicity(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = stage(rows.mapInPandas(scan, f"id {kind}, key long, evidence double, passages array<struct<start:int,end:int,score:double,evidence:double>>"))
+    scanned = stage(texts.mapInPandas(scan, f"id {kind}, key long, evidence double, passages array<struct<start:int,end:int,score:double,evidence:double>>"))
     # the logistic curve is fitted on counts per (evidence bin, label): a bounded table of sums over all training labels
     bin_ = F.least(F.floor(F.col("evidence") / BIN), F.lit(MOST_BINS)).cast("int")
     bins = (

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
-from conductlens.llm import near_dedup, suffix_dedup
+from conductlens.llm import near_dedup, suffix_dedup, toxicity
 from conductlens.llm.ann import hilbert_index, search
 from conductlens.llm.common import connected_components
 from conductlens.llm.exact_dedup import exact_dedup
@@ -237,6 +238,24 @@ def test_toxicity(spark):
         assert {r["predicted"] for r in rows(score_toxicity(documents(spark, docs[:5]), none))} in ({1}, {0})
 
 
+def test_toxicity_counts_units_exactly(spark, monkeypatch):
+    rng = random.Random(16)
+    docs = [(k, prose(rng, 40) + (" scum moron" * 2 if k % 7 == 0 else "")) for k in range(700)]
+    labels = spark.createDataFrame([(k, None, int(k % 7 == 0)) for k in range(700)], "doc_id long, quality int, toxic int")
+    # unseen words that share the low 20 bits of the hash of a toxic word
+    low = xxhash.xxh3_64_intdigest("moron") % (1 << 20)
+    clash = next(w for w in map("{:x}".format, range(1 << 25)) if xxhash.xxh3_64_intdigest(w) % (1 << 20) == low)
+    docs += [(9000, prose(rng, 20) + f" {clash}" * 6), (9001, prose(rng, 20) + " moron" * 6), (9002, "")]
+    got = by_id(score_toxicity(documents(spark, docs), labels))
+    assert got[9001]["predicted"] == 1 and got[9000]["predicted"] == 0
+    assert got[9000]["evidence"] == got[9002]["evidence"] == 0
+    # units beyond the bound of the model come by a join and count the same
+    for bound in (0, 3):
+        monkeypatch.setattr(toxicity, "MOST", bound)
+        again = by_id(score_toxicity(documents(spark, docs), labels))
+        assert all(again[k]["evidence"] == pytest.approx(got[k]["evidence"], abs=1e-3) and again[k]["predicted"] == got[k]["predicted"] for k in got)
+
+
 # --- 5 ---
 
 
