@@ -22,9 +22,11 @@ shares a band is thus verified, already connected, or ruled out.
 
 Defined cases: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than the shingle width is one shingle.
-Rows that share a doc_id are one node (their sets are united by their links);
-rows with a null doc_id form their own components with null ids.  An empty
-table gives no rows; further columns are ignored.
+A node is a set, whatever the ids of its rows, so rows that share a doc_id or
+have none are linked by their own texts; a component is named by its smallest
+id, null if no row of it has one, and keeps the rows of that id with the
+smallest key (hash of id and text).  An empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.llm.common import connected_components, stage
+from conductlens.llm.common import connected_components, row_key, stage
 from conductlens.llm.shingles import WordHashes, shingle_set
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
@@ -81,15 +83,16 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, width, cache) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, width, cache) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     _lists([band_keys(registers(s)) for s in sets], pa.int64()),
                 ],
-                ["id", "n", "set_key", "bands"],
+                ["id", "key", "n", "set_key", "bands"],
             )
 
     return run
@@ -194,12 +197,16 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, pivots: int = 0
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable), kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stage(texts.mapInArrow(_sketch(width), "id long, n long, set_key binary, bands array<long>"))
-    # documents with equal sets are one node, named by the smallest id
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept, key."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    sketches = stage(texts.mapInArrow(_sketch(width), "id long, key long, n long, set_key binary, bands array<long>"))
+    # documents with equal sets are one node, numbered once; its first row has the smallest id, null ids last
+    first_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     nodes = stage(
-        sketches.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        sketches.where("n > 0")
+        .groupBy("set_key")
+        .agg(first_row.alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).where("key <> 0")
     buckets = buckets.select("node", "n", F.xxhash64("band", "key").alias("bucket"))
@@ -208,9 +215,9 @@ def near_duplicates(
     # the text that copies stem from shares the most bands: it is the best pivot
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
     first = members.select("bucket", "node").join(degrees, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-    wanted = members.select(F.col("node").alias("id")).distinct()
+    wanted = nodes.select("node", F.col("row.key").alias("key")).join(members.select("node").distinct(), "node", "left_semi")
     sets = stage(
-        texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, hashes binary").dropDuplicates(["id"])
+        texts.select("key", "text").join(wanted, "key").select("node", "text").mapInArrow(_sets(width), "id long, hashes binary").dropDuplicates(["id"])
     )
     ratio = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     sketch = nodes.select("node", "n", "bands")
@@ -252,10 +259,14 @@ def near_duplicates(
         if more.limit(1).count():
             links = links.unionByName(more)
             label = components(links)
-    reached = nodes.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    return sketches.join(reached, "set_key", "left").select(
+    reached = nodes.select("set_key", "row", "node").join(label, "node", "left").select("set_key", "row", F.coalesce("component", "node").alias("component"))
+    named = reached.groupBy("component").agg(F.min("row").alias("top"))
+    found = sketches.join(reached.select("set_key", "component").join(named, "component").select("set_key", "top"), "set_key", "left")
+    linked = F.col("top").isNotNull()
+    return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"),
+        F.when(linked, F.col("top.id")).otherwise(F.col("id")).alias("component_id"),
+        (~linked | (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("key") == F.col("top.key")))).alias("kept"),
+        "key",
     )

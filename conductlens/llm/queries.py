@@ -60,7 +60,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conductlens.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = near_duplicates(docs).where("not kept").select(F.col("key").alias("_key")).distinct()
+    out = docs.withColumn("_key", row_key("doc_id", "text")).join(dropped, "_key", "left_anti").select(*docs.columns)
     again = docs.groupBy(row_key("doc_id", "text")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if again else out
 

@@ -1,5 +1,6 @@
 import corpus_pipeline
 from conductlens.llm.toxicity import score_toxicity
+from corpus_pipeline import drop_near_duplicates
 from test_operators import DOCS, corpus, prose, rows
 
 import random
@@ -48,3 +49,16 @@ def test_stages(spark, tmp_path):
 
 
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    rng = random.Random(31)
+    words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    a, b, c, d = words(), words(), words(), words()
+    near = lambda t: " ".join([*t[:-1], "other"])
+    texts = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (7, near(b)), (None, near(a)), (None, " ".join(c)), (None, near(c)), (9, " ".join(d))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {(r["doc_id"], r["text"]) for r in rows(drop_near_duplicates(spark, docs, ""))}
+    nameless = [t for i, t in left if i is None]
+    assert {x for x in left if x[0] is not None} == {(1, " ".join(a)), (5, " ".join(b)), (9, " ".join(d))}
+    assert len(nameless) == 1 and nameless[0] in (" ".join(c), near(c))
