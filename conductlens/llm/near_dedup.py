@@ -6,9 +6,13 @@ leading zeros plus ten mantissa bits: 16 bits.  Four registers packed in a long
 are one band of the compressed sketch, 32 bands in all, so a pair of similarity
 0.75 shares no band with probability (1 - 0.75^4)^32, about 5 in a million; an
 empty register is a value like any other, which makes small sets meet more
-often, never less.  Documents that share a band are candidates; the sketches
-give a collision-corrected Jaccard estimate that drops pairs six standard
-deviations below the threshold, and what is left is verified on full sets.
+often, never less.  Sets of a few shingles fill few bands, so sets of at most
+SMALL shingles also meet on single shingles, without chance: of n shingles in
+the order of their hashes a similar set holds one of the first
+n - ceil(0.75 n) + 1.  Documents that share a band or such a shingle are
+candidates; the sketches give a collision-corrected Jaccard estimate that drops
+pairs six standard deviations below the threshold, and what is left is verified
+on full sets.
 
 No bucket is expanded into all its pairs.  Documents with equal sets are one
 node.  In each bucket the nodes are first compared with one pivot, the node
@@ -18,7 +22,7 @@ mostly because of a passage that many documents hold.  These are completed by
 an exact prefix filter: two sets of the wanted similarity share a shingle among
 the rarest quarter of each, so nodes meet only on their rare shingles, and only
 those outside a shingle's largest component meet its others.  Every pair that
-shares a band is thus verified, already connected, or ruled out.
+shares a bucket is thus verified, already connected, or ruled out.
 
 Defined cases: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than the shingle width is one shingle.
@@ -46,6 +50,7 @@ from conductlens.llm.shingles import WordHashes, shingle_set
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 PER_BAND = REGISTERS // BANDS
 BODY = np.uint64(57)  # bits of a hash below the register number
+SMALL = 64  # shingles up to which a set also has its exact keys
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -74,12 +79,21 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def exact_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest hashes of a sorted small set, of which every set of the wanted similarity holds one.
+
+    The larger of two similar sets may be above SMALL only if the smaller has more than percent / 100 * SMALL shingles.
+    """
+    n = len(shingles)
+    return shingles[: n + (-n * percent) // 100 + 1 if 0 < n <= SMALL else 0].view(np.int64)
+
+
 def _lists(rows: list[np.ndarray], kind) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat, kind))
 
 
-def _sketch(width: int):
+def _sketch(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
@@ -91,8 +105,9 @@ def _sketch(width: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     _lists([band_keys(registers(s)) for s in sets], pa.int64()),
+                    _lists([exact_keys(s, percent) for s in sets], pa.int64()),
                 ],
-                ["id", "key", "n", "set_key", "bands"],
+                ["id", "key", "n", "set_key", "bands", "rare"],
             )
 
     return run
@@ -175,7 +190,8 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     rows = nodes.join(sets.withColumnRenamed("id", "node"), "node").select("node", "component", "hashes")
     rows = stage(rows.mapInArrow(_exploded, "node long, component long, n long, hash long"))
-    held = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    # written, as are the tables per shingle below: Spark can then split the rows of a hot shingle in the joins
+    held = stage(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1"))
     shared = rows.join(held, "hash")
     counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("many"))
     # places of the prefix that shared shingles can take
@@ -186,8 +202,8 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # left: shingles from this one on; the ones before it are rarer
     prefix = stage(ranked.select("hash", "node", "component", "n", (F.col("many") - F.col("_r") + 1).alias("left")))
     sizes = prefix.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    outside = prefix.join(largest, "hash").where("component <> largest").select("hash", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    largest = stage(sizes.groupBy("hash").agg(F.max_by("component", F.struct("size", "component")).alias("largest")))
+    outside = stage(prefix.join(largest, "hash").where("component <> largest").select("hash", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx")))
     # at the rarest shingle of both, the rest must be long enough for the overlap: (100 + p) * overlap >= p * (n + nx)
     near = F.least("left", "lx") * (100 + percent) >= (F.col("n") + F.col("nx")) * percent
     met = prefix.join(outside, "hash").where((F.col("component") != F.col("cx")) & near)
@@ -199,17 +215,18 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept, key."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    sketches = stage(texts.mapInArrow(_sketch(width), "id long, key long, n long, set_key binary, bands array<long>"))
+    sketches = stage(texts.mapInArrow(_sketch(width, percent), "id long, key long, n long, set_key binary, bands array<long>, rare array<long>"))
     # documents with equal sets are one node, numbered once; its first row has the smallest id, null ids last
     first_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     nodes = stage(
         sketches.where("n > 0")
         .groupBy("set_key")
-        .agg(first_row.alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .agg(first_row.alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("rare").alias("rare"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).where("key <> 0")
-    buckets = buckets.select("node", "n", F.xxhash64("band", "key").alias("bucket"))
+    banded = F.transform("bands", lambda key, band: F.when(key != 0, F.xxhash64(band, key)))
+    exact = F.transform("rare", lambda key: F.xxhash64(F.lit("shingle"), key))
+    buckets = nodes.select("node", "n", F.explode(F.concat(banded, exact)).alias("bucket")).where("bucket is not null")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(buckets.join(shared, "bucket"))
     # the text that copies stem from shares the most bands: it is the best pivot

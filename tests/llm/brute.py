@@ -31,15 +31,16 @@ def components(nodes, links):
 def near(docs, width=5, percent=75):
     """doc_id -> (set size, component)."""
     sets = {i: shingles(t, width) for i, t in docs}
-    ids = sorted(sets)
+    holders = collections.defaultdict(list)
+    for i in sets:
+        for x in sets[i]:
+            holders[x].append(i)
     links = []
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                links.append((a, b))
-    found = components(ids, links)
-    return {i: (len(sets[i]), found[i]) for i in ids}
+    for a in sets:
+        common = collections.Counter(b for x in sets[a] for b in holders[x] if b < a)
+        links += [(a, b) for b, both in common.items() if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)]
+    found = components(sorted(sets), links)
+    return {i: (len(sets[i]), found[i]) for i in sets}
 
 
 def repeats(docs, width):

@@ -305,6 +305,35 @@ def test_near_duplicates(spark, pivots):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (*want[i], want[i][1] == i), i
 
 
+def test_short_texts_lose_no_link(spark):
+    words = "ac2f344200 7512d452ff 86adfc6fc1 2d14351e24 863237ea2e 244c1c0218 89208473d9 4ef0a73c8b".split()
+    docs = [(1, " ".join(words)), (2, " ".join(words[:7]))]  # three of four shingles in common, and no band
+    rng = random.Random(13)
+    for k in range(1500):
+        base = [f"{rng.getrandbits(40):x}" for _ in range(rng.randint(5, 12))]
+        docs += [(10 + 3 * k, " ".join(base)), (11 + 3 * k, " ".join(base[: max(len(base) - rng.randint(1, 2), 1)])), (12 + 3 * k, " ".join(base[1:]))]
+    want = brute.near(docs)
+    assert want[2][1] == 1
+    got = by_id(near_duplicates(documents(spark, docs)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(14)
+    a, b, x = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    docs = [(1, a), (1, b), (2, a + " zz"), (3, b + " zz"), (None, x), (5, x), (None, None), (7, ""), (8, "one two"), (9, "one two")]
+    got = rows(near_duplicates(documents(spark, docs)))
+    found = {(r["doc_id"], r["n_shingles"]): r for r in got}
+    assert len(got) == len(docs)
+    # texts, not ids, are linked: each near copy belongs with the row 1 that it resembles
+    assert {r["component_id"] for r in got if r["doc_id"] in (2, 3)} == {1}
+    # a component is named by its smallest id, and keeps that row
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"] in (5,)] == [(5, 5, True)]
+    assert found[(None, 36)]["component_id"] == 5 and not found[(None, 36)]["kept"]
+    assert found[(None, 0)]["component_id"] is None and found[(None, 0)]["kept"] and found[(7, 0)]["component_id"] == 7
+    assert found[(9, 1)]["component_id"] == 8
+
+
 def test_sketch_estimates():
     rng = random.Random(11)
     cache = WordHashes()
