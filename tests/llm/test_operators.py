@@ -272,6 +272,14 @@ def test_line_dedup(spark, least):
         assert got[i]["text"] == kept, i
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {k} of a very long text" if k % 3 else "" for k in range(50_000)]
+    got = by_id(dedup_lines(documents(spark, [(1, "\n".join(lines)), (2, "\n".join([*lines, "", "an end of its own, six"]))])))
+    assert (got[1]["n_lines"], got[1]["n_removed"], got[1]["text"]) == (50_000, 0, "\n".join(lines))
+    # blank lines before the first deleted line stay
+    assert (got[2]["n_lines"], got[2]["n_removed"], got[2]["text"]) == (50_002, 33_333, "\nan end of its own, six")
+
+
 # --- 6 ---
 
 
