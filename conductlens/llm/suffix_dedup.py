@@ -343,7 +343,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = cut.select("text_key", "text").join(spans, "text_key").mapInArrow(
         _kept(width), "text_key binary, n_removed long, n_spans long, kept string, spans array<array<int>>"
     )
-    result = stage(result).dropDuplicates(["text_key"])
+    # rows of one id and text give a text twice; written once per text, so that Spark can split the copies' rows in the join
+    result = stage(result.dropDuplicates(["text_key"]))
     return scanned.select("id", "text_key", "n_bytes", "sha256").join(result, "text_key", "left").select(
         F.col("id").alias(id_col),
         "n_bytes",
