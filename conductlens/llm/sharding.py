@@ -78,7 +78,8 @@ def shard_documents(
         # links of a group per shard, combined in the map tasks
         held = at.where(small).groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
         tied = {r["shard"]: r["n"] for r in at.where("degree > 1").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        best = held.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("to"))
+        # written, as ``linked`` is: a hot group's rows can be split in the join
+        best = stage(held.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("to")))
         wish = at.where(small).join(best, "grp").where(F.col("shard") != F.col("to")).select("row", "grp", "to", F.col("shard").alias("from"))
         asked = {(r["from"], r["to"]): r["n"] for r in wish.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not asked:
