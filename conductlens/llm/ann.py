@@ -18,9 +18,9 @@ Equal vectors are one entry of the index with its smallest ids, so a vector
 with very many copies is neither a hot block nor a source of lost ties.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, neither do vectors whose length is not the most
-frequent one; a repeated id with the same vector counts once; with fewer than
-``k`` candidates all are returned; an empty table gives no rows.
+components take no part; shorter vectors count as padded with zeros; a repeated
+id with the same vector counts once; with fewer than ``k`` candidates all are
+returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,28 +82,40 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Columns of the k best of each row: score descending, then smaller id."""
-    out = []
-    for row in scores:
-        if len(row) > k:
-            edge = np.partition(row, len(row) - k)[len(row) - k]
-            near = np.flatnonzero(row >= edge)
-        else:
-            near = np.arange(len(row))
-        out.append(near[np.lexsort((ids[near], -row[near]))[:k]])
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from the first component to the last, so that they depend on the two vectors only."""
+    out = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        out += q[:, j] * x[:, j]
     return out
 
 
+def _best(q: np.ndarray, x: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best of each row of ``scores``: score descending, then smaller id; -inf takes no part.
+
+    ``scores`` are matrix products, right but for their last bits; what comes near a row's k-th is scored again.
+    """
+    n = scores.shape[1]
+    edge = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    margin = 1e-12 * np.linalg.norm(q, axis=1) * max(np.linalg.norm(x, axis=1).max(initial=0.0), 1.0)
+    near = (scores >= (edge - margin)[:, None]) & (scores > -np.inf)
+    row, column = np.nonzero(near)
+    exact = _products(q[row], x[column])
+    order = np.lexsort((ids[column], -exact, row))
+    row, column, exact = row[order], column[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return row[keep], column[keep], exact[keep]
+
+
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) rows that take part."""
+    """(id, vec) rows that take part, padded with zeros to the longest."""
     vec = F.col(vec_col)
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.where(F.col(id_col).isNotNull() & vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0))
-    sizes = rows.groupBy(F.size(vec).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "d").first()
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: x + F.lit(0).cast("float")).alias("vec"))
-    return rows.where(F.size("vec") == (top.d if top else 0))
+    most = rows.agg(F.max(F.size(vec))).first()[0] or 0
+    padded = F.concat(F.transform(vec, lambda x: x + F.lit(0).cast("float")), F.array_repeat(F.lit(0).cast("float"), F.lit(most) - F.size(vec)))
+    return rows.select(F.col(id_col).cast("long").alias("id"), padded.alias("vec"))
 
 
 def search(
@@ -117,7 +129,7 @@ def search(
     bits: int = 6,
     block_rows: int = 4096,
     query_rows: int = 4096,
-    recall: float = 0.97,
+    recall: float = 0.95,
     sample: int = 64,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``query_every``.
@@ -166,12 +178,12 @@ def search(
         x, q, at = _matrix(left["vec"]), _matrix(right["vec"]), right["pos"].to_numpy()
         found = []
         for i in range(0, len(q), 256):
-            scores = q[i : i + 256] @ x.T
+            part = q[i : i + 256]
+            scores = part @ x.T
             scores[np.abs(at[i : i + 256, None] - near[None, :]) > window] = -np.inf
-            for j, best in enumerate(_best(scores, ids, k + 1)):
-                best = best[scores[j, best] > -np.inf]
-                found.append(pd.DataFrame({"query": theirs[i + j], "entry": ids[best], "score": scores[j, best]}))
-        return pd.concat(found)
+            row, column, score = _best(part, x, scores, ids, k + 1)
+            found.append((theirs[i + row], ids[column], score))
+        return pd.DataFrame(dict(zip(("query", "entry", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     met = None
     for c in range(n_curves):
@@ -222,10 +234,11 @@ def _fit_window(entries: DataFrame, on: list[DataFrame], wanted: DataFrame, tota
         names, q = sent.value
         for pdf in batches:
             ids = pdf["entry"].to_numpy()
-            scores = q @ _matrix(pdf["vec"]).T
+            x = _matrix(pdf["vec"])
+            scores = q @ x.T
             scores[names[:, None] == ids[None, :]] = -np.inf
-            for j, best in enumerate(_best(scores, ids, k)):
-                yield pd.DataFrame({"query": names[j], "entry": ids[best], "score": scores[j, best]})
+            row, column, score = _best(q, x, scores, ids, k)
+            yield pd.DataFrame({"query": names[row], "entry": ids[column], "score": score})
 
     true = entries.select("entry", "vec").mapInPandas(exact, "query long, entry long, score double")
     true = true.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("_r") <= k)
