@@ -1,15 +1,17 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
 A row leaves the comparison as soon as its length or its prefix is unique; only
-groups that survive both are compared by the SHA-256 digest of the whole text.
+groups that survive both are compared, by the SHA-256 digest of the whole text.
+The digest is part of every row's result, so the one scan computes it for all.
 No text is ever shuffled: the scan reduces each row to (id, length, prefix
 hash, digest), and hot groups are combined in the map tasks before a shuffle.
 
 Defined cases: a null text counts as the empty text, so all null and empty
 texts form one group.  Rows with a null id can be dropped but never kept while
 another row of the group has an id; a group of null ids only keeps all of them.
-Repeated rows (same id, same text) all carry the same ``kept`` flag and count
-in ``group_size``.  An empty table gives no rows.  Other columns are ignored.
+Repeated rows (same id, same text) all carry the same ``kept`` flag, since a
+decision that is carried by ids cannot tell them apart, and count in
+``group_size``.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -100,7 +100,7 @@ def url_filter(
     rounds: int = 15,
     depth: int = 3,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, by_rule.
+    """One row per page: id, host, path, rule, verdict, by_rule (the rule's verdict, null where the trees judged).
 
     ``max_train_rows`` bounds the labelled URLs that the trees are fitted on,
     taken in the order of a hash of the URL; suffix statistics and verdicts
@@ -120,7 +120,7 @@ def url_filter(
     columns = [F.col("id").alias(id_col), "host", "path", "rule"]
     if tally.n == 0 or tally.blocked in (0.0, float(tally.n)):
         rest = F.lit("block" if tally.n and tally.blocked else "allow")
-        return rows.select(*columns, F.coalesce("by_rule", rest).alias("verdict"))
+        return rows.select(*columns, F.coalesce("by_rule", rest).alias("verdict"), "by_rule")
     prior = tally.blocked / tally.n
     for key in ("suffix", "section"):
         rows = rows.join(suffix_rates(labelled, key, prior), key, "left").fillna(prior, [f"f_rate_{key}"])
@@ -137,4 +137,4 @@ def url_filter(
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, cacheNodeIds=False).fit(train.select("features", "label"))
     judged = model.transform(ready.select(*[c for c in ("id", "host", "path", "rule", "by_rule", "features")]))
     verdict = F.coalesce("by_rule", F.when(F.col("prediction") >= 0.5, "block").otherwise("allow"))
-    return judged.select(*columns, verdict.alias("verdict"))
+    return judged.select(*columns, verdict.alias("verdict"), "by_rule")

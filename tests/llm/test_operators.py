@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -18,6 +19,7 @@ from conductlens.llm.induced import permuted_lcp, suffix_array
 from conductlens.llm.line_dedup import dedup_lines
 from conductlens.llm.mixing import mix_sources
 from conductlens.llm.near_dedup import estimate, near_duplicates
+from conductlens.llm.sentencepiece_lattice import encode
 from conductlens.llm.sharding import cut_links, shard_documents
 from conductlens.llm.shingles import WordHashes, shingle_set
 from conductlens.llm.suffix_dedup import repeated_bytes
@@ -439,13 +441,15 @@ def test_search(spark):
     centres = rng.standard_normal((12, 16))
     vectors = [(int(k), (centres[k % 12] + 0.2 * rng.standard_normal(16)).tolist(), 0) for k in range(600)]
     vectors += [(1000 + k, vectors[3][1], 0) for k in range(80)]
-    bad = [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [1.0] * 5, 0), (2080, [None] + [1.0] * 15, 0), (2100, [float("inf")] * 16, 0)]
+    vectors.append((2060, [1.0] * 5, 0))  # counts as padded with zeros
+    bad = [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2080, [None] + [1.0] * 15, 0), (2100, [float("inf")] * 16, 0)]
     schema = "vec_id long, embedding array<float>, label int"
     got = collections.defaultdict(list)
     for r in rows(search(spark.createDataFrame(vectors + bad, schema), block_rows=128, query_rows=8)):
         got[r["query_id"]].append(r)
     ids = np.array([v[0] for v in vectors])
-    x = np.array([v[1] for v in vectors], np.float32).astype(np.float64)
+    x = np.array([v[1] + [0.0] * (16 - len(v[1])) for v in vectors], np.float32).astype(np.float64)
+    in_order = lambda a, b: functools.reduce(lambda s, p: s + p[0] * p[1], zip(a.tolist(), b.tolist(), strict=True), 0.0)
     assert set(got) == {int(i) for i in ids if i % 20 == 0}
     hits = 0
     for q, found in got.items():
@@ -454,13 +458,24 @@ def test_search(spark):
         near = np.lexsort((ids, -np.round(score, 9)))
         want = [int(ids[k]) for k in near if ids[k] != q][:20]
         assert [r["rank"] for r in found] == list(range(1, 21)) and q not in [r["vec_id"] for r in found]
-        assert all(r["score"] == pytest.approx(score[ids == r["vec_id"]][0]) for r in found)
+        assert all(r["score"] == in_order(x[ids == r["vec_id"]][0], x[ids == q][0]) for r in found)
         hits += len(set(want) & {r["vec_id"] for r in found})
     assert hits >= 0.9 * 20 * len(got)
     few = rows(search(spark.createDataFrame(vectors[:4], schema)))
     assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2), (0, 3)]
 
 
+def test_equal_scores_are_ordered_by_id(spark):
+    vectors = [(20 * k, [1.0, float(k % 2)]) for k in range(30)] + [(20 * k + 1, [2.0, -1.0]) for k in range(40)]
+    got = collections.defaultdict(list)
+    for r in sorted(rows(search(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, v in vectors:
+        if q % 20 == 0:
+            want = sorted((-(v[0] * x[0] + v[1] * x[1]), i) for i, x in vectors if i != q)[:20]
+            assert got[q] == [(i, -s) for s, i in want]
+
+
 # --- all ---
 
 
@@ -469,6 +484,7 @@ def test_empty_tables(spark):
     made = [
         repeated_bytes(docs), mix_sources(docs), score_toxicity(docs, labels), dedup_lines(docs), exact_dedup(docs), near_duplicates(docs), shard_documents(docs),
         url_filter(spark.createDataFrame([], "page_id long, url string, html string"), [("allow", "com/")]), search(spark.createDataFrame([], "vec_id long, embedding array<float>")),
+        encode(docs),
     ]
     assert all(df.count() == 0 for df in made)
 
@@ -481,3 +497,27 @@ def test_repeated_rows_and_clashing_columns(spark):
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
     for made in (repeated_bytes(docs, width=10, gram=4), mix_sources(docs), score_toxicity(docs, labels), dedup_lines(docs), exact_dedup(docs), near_duplicates(docs), shard_documents(docs)):
         assert made.count() == len(texts)
+    coded = rows(encode(docs))
+    assert len(coded) == len(texts) and all(r["round_trip"] for r in coded)
+    clash = lambda df, *names: df.withColumns({n: F.lit("x") for n in names})
+    pages = clash(spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id long, url string"), "host", "path", "rule", "id", "label", "by_rule", "features", "verdict")
+    assert url_filter(pages, [("allow", "com/")]).count() == 3
+    vectors = clash(spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (21, [0.5, 0.5]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>"), "id", "vec", "pos", "entry", "rank")
+    assert [(r["query_id"], r["vec_id"]) for r in rows(search(vectors))] == [(20, 21)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(40)
+    long = prose(rng, 60_000)
+    texts = [(1, long), (2, long + " end"), (3, "short text of a few words")]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    cut = by_id(repeated_bytes(docs))
+    size = len(long.encode())
+    assert [(cut[i]["n_removed"], cut[i]["n_spans"]) for i in (1, 2, 3)] == [(size, 1), (size, 1), (0, 0)]
+    near = by_id(near_duplicates(docs))
+    assert [near[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3]
+    assert [r["n_removed"] for _, r in sorted(by_id(dedup_lines(docs)).items())] == [0, 0, 0]
+    assert {r["size"] for r in rows(mix_sources(docs))} == {60_000, 60_001, 6}
+    assert exact_dedup(docs).count() == score_toxicity(docs, labels).count() == shard_documents(docs).count() == 3
+    assert all(r["round_trip"] for r in rows(encode(docs)))
