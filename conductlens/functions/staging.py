@@ -1,40 +1,99 @@
-"""Lineage cuts in the shared folder and a global order without one big sort."""
+"""Lineage cuts in the shared folder, a global order without one big sort, running values over it."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the folder in spark.checkpoint.dir and read it back."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, below one folder for each application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
+        local = tempfile.mkdtemp(prefix="spark-stage-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; no frame made from it can be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "x")).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    spark: SparkSession = df.sparkSession
+    path = shared_folder(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A frame that is made when it is first used, and written when it is used again."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self.make, self.df, self.uses = make, None, 0
+
+    def __call__(self) -> DataFrame:
+        self.uses += 1
+        if self.uses == 1:
+            self.df = self.make()
+        elif self.uses == 2:
+            self.df = stage(self.df)
+        return self.df
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in range partitions, sorted in place, with their place in them (_at); written, so that a repeated evaluation sees the same partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return done.withColumn("_part", F.shiftright("_at", 33))
+
+
 def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Number rows 0.. in a total order: range partitions sorted in place, plus the sizes of the ones before.
 
-    The sorted rows are written once, so that a repeated evaluation sees the
-    same partitions; the table of sizes has one row per partition.
+    The table of sizes has one row per partition.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = done.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    done = _ranged(df, order)
+    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = done.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return done.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + local).drop("_part", "_offset", "_at")
+    return done.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + local).drop("_part", "_offset", "_at")
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, Column], largest: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums (the row included) and running maxima (of the rows before) in a total order.
+
+    The windows are range partitions; the partitions' own sums and maxima are
+    carried on in a table of one row per partition.
+    """
+    largest = largest or {}
+    done = _ranged(df, order)
+    in_part = Window.partitionBy("_part").orderBy("_at")
+    upto, before = in_part.rowsBetween(Window.unboundedPreceding, 0), in_part.rowsBetween(Window.unboundedPreceding, -1)
+    totals = done.groupBy("_part").agg(*[F.sum(x).alias(f"_s_{k}") for k, x in sums.items()], *[F.max(x).alias(f"_m_{k}") for k, x in largest.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        "_part",
+        *[F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)).alias(f"_c_{k}") for k in sums],
+        *[F.max(f"_m_{k}").over(earlier).alias(f"_c_{k}") for k in largest],
+    )
+    local = done.withColumns({**{k: F.sum(x).over(upto) for k, x in sums.items()}, **{k: F.max(x).over(before) for k, x in largest.items()}})
+    joined = local.join(F.broadcast(carried), "_part")
+    joined = joined.withColumns({**{k: F.col(k) + F.col(f"_c_{k}") for k in sums}, **{k: F.greatest(k, f"_c_{k}") for k in largest}})
+    return joined.drop("_part", "_at", *[f"_c_{k}" for k in [*sums, *largest]])

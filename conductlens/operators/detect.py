@@ -1,8 +1,9 @@
 """Anomaly detectors: events against profiles.
 
-All detectors share one prepared frame: the tool calls of profiled agents, with
-the call before them in their run.  The sequence detector looks at named calls
-only, the rate detector at all calls; each has its own notion of a run.
+The sequence detector looks at named calls only, the rate detector at all calls;
+each has its own notion of a run.  ``detect`` runs the four built-in detectors
+in one pass over the tool calls of profiled agents; each of them also stands
+alone, for lists of detectors of a caller's own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from conductlens.functions.stats import z_score
 from conductlens.functions.text import fixed
 from conductlens.operators.profile import Profile
-from conductlens.operators.sessions import order_columns, previous, rate_per_minute, session_runs
+from conductlens.operators.sessions import followed_calls, order_columns, previous, rate_per_minute, session_runs
 from conductlens.schemas import EVENT_COLUMNS
 
 FULL_CONFIDENCE = 100.0  # events of a profile from which its word counts fully
@@ -44,18 +45,19 @@ def _calls(events: DataFrame, profile: Profile) -> DataFrame:
     return attach_profile(events, profile).where("event_type = 'ToolCall'")
 
 
-def _record(kind: str, description: Column, baseline: Column, observed: Column, z: Column, severity: Column, numbers: tuple[Column, Column]) -> list[Column]:
-    return [
+def _record(kind: str, description: Column, baseline: Column, observed: Column, z: Column, severity: Column, numbers: tuple[Column, Column]) -> Column:
+    """One anomaly as a struct; ``baseline_value`` of an unknown tool or pair is completed from the agent's profile."""
+    return F.struct(
         F.lit(kind).alias("anomaly_type"),
         severity.alias("severity"),
         description.alias("description"),
-        baseline.alias("baseline_value"),
+        baseline.cast("string").alias("baseline_value"),
         observed.alias("observed_value"),
         z.cast("double").alias("z_score"),
         F.least(F.col("event_count") / FULL_CONFIDENCE, F.lit(1.0)).alias("confidence"),
         numbers[0].cast("double").alias("observed_num"),
         numbers[1].cast("double").alias("baseline_mean"),
-    ]
+    )
 
 
 def _severity(z: Column, threshold: float) -> Column:
@@ -70,6 +72,81 @@ def _event_columns(df: DataFrame) -> list[str]:
     return [c for c in [*EVENT_COLUMNS, "arrival"] if c in df.columns]
 
 
+def _unknown_tool() -> Column:
+    return _record("UnknownTool", F.concat(F.lit("unknown tool: "), "tool_name"), F.lit(None), F.col("tool_name"), F.lit(None), F.lit("High"), _no_number())
+
+
+def _unknown_sequence() -> Column:
+    pair = F.concat("before", F.lit("->"), "tool_name")
+    return _record("UnknownSequence", F.concat(F.lit("unseen sequence: "), pair), F.lit(None), pair, F.lit(None), F.lit("Medium"), _no_number())
+
+
+def _rate_spike(threshold: float) -> Column:
+    z, rate = F.col("rate_z"), fixed(F.col("rate"), 1)
+    return _record(
+        "RateSpike",
+        F.concat(F.lit("rate spike: "), rate, F.lit(" calls/min (z="), fixed(z, 1), F.lit(")")),
+        F.concat(fixed(F.col("rate_mean"), 1), F.lit(" calls/min (mean)")),
+        F.concat(rate, F.lit(" calls/min")),
+        z,
+        _severity(z, threshold),
+        (F.col("rate"), F.col("rate_mean")),
+    )
+
+
+def _volume_spike(threshold: float) -> Column:
+    z, size = F.col("volume_z"), fixed(F.col("volume"), 0)
+    return _record(
+        "VolumeSpike",
+        F.concat(F.lit("volume spike on "), "tool_name", F.lit(": "), size, F.lit(" bytes (z="), fixed(z, 1), F.lit(")")),
+        F.concat(fixed(F.col("vol_mean"), 0), F.lit(" bytes (mean)")),
+        F.concat(size, F.lit(" bytes")),
+        z,
+        _severity(z, threshold),
+        (F.col("volume"), F.col("vol_mean")),
+    )
+
+
+def rated(calls: DataFrame) -> DataFrame:
+    """Adds ``rate`` and ``rate_z`` to calls with ``before_time`` and their agent's counters."""
+    calls = calls.withColumn("rate", rate_per_minute(F.col("timestamp"), F.col("before_time")))
+    return calls.withColumn("rate_z", z_score(F.col("rate"), F.col("rate_count"), F.col("rate_mean"), F.col("rate_m2")))
+
+
+def moved(calls: DataFrame) -> DataFrame:
+    """Adds ``volume`` and ``volume_z`` to calls with their tool's moments."""
+    calls = calls.withColumn("volume", (F.col("data_in_bytes") + F.col("data_out_bytes")).cast("double"))
+    return calls.withColumn("volume_z", z_score(F.col("volume"), F.col("vol_count"), F.col("vol_mean"), F.col("vol_m2")))
+
+
+def known_tools(profile: Profile) -> DataFrame:
+    return profile.tool.select("agent_id", "tool_name", F.lit(True).alias("known"), "vol_count", "vol_mean", "vol_m2")
+
+
+def known_pairs(profile: Profile) -> DataFrame:
+    return profile.bigram.select("agent_id", F.col("first").alias("before"), F.col("second").alias("tool_name"), F.lit(True).alias("seen"))
+
+
+def _completed(found: DataFrame, profile: Profile, columns: list[str], list_tools: bool = True) -> DataFrame:
+    """Adds what unknown tools and pairs are held against: texts made once for each agent, joined to the few anomalies."""
+    pairs = profile.bigram.groupBy("agent_id").agg(F.count(F.lit(1)).alias("_n"))
+    found = found.join(pairs, "agent_id", "left")
+    known = F.lit(None).cast("string")
+    if list_tools:
+        tools = profile.tool.groupBy("agent_id").agg(F.array_join(F.sort_array(F.collect_list("tool_name")), ", ").alias("_tools"))
+        found = found.join(tools, "agent_id", "left")
+        known = F.concat(F.lit("known tools: ["), F.coalesce("_tools", F.lit("")), F.lit("]"))
+    text = (
+        F.when(F.col("anomaly_type") == "UnknownTool", known)
+        .when(F.col("anomaly_type") == "UnknownSequence", F.concat(F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" known bigrams")))
+        .otherwise(F.col("baseline_value"))
+    )
+    return found.withColumn("baseline_value", text).select(*columns, *RECORD)
+
+
+RECORD = ["anomaly_type", "severity", "description", "baseline_value", "observed_value", "z_score", "confidence", "observed_num", "baseline_mean"]
+
+
 def unknown_tools(events: DataFrame, profile: Profile, threshold: float = 3.0, scope: str = "agent", list_tools: bool = True) -> DataFrame:
     """Named calls of tools that the agent's profile does not hold.
 
@@ -77,83 +154,68 @@ def unknown_tools(events: DataFrame, profile: Profile, threshold: float = 3.0, s
     """
     calls = _calls(events, profile).where("tool_name is not null")
     found = calls.join(profile.tool.select("agent_id", "tool_name"), ["agent_id", "tool_name"], "left_anti")
-    known = F.lit(None).cast("string")
-    if list_tools:
-        tools = profile.tool.groupBy("agent_id").agg(F.array_join(F.sort_array(F.collect_list("tool_name")), ", ").alias("_tools"))
-        found = found.join(tools, "agent_id", "left")
-        known = F.concat(F.lit("known tools: ["), F.coalesce("_tools", F.lit("")), F.lit("]"))
-    record = _record("UnknownTool", F.concat(F.lit("unknown tool: "), "tool_name"), known, F.col("tool_name"), F.lit(None), F.lit("High"), _no_number())
-    return found.select(*_event_columns(events), *record)
+    return _completed(found.select("*", F.inline(F.array(_unknown_tool()))), profile, _event_columns(events), list_tools)
 
 
 def unknown_sequences(events: DataFrame, profile: Profile, threshold: float = 3.0, scope: str = "agent", method: str = "rank") -> DataFrame:
     """Pairs of consecutive named calls that the profile does not hold; calls without a name are invisible."""
     order = order_columns(events)
     named = session_runs(_calls(events, profile).where("tool_name is not null"), _scope(scope), order, method)
-    pairs = named.withColumn("first", previous("tool_name", _scope(scope), order)).where("first is not null").withColumn("second", F.col("tool_name"))
-    found = pairs.join(profile.bigram.select("agent_id", "first", "second"), ["agent_id", "first", "second"], "left_anti")
-    known = profile.bigram.groupBy("agent_id").agg(F.count(F.lit(1)).alias("_n"))
-    pair = F.concat("first", F.lit("->"), "second")
-    n = F.coalesce("_n", F.lit(0))
-    record = _record("UnknownSequence", F.concat(F.lit("unseen sequence: "), pair), F.concat(n.cast("string"), F.lit(" known bigrams")), pair, F.lit(None), F.lit("Medium"), _no_number())
-    return found.join(known, "agent_id", "left").select(*_event_columns(events), *record)
+    pairs = named.withColumn("before", previous("tool_name", _scope(scope), order)).where("before is not null")
+    found = pairs.join(known_pairs(profile), ["agent_id", "before", "tool_name"], "left_anti")
+    return _completed(found.select("*", F.inline(F.array(_unknown_sequence()))), profile, _event_columns(events), list_tools=False)
 
 
 def rate_spikes(events: DataFrame, profile: Profile, threshold: float = 3.0, scope: str = "agent", method: str = "rank") -> DataFrame:
     """Calls that follow the one before faster than the profile's rates allow."""
     order = order_columns(events)
     runs = session_runs(_calls(events, profile), _scope(scope), order, method)
-    timed = runs.withColumn("rate", rate_per_minute(F.col("timestamp"), previous("timestamp", _scope(scope), order)))
-    z = z_score(F.col("rate"), F.col("rate_count"), F.col("rate_mean"), F.col("rate_m2"))
-    found = timed.withColumn("z", z).where(F.col("z") > threshold)
-    rate = fixed(F.col("rate"), 1)
-    record = _record(
-        "RateSpike",
-        F.concat(F.lit("rate spike: "), rate, F.lit(" calls/min (z="), fixed(F.col("z"), 1), F.lit(")")),
-        F.concat(fixed(F.col("rate_mean"), 1), F.lit(" calls/min (mean)")),
-        F.concat(rate, F.lit(" calls/min")),
-        F.col("z"),
-        _severity(F.col("z"), threshold),
-        (F.col("rate"), F.col("rate_mean")),
-    )
-    return found.select(*_event_columns(events), *record)
+    timed = rated(runs.withColumn("before_time", previous("timestamp", _scope(scope), order)))
+    return timed.where(F.col("rate_z") > threshold).select(*_event_columns(events), F.inline(F.array(_rate_spike(threshold))))
 
 
 def volume_spikes(events: DataFrame, profile: Profile, threshold: float = 3.0, scope: str = "agent") -> DataFrame:
     """Named calls that move more data than the tool's history allows."""
-    calls = _calls(events, profile).where("tool_name is not null")
-    stats = profile.tool.select("agent_id", "tool_name", "vol_count", "vol_mean", "vol_m2")
-    volume = (F.col("data_in_bytes") + F.col("data_out_bytes")).cast("double")
-    found = calls.join(stats, ["agent_id", "tool_name"]).withColumn("volume", volume)
-    found = found.withColumn("z", z_score(F.col("volume"), F.col("vol_count"), F.col("vol_mean"), F.col("vol_m2"))).where(F.col("z") > threshold)
-    size = fixed(F.col("volume"), 0)
-    record = _record(
-        "VolumeSpike",
-        F.concat(F.lit("volume spike on "), "tool_name", F.lit(": "), size, F.lit(" bytes (z="), fixed(F.col("z"), 1), F.lit(")")),
-        F.concat(fixed(F.col("vol_mean"), 0), F.lit(" bytes (mean)")),
-        F.concat(size, F.lit(" bytes")),
-        F.col("z"),
-        _severity(F.col("z"), threshold),
-        (F.col("volume"), F.col("vol_mean")),
-    )
-    return found.select(*_event_columns(events), *record)
+    calls = moved(_calls(events, profile).join(known_tools(profile), ["agent_id", "tool_name"]))
+    return calls.where(F.col("volume_z") > threshold).select(*_event_columns(events), F.inline(F.array(_volume_spike(threshold))))
 
 
 DEFAULT: list[Callable[..., DataFrame]] = [unknown_tools, unknown_sequences, rate_spikes, volume_spikes]
 
 
+def graded(calls: DataFrame, profile: Profile, threshold: float, columns: list[str], kinds: tuple[str, ...] = DETECTORS) -> DataFrame:
+    """Anomalies of calls whose profile columns are joined: what each kind needs is tested side by side, in one pass."""
+    tests = {
+        "UnknownTool": lambda: (F.col("tool_name").isNotNull() & F.col("known").isNull(), _unknown_tool()),
+        "UnknownSequence": lambda: (F.col("before").isNotNull() & F.col("seen").isNull(), _unknown_sequence()),
+        "RateSpike": lambda: (F.col("rate_z") > threshold, _rate_spike(threshold)),
+        "VolumeSpike": lambda: (F.col("tool_name").isNotNull() & (F.col("volume_z") > threshold), _volume_spike(threshold)),
+    }
+    chosen = {kind: tests[kind]() for kind in kinds}
+    # rows without any anomaly go before texts are made
+    fires = F.array_compact(F.array(*[F.when(test, F.lit(DETECTORS.index(kind))) for kind, (test, _) in chosen.items()]))
+    calls = calls.withColumn("detector", F.explode(fires))
+    entry = reduce(lambda acc, kind: F.when(F.col("detector") == DETECTORS.index(kind), chosen[kind][1]).otherwise(acc), chosen, F.lit(None))
+    return _completed(calls.select("*", F.inline(F.array(entry))), profile, [*columns, "detector"])
+
+
 def detect(
     events: DataFrame, profile: Profile, threshold: float = 3.0, detectors: list[Callable[..., DataFrame]] | None = None, scope: str = "agent", agent_id: str | None = None
 ) -> DataFrame:
     """Anomalies of all detectors; ``detector`` is a detector's place in the list, for ordering by (arrival, detector).
 
-    A detector is a function (events, profile, threshold, scope) -> anomalies
-    with the columns of the built-in ones.
+    Without a list the four built-in ones run in one pass.  A detector is a
+    function (events, profile, threshold, scope) -> anomalies with the columns
+    of the built-in ones.
     """
     if agent_id is not None:
         events = events.where(F.col("agent_id") == agent_id)
-    found = [d(events, profile, threshold, scope).withColumn("detector", F.lit(k)) for k, d in enumerate(detectors or DEFAULT)]
-    return reduce(DataFrame.unionByName, found)
+    if detectors is not None:
+        found = [d(events, profile, threshold, scope).withColumn("detector", F.lit(k)) for k, d in enumerate(detectors)]
+        return reduce(DataFrame.unionByName, found)
+    calls = followed_calls(_calls(events, profile), _scope(scope), order_columns(events))
+    calls = calls.join(known_tools(profile), ["agent_id", "tool_name"], "left").join(known_pairs(profile), ["agent_id", "before", "tool_name"], "left")
+    return graded(moved(rated(calls)), profile, threshold, _event_columns(events))
 
 
 def anomaly_records(anomalies: DataFrame) -> DataFrame:

@@ -1,41 +1,49 @@
 """Behaviour profiles: seven tables per population of agents, built, merged and summarised.
 
-Building reads the prepared events once (they are staged) and aggregates them
-by small keys; merging a stored profile is a full outer join per table.
+A profile's tables are made when they are first asked for, so a caller pays for
+what it reads; frames that several tables need are written on their second use.
+Merging a stored profile is a full outer join per table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.functions.staging import stage
+from conductlens.functions.staging import Shared, stage
 from conductlens.functions.stats import merge_moments, moments
 from conductlens.operators.sessions import accept_events, order_columns, previous, rate_per_minute, session_runs
 from conductlens.schemas import PROFILE_KEYS, PROFILE_SCHEMAS
 
 
-@dataclass
 class Profile:
-    """The tables of many agents' profiles, and the events accepted in building them."""
+    """The tables of many agents' profiles, as frames or as functions that make them, and the events accepted in building them."""
 
-    agent: DataFrame
-    tool: DataFrame
-    param_set: DataFrame
-    bigram: DataFrame
-    resource: DataFrame
-    hour: DataFrame
-    hwm: DataFrame
-    accepted: DataFrame | None = None
+    def __init__(self, accepted: DataFrame | Callable[[], DataFrame] | None = None, **tables: DataFrame | Callable[[], DataFrame]):
+        if tables.keys() != PROFILE_SCHEMAS.keys():
+            raise ValueError(f"a profile has the tables {', '.join(PROFILE_SCHEMAS)}")
+        self._frames = {**tables, "accepted": accepted}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        frames = self.__dict__.get("_frames", {})
+        if name not in frames:
+            raise AttributeError(name)
+        if callable(frames[name]):
+            frames[name] = frames[name]()
+        return frames[name]
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "accepted"}
+        return {name: getattr(self, name) for name in PROFILE_SCHEMAS}
 
     def where(self, condition) -> Profile:
-        return Profile(**{k: v.where(condition) for k, v in self.tables().items()})
+        return Profile(**{k: (lambda k=k: getattr(self, k).where(condition)) for k in PROFILE_SCHEMAS})
+
+    def staged(self) -> Profile:
+        """The same tables, each written when it is first asked for: for readers that use a table several times."""
+        return Profile(accepted=self._frames["accepted"], **{k: (lambda k=k: stage(getattr(self, k))) for k in PROFILE_SCHEMAS})
 
 
 def empty_profile(spark) -> Profile:
@@ -61,58 +69,69 @@ def build_profile(
     order = order_cols or order_columns(events)
     if agent_id is not None:
         events = events.where(F.col("agent_id") == agent_id)
-    accepted = stage(accept_events(events, stored.hwm if stored else None, order))
-    runs = stage(session_runs(accepted, ["agent_id"], order, method))
     order_key = F.struct(*order)
-
-    calls = runs.where("event_type = 'ToolCall'").withColumn("tool", F.coalesce("tool_name", F.lit("unknown")))
-    calls = calls.withColumns({"before": previous("tool", ["agent_id"], order), "before_time": previous("timestamp", ["agent_id"], order)})
-    joined = None
-    if seam == "continuous" and last_state is not None:
-        # the first run of an agent goes on where its last event was, if the session is the same
-        first = runs.groupBy("agent_id").agg(F.min_by(F.struct("session_id", "run"), order_key).alias("f"))
-        joined = first.join(last_state.withColumnRenamed("session_id", "last_session"), "agent_id").where("f.session_id = last_session")
-        joined = joined.select("agent_id", F.col("f.session_id").alias("session_id"), F.col("f.run").alias("run"), F.col("tool_name").alias("last_tool"), "call_time")
-        opening = F.row_number().over(Window.partitionBy("agent_id", "session_id", "run").orderBy(*order)) == 1
-        calls = (
-            calls.withColumn("opening", opening)
-            .join(joined, ["agent_id", "session_id", "run"], "left")
-            .withColumn("before", F.when(F.col("opening"), F.col("last_tool")).otherwise(F.col("before")))
-            .withColumn("before_time", F.when(F.col("opening"), F.col("call_time")).otherwise(F.col("before_time")))
+    accepted = Shared(lambda: accept_events(events, stored.hwm if stored else None, order))
+    runs = Shared(lambda: session_runs(accepted(), ["agent_id"], order, method))
+    seamed = seam == "continuous" and last_state is not None
+
+    def joined() -> DataFrame:
+        """The first run of an agent goes on where its last event was, if the session is the same."""
+        first = runs().groupBy("agent_id").agg(F.min_by(F.struct("session_id", "run"), order_key).alias("f"))
+        both = first.join(last_state.withColumnRenamed("session_id", "last_session"), "agent_id").where("f.session_id = last_session")
+        return both.select("agent_id", F.col("f.session_id").alias("session_id"), F.col("f.run").alias("run"), F.col("tool_name").alias("last_tool"), "call_time")
+
+    def called() -> DataFrame:
+        calls = runs().where("event_type = 'ToolCall'").withColumn("tool", F.coalesce("tool_name", F.lit("unknown")))
+        calls = calls.withColumns({"before": previous("tool", ["agent_id"], order), "before_time": previous("timestamp", ["agent_id"], order)})
+        if seamed:
+            opening = F.row_number().over(Window.partitionBy("agent_id", "session_id", "run").orderBy(*order)) == 1
+            calls = (
+                calls.withColumn("opening", opening)
+                .join(joined(), ["agent_id", "session_id", "run"], "left")
+                .withColumn("before", F.when(F.col("opening"), F.col("last_tool")).otherwise(F.col("before")))
+                .withColumn("before_time", F.when(F.col("opening"), F.col("call_time")).otherwise(F.col("before_time")))
+            )
+        calls = calls.withColumns(
+            {"rate": rate_per_minute(F.col("timestamp"), F.col("before_time")), "volume": (F.col("data_in_bytes") + F.col("data_out_bytes")).cast("double")}
         )
-    calls = calls.withColumns(
-        {"rate": rate_per_minute(F.col("timestamp"), F.col("before_time")), "volume": (F.col("data_in_bytes") + F.col("data_out_bytes")).cast("double")}
-    )
-    calls = stage(calls.select("agent_id", "tool", "before", "rate", "volume", "timestamp", F.array_sort("param_keys").alias("param_keys"), *[c for c in order if c != "timestamp"]))
+        return calls.select("agent_id", "tool", "before", "rate", "volume", "timestamp", F.array_sort("param_keys").alias("param_keys"), *[c for c in order if c != "timestamp"])
 
-    n_runs = runs.select("agent_id", "session_id", "run").distinct().groupBy("agent_id").agg(F.count(F.lit(1)).alias("session_count"))
-    if joined is not None:
-        n_runs = n_runs.join(joined.select("agent_id", F.lit(1).alias("_seam")), "agent_id", "left").select(
-            "agent_id", (F.col("session_count") - F.coalesce("_seam", F.lit(0))).alias("session_count")
-        )
-    totals = runs.groupBy("agent_id").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min_by("timestamp", order_key).alias("first_seen"), F.max_by("timestamp", order_key).alias("last_updated")
-    )
+    calls = Shared(called)
     named = lambda prefix, m: [c.alias(f"{prefix}_{k}") for k, c in zip(("count", "mean", "m2"), m, strict=True)]
-    rates = calls.groupBy("agent_id").agg(*named("rate", moments(F.col("rate"))))
-    agent = totals.join(n_runs, "agent_id").join(rates, "agent_id", "left").fillna(0, ["rate_count"]).fillna(0.0, ["rate_mean", "rate_m2"])
+
+    def agent() -> DataFrame:
+        # runs are counted where they begin, next to the other totals: one aggregation a run, one an agent
+        each = runs().groupBy("agent_id", "session_id", "run").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(order_key.alias("at"), "timestamp")).alias("first"), F.max(F.struct(order_key.alias("at"), "timestamp")).alias("last")
+        )
+        totals = each.groupBy("agent_id").agg(
+            F.count(F.lit(1)).alias("session_count"), F.sum("n").alias("event_count"), F.min("first").alias("first"), F.max("last").alias("last")
+        )
+        if seamed:
+            totals = totals.join(joined().select("agent_id", F.lit(1).alias("_seam")), "agent_id", "left")
+            totals = totals.withColumn("session_count", F.col("session_count") - F.coalesce("_seam", F.lit(0)))
+        rates = calls().groupBy("agent_id").agg(*named("rate", moments(F.col("rate"))))
+        out = totals.join(rates, "agent_id", "left").fillna(0, ["rate_count"]).fillna(0.0, ["rate_mean", "rate_m2"])
+        return out.select(
+            "agent_id", "session_count", "event_count", F.col("first.timestamp").alias("first_seen"), F.col("last.timestamp").alias("last_updated"), "rate_count", "rate_mean", "rate_m2"
+        )
+
     new = Profile(
-        agent=agent.select("agent_id", "session_count", "event_count", "first_seen", "last_updated", "rate_count", "rate_mean", "rate_m2"),
-        tool=calls.groupBy("agent_id", F.col("tool").alias("tool_name")).agg(
+        accepted=accepted,
+        agent=agent,
+        tool=lambda: calls().groupBy("agent_id", F.col("tool").alias("tool_name")).agg(
             F.count(F.lit(1)).alias("call_count"),
             F.min_by("timestamp", order_key).alias("first_seen"),
             F.max_by("timestamp", order_key).alias("last_seen"),
             *named("vol", moments(F.col("volume"))),
         ),
-        param_set=calls.select("agent_id", F.col("tool").alias("tool_name"), "param_keys").distinct(),
-        bigram=calls.where("before is not null").groupBy("agent_id", F.col("before").alias("first"), F.col("tool").alias("second")).agg(F.count(F.lit(1)).alias("n")),
-        resource=runs.select("agent_id", F.explode("resource_ids").alias("resource_id")).distinct(),
-        hour=runs.groupBy("agent_id", F.hour("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("n")),
-        hwm=runs.groupBy("agent_id", "session_id").agg(F.greatest(F.max("sequence_position"), F.lit(0)).alias("hwm")),
+        param_set=lambda: calls().select("agent_id", F.col("tool").alias("tool_name"), "param_keys").distinct(),
+        bigram=lambda: calls().where("before is not null").groupBy("agent_id", F.col("before").alias("first"), F.col("tool").alias("second")).agg(F.count(F.lit(1)).alias("n")),
+        resource=lambda: accepted().select("agent_id", F.explode("resource_ids").alias("resource_id")).distinct(),
+        hour=lambda: accepted().groupBy("agent_id", F.hour("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("n")),
+        hwm=lambda: accepted().groupBy("agent_id", "session_id").agg(F.greatest(F.max("sequence_position"), F.lit(0)).alias("hwm"), F.max("timestamp").alias("seen")),
     )
-    out = merge_profiles(stored, new) if stored else new
-    out.accepted = accepted
-    return out
+    return merge_profiles(stored, new) if stored else new
 
 
 def last_state_of(accepted: DataFrame, older: DataFrame | None = None, order_cols: list[str] | None = None) -> DataFrame:
@@ -164,16 +183,31 @@ def merge_profiles(old: Profile, new: Profile) -> Profile:
 
     union = lambda name: getattr(old, name).unionByName(getattr(new, name)).distinct()
     return Profile(
-        agent=pair("agent").select("agent_id", add("session_count"), add("event_count"), first("first_seen"), last("last_updated"), *merged("rate")),
-        tool=pair("tool").select("agent_id", "tool_name", add("call_count"), first("first_seen"), last("last_seen"), *merged("vol")),
-        param_set=union("param_set"),
-        bigram=pair("bigram").select("agent_id", "first", "second", add("n")),
-        resource=union("resource"),
-        hour=pair("hour").select("agent_id", "hour", add("n")),
-        hwm=pair("hwm").select("agent_id", "session_id", F.greatest("a_hwm", "b_hwm").alias("hwm")),
+        accepted=lambda: new.accepted,
+        agent=lambda: pair("agent").select("agent_id", add("session_count"), add("event_count"), first("first_seen"), last("last_updated"), *merged("rate")),
+        tool=lambda: pair("tool").select("agent_id", "tool_name", add("call_count"), first("first_seen"), last("last_seen"), *merged("vol")),
+        param_set=lambda: union("param_set"),
+        bigram=lambda: pair("bigram").select("agent_id", "first", "second", add("n")),
+        resource=lambda: union("resource"),
+        hour=lambda: pair("hour").select("agent_id", "hour", add("n")),
+        hwm=lambda: pair("hwm").select("agent_id", "session_id", F.greatest("a_hwm", "b_hwm").alias("hwm"), F.greatest("a_seen", "b_seen").alias("seen")),
     )
 
 
+def expire_marks(profile: Profile, ttl: str) -> Profile:
+    """Without the marks of sessions that were last seen more than ``ttl`` (an interval such as ``30 days``) before their agent's last event.
+
+    Replays of such a session would count again.  Marks without a time stay.
+    """
+    def kept() -> DataFrame:
+        last = profile.hwm.groupBy("agent_id").agg(F.max("seen").alias("_last"))
+        old = F.col("seen") < F.col("_last") - F.expr(f"INTERVAL {ttl}")
+        return profile.hwm.join(last, "agent_id").where(~F.coalesce(old, F.lit(False))).drop("_last")
+
+    others = {k: (lambda k=k: getattr(profile, k)) for k in PROFILE_SCHEMAS if k != "hwm"}
+    return Profile(accepted=lambda: profile.accepted, hwm=kept, **others)
+
+
 def build_summary(profile: Profile) -> DataFrame:
     """Per agent: sessions, events, numbers of tools, resources and pairs, rate, first and last time."""
     count = lambda df, name: df.groupBy("agent_id").agg(F.count(F.lit(1)).alias(name))
@@ -201,6 +235,7 @@ def profile_to_document(profile: Profile) -> DataFrame:
         listed(profile.tool, "volume_stats", "tool_name", moment("vol").alias("stats")),
         listed(profile.bigram, "bigrams", F.concat("first", F.lit("->"), "second").alias("pair"), "n"),
         listed(profile.hwm, "processed_through", "session_id", "hwm"),
+        listed(profile.hwm.where("seen is not null"), "processed_at", "session_id", "seen"),
         profile.resource.groupBy("agent_id").agg(F.sort_array(F.collect_list("resource_id")).alias("known_resources")),
         listed(profile.hour, "hours", "hour", "n"),
     ]
@@ -221,6 +256,7 @@ def profile_to_document(profile: Profile) -> DataFrame:
         "first_seen",
         "last_updated",
         F.map_from_entries("processed_through").alias("processed_through"),
+        F.map_from_entries("processed_at").alias("processed_at"),
     )
     return out.select("agent_id", F.to_json(document, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("document"))
 
@@ -231,7 +267,7 @@ DOCUMENT = (
     "tool_stats:map<string,struct<call_count:long,first_seen:timestamp,last_seen:timestamp,param_key_sets:array<array<string>>>>,"
     "bigrams:map<string,long>,known_resources:array<string>,"
     f"volume_stats:map<string,{MOMENT}>,hourly_distribution:array<long>,rate_stats:{MOMENT},"
-    "first_seen:timestamp,last_updated:timestamp,processed_through:map<string,long>>"
+    "first_seen:timestamp,last_updated:timestamp,processed_through:map<string,long>,processed_at:map<string,timestamp>>"
 )
 
 
@@ -254,5 +290,7 @@ def document_to_profile(documents: DataFrame) -> Profile:
         ),
         resource=d.select("agent_id", F.explode("known_resources").alias("resource_id")),
         hour=d.select("agent_id", F.posexplode("hourly_distribution").alias("hour", "n")).where("n > 0"),
-        hwm=d.select("agent_id", F.explode("processed_through").alias("session_id", "hwm")),
+        hwm=d.select("agent_id", "processed_at", F.explode("processed_through").alias("session_id", "hwm")).select(
+            "agent_id", "session_id", "hwm", F.try_element_at("processed_at", F.col("session_id")).alias("seen")
+        ),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.functions.staging import global_index
+from conductlens.functions.staging import global_index, running
 
 DEFAULT_ORDER = ["arrival"]
 
@@ -58,6 +58,29 @@ def session_runs(
     return ranked.withColumn("run", F.col("_r") - F.row_number().over(within)).drop("_r")
 
 
+def followed_calls(calls: DataFrame, scope_cols: list[str] | tuple[str, ...], order_cols: list[str]) -> DataFrame:
+    """Tool calls with ``before`` (the named call before a named one) and ``before_time`` (of the call before), each within its own kind of run.
+
+    Both kinds of run come from one pass: with r the place among all calls (or
+    among the named ones) in the order of the scope and s the place within the
+    session, r - s names the run, as in ``session_runs``.
+    """
+    scope = list(scope_cols)
+    named = F.col("tool_name").isNotNull().cast("int")
+    placed = running(calls, [*scope, *order_cols], {"_r": F.lit(1), "_rn": named})
+    within = Window.partitionBy(*scope, "session_id").orderBy(*order_cols)
+    upto, earlier = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({"_run": F.col("_r") - F.row_number().over(within), "_named": F.col("_rn") - F.sum(named).over(upto)})
+    last = F.last(F.when(named == 1, F.struct("_named", "tool_name")), ignorenulls=True).over(earlier)
+    placed = placed.withColumns({"_call": F.lag(F.struct("_run", "timestamp")).over(within), "_name": last})
+    return placed.withColumns(
+        {
+            "before": F.when((named == 1) & (F.col("_name._named") == F.col("_named")), F.col("_name.tool_name")),
+            "before_time": F.when(F.col("_call._run") == F.col("_run"), F.col("_call.timestamp")),
+        }
+    ).drop("_r", "_rn", "_run", "_named", "_call", "_name")
+
+
 def previous(column: str | Column, scope_cols: list[str] | tuple[str, ...], order_cols: list[str]) -> Column:
     """The column's value in the row before, within a run."""
     return F.lag(column).over(Window.partitionBy(*scope_cols, "session_id", "run").orderBy(*order_cols))

@@ -46,5 +46,5 @@ PROFILE_SCHEMAS = {
     "bigram": "agent_id string, first string, second string, n long",
     "resource": "agent_id string, resource_id string",
     "hour": "agent_id string, hour int, n long",
-    "hwm": "agent_id string, session_id string, hwm long",
+    "hwm": "agent_id string, session_id string, hwm long, seen timestamp",
 }

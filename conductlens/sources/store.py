@@ -114,10 +114,15 @@ def stream_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parse_events(spark.readStream.text(path).where(F.trim("value") != ""))
 
 
-def append_events(events: DataFrame, root: str) -> None:
-    """Add events to the store, by agent; an empty frame writes nothing."""
+def append_events(events: DataFrame, root: str, batch: str | None = None) -> None:
+    """Add events to the store, by agent; an empty frame writes nothing.
+
+    Every call writes one batch folder.  A caller that names its batch can
+    repeat a call that was interrupted: the batch is written over, not added.
+    """
     if events.limit(1).count():
-        events.select(*EVENT_COLUMNS, *[c for c in ("arrival",) if c in events.columns]).write.mode("append").partitionBy("agent_id").parquet(f"{root}/events")
+        kept = events.select(*EVENT_COLUMNS, *[c for c in ("arrival",) if c in events.columns])
+        kept.write.mode("overwrite").partitionBy("agent_id").parquet(f"{root}/events/batch={batch or uuid.uuid4().hex}")
 
 
 def load_events(spark: SparkSession, root: str, agent_id: str | None = None) -> DataFrame:
@@ -132,36 +137,53 @@ def load_events(spark: SparkSession, root: str, agent_id: str | None = None) ->
 
 # --- profiles ---
 
+STATE = "agent_id string, session_id string, tool_name string, call_time timestamp"
+KEPT_VERSIONS = 3  # published versions that stay for readers that still use them
 
-def save_profile(profile: Profile, root: str) -> None:
+
+def save_profile(profile: Profile, root: str, state: DataFrame | None = None) -> None:
     """Replace the profiles of the agents in ``profile``; other agents' stay.
 
-    Every version is a new folder with all seven tables; a one-row file that
-    names it is written last, so readers see the old or the new state.
+    Every version is a new folder with all seven tables and, for streams, the
+    agents' last calls; an empty file whose name holds a number and the folder
+    is made last, and the largest number counts, so readers see the old or the
+    new state of everything.  Older versions are deleted, the last three stay.
+    One writer at a time is assumed.
     """
     spark = profile.agent.sparkSession
-    version = f"{root}/profiles/v-{uuid.uuid4().hex}"
-    old = _current(spark, root)
+    published = _published(spark, root)
+    old = f"{root}/profiles/{published[-1].split('_', 1)[1]}" if published else None
+    name = f"v-{uuid.uuid4().hex}"
     agents = stage(profile.agent.select("agent_id"))
-    for name, df in profile.tables().items():
+    tables = {**profile.tables(), "state": spark.createDataFrame([], STATE) if state is None else state}
+    for table, df in tables.items():
         if old:
-            rest = spark.read.schema(PROFILE_SCHEMAS[name]).parquet(f"{old}/{name}").join(agents, "agent_id", "left_anti")
+            rest = spark.read.schema(PROFILE_SCHEMAS.get(table, STATE)).parquet(f"{old}/{table}").join(agents, "agent_id", "left_anti")
             df = df.unionByName(rest)
-        df.write.parquet(f"{version}/{name}")
-    fs, target = _path(spark, f"{root}/profiles/CURRENT")
-    out = fs.create(target, True)
-    out.write(bytearray(version.rsplit("/", 1)[1].encode()))
-    out.close()
+        df.write.parquet(f"{root}/profiles/{name}/{table}")
+    number = int(published[-1].split("_", 1)[0]) + 1 if published else 0
+    fs, target = _path(spark, f"{root}/profiles/published/{number:012d}_{name}")
+    fs.create(target, False).close()
+    for gone in published[: max(len(published) - KEPT_VERSIONS + 1, 0)]:
+        fs.delete(_path(spark, f"{root}/profiles/published/{gone}")[1], False)
+        fs.delete(_path(spark, f"{root}/profiles/{gone.split('_', 1)[1]}")[1], True)
+
+
+def _published(spark: SparkSession, root: str) -> list[str]:
+    """Names of the published versions, the current one last."""
+    fs, folder = _path(spark, f"{root}/profiles/published")
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
 def _current(spark: SparkSession, root: str) -> str | None:
-    fs, target = _path(spark, f"{root}/profiles/CURRENT")
-    if not fs.exists(target):
-        return None
-    name = spark.read.text(f"{root}/profiles/CURRENT").first()
-    if name is None:
-        raise ValueError(f"{root}/profiles/CURRENT is empty")
-    return f"{root}/profiles/{name.value}"
+    published = _published(spark, root)
+    return f"{root}/profiles/{published[-1].split('_', 1)[1]}" if published else None
+
+
+def load_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The agents' last calls that were published with the current profile; None if there is none."""
+    folder = _current(spark, root)
+    return spark.read.schema(STATE).parquet(f"{folder}/state") if folder else None
 
 
 def load_profile(spark: SparkSession, root: str, agent_id: str | None = None, on_corrupt: str = "fail") -> Profile | None:
@@ -183,8 +205,11 @@ def load_profile(spark: SparkSession, root: str, agent_id: str | None = None, on
 
 
 def list_agents(spark: SparkSession, root: str) -> DataFrame:
-    """Sorted ids of the agents with events or a profile."""
-    found = load_events(spark, root).select("agent_id")
+    """Sorted ids of the agents with events or a profile; of the events, only the names of their folders are read."""
+    fs, events = _path(spark, f"{root}/events")
+    names = {p.getPath().getName() for b in (fs.listStatus(events) if fs.exists(events) else []) if b.isDirectory() for p in fs.listStatus(b.getPath()) if p.isDirectory()}
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = spark.createDataFrame([(unescape(n.split("=", 1)[1]),) for n in sorted(names) if n.startswith("agent_id=")], "agent_id string")
     profile = load_profile(spark, root)
     if profile is not None:
         found = found.unionByName(profile.agent.select("agent_id"))

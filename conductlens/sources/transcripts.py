@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.functions.staging import stage
+from conductlens.functions.staging import running, stage
 from conductlens.functions.text import Repeated, compact_size, looks_like_resource, strict_json
 from conductlens.schemas import EVENT_COLUMNS
 
@@ -26,27 +26,28 @@ DEFAULT_AGENT = "openclaw"  # fixed value: the id that events get when none is n
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (file, line_no, value) of a file, or of the files of a folder that end in .jsonl.
+    """Lines (file, line_no, value) of a file, or of the files of a folder (or of all folders that a pattern names) that end in .jsonl.
 
     A missing path is an error; a folder without such files gives no rows.
-    Blank lines are skipped.  Spark does not read files whose names begin with
-    an underscore or a dot.
+    Large files are split: lines are numbered by the block they are in and
+    their place in it.  Blank lines are skipped.  Spark does not read files
+    whose names begin with an underscore or a dot.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    found = fs.globStatus(hadoop)
+    if not found:
         raise FileNotFoundError(path)
-    if fs.getFileStatus(hadoop).isDirectory():
-        names = [s.getPath() for s in fs.listStatus(hadoop)]
-        if not any(p.getName().endswith(".jsonl") and p.getName()[0] not in "._" for p in names):
-            return spark.createDataFrame([], "file string, line_no long, value string")
-    reader = spark.read
-    if fs.getFileStatus(hadoop).isDirectory():
-        reader = reader.option("pathGlobFilter", "*.jsonl")
-    whole = reader.text(path, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    folders = [s.getPath() for s in found if s.isDirectory()]
+    names = [s.getPath().getName() for f in folders for s in fs.listStatus(f)]
+    if folders and not any(n.endswith(".jsonl") and n[0] not in "._" for n in names):
+        return spark.createDataFrame([], "file string, line_no long, value string")
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter="*.jsonl" if folders else None).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    place = F.row_number().over(Window.partitionBy("file").orderBy("start", "row")) - 1
     clean = F.regexp_replace("value", "\r$", "")
-    return lines.select("file", F.col("line_no").cast("long").alias("line_no"), clean.alias("value")).where(F.trim("value") != "")
+    return lines.select("file", place.cast("long").alias("line_no"), clean.alias("value")).where(F.trim("value") != "")
 
 
 class Rejected(ValueError):
@@ -129,13 +130,21 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf[["file", "line_no", "value"]], out], axis=1)
 
 
-def parse_transcripts(lines: DataFrame, agent_id: str = DEFAULT_AGENT, ingest_time: str = "1970-01-01 00:00:00", carry_over: bool = True) -> tuple[DataFrame, DataFrame]:
+def parse_transcripts(
+    lines: DataFrame, agent_id: str = DEFAULT_AGENT, ingest_time: str = "1970-01-01 00:00:00", carry_over: bool = True, agent_pattern: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(events with arrival, rejects) of transcript lines.
 
     Files follow each other in the order of their names.  With ``carry_over``
     the session and position at the end of a file go on into the next one.
-    A missing or unreadable time becomes ``ingest_time``.
+    A missing or unreadable time becomes ``ingest_time``.  ``agent_pattern`` is
+    a pattern whose first group takes the agent's id from a file's path, such as
+    ``/agents/([^/]+)/sessions/``; files that it does not fit get ``agent_id``,
+    and only files of the same agent follow each other.
     """
+    agent = F.lit(agent_id)
+    if agent_pattern is not None:
+        agent = F.coalesce(F.nullif(F.regexp_extract("file", agent_pattern, 1), F.lit("")), agent)
     decoded = stage(lines.mapInPandas(_decode, DECODED))
     rejects = decoded.where("error is not null").select("file", "line_no", "value", "error")
     ok = decoded.where("error is null").withColumn("n_events", F.size("events"))
@@ -160,17 +169,20 @@ def parse_transcripts(lines: DataFrame, agent_id: str = DEFAULT_AGENT, ingest_ti
             F.sum(F.when(F.col("segment") == F.col("last"), F.col("n_events")).otherwise(0)).alias("tail"),
         )
     )
-    in_order = Window.orderBy("file")
-    carried = ends.withColumn("resets", F.sum((F.col("segments") > 0).cast("int")).over(in_order))
-    # positions add up over files without a session line, from the last file that has one
-    through = F.sum("tail").over(Window.partitionBy("resets").orderBy("file"))
+    # positions add up over files without a session line, from the last file that has one, or from the agent's first
+    ends = ends.withColumn("agent_id", agent)
+    opening = ends.groupBy("agent_id").agg(F.min("file").alias("file"), F.lit(True).alias("opens"))
+    ends = ends.join(opening, ["agent_id", "file"], "left")
+    summed = running(ends, ["agent_id", "file"], {"through": F.col("tail")})
+    name = F.when(F.col("end_named").isNotNull() | F.col("opens"), F.struct("agent_id", "file", "end_named"))
+    base = F.when((F.col("segments") > 0) | F.col("opens"), F.struct("agent_id", "file", (F.col("through") - F.col("tail")).alias("from"), "segments"))
+    carried = running(summed.withColumns({"_name": name, "_base": base}), ["agent_id", "file"], {}, {"named_before": F.col("_name"), "base": F.col("_base")})
+    same = lambda c: F.col(f"{c}.agent_id") == F.col("agent_id")
     carried = carried.select(
         "file",
-        F.last("end_named", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("start_named"),
-        F.col("segments"),
-        through.alias("through"),
+        F.when(same("named_before"), F.col("named_before.end_named")).alias("start_named"),
+        F.when(same("base"), F.col("through") - F.col("tail") - F.col("base.from")).otherwise(F.lit(0)).alias("offset"),
     )
-    carried = carried.select("file", "start_named", F.coalesce(F.lag("through").over(in_order), F.lit(0)).alias("offset"))
     joined = rows.join(carried, "file")
     lead = (F.col("segment") == 0) & F.lit(carry_over)
     joined = joined.select(
@@ -185,7 +197,7 @@ def parse_transcripts(lines: DataFrame, agent_id: str = DEFAULT_AGENT, ingest_ti
     events = joined.select(
         F.coalesce(stamp, F.lit(ingest_time).cast("timestamp")).alias("timestamp"),
         "session_id",
-        F.lit(agent_id).alias("agent_id"),
+        agent.alias("agent_id"),
         *[F.col(f"e.{c}").alias(c) for c in FIELDS],
         F.lit(0).cast("long").alias("duration_ms"),
         (F.col("before") + F.col("block") + 1).cast("long").alias("sequence_position"),

@@ -10,106 +10,88 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from conductlens.functions.stats import z_score
 from conductlens.functions.staging import stage
-from conductlens.operators.detect import HIGH_ABOVE
-from conductlens.operators.profile import Profile, build_profile, last_state_of
-from conductlens.sources.store import append_events, exists, load_profile, save_profile
+from conductlens.operators.detect import attach_profile, graded, known_pairs, known_tools, moved, rated
+from conductlens.operators.profile import Profile, build_profile, expire_marks, last_state_of
+from conductlens.schemas import EVENT, EVENT_COLUMNS
+from conductlens.sources.store import TEXT_TIME, append_events, load_profile, load_state, save_profile
 
 
-def build_batch(batch: DataFrame, root: str, batch_id: int | None = None) -> None:
-    """One micro-batch: accept, profile, merge, store.  Marks make a repeated batch add nothing."""
+def build_batch(batch: DataFrame, root: str, name: str | None = None, mark_ttl: str | None = None) -> None:
+    """One micro-batch: accept, profile, merge, store.
+
+    It may be repeated after an interruption at any point, under the same name:
+    until the profile is published, with the agents' last calls, the same events
+    are accepted and written over; afterwards its marks accept none of them.
+    ``mark_ttl`` (an interval such as ``30 days``) drops the marks of sessions
+    that have been silent for so long.
+    """
     spark = batch.sparkSession
-    if not batch.limit(1).count():
-        return
-    stored = load_profile(spark, root)
-    state_path = f"{root}/state"
-    latest = _latest_state(spark, state_path)
+    stored, latest = load_profile(spark, root), load_state(spark, root)
     profile = build_profile(batch, stored, seam="continuous", last_state=latest)
-    accepted = profile.accepted
+    accepted = stage(profile.accepted)
     if not accepted.limit(1).count():
         return
-    state = stage(last_state_of(accepted, latest))
-    append_events(accepted, root)
-    profile.accepted = None
-    save_profile(profile, root)
-    number = 0 if batch_id is None else batch_id
-    state.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{state_path}/batch={number:012d}")
+    append_events(accepted, root, name)
+    state = last_state_of(accepted, latest)
+    save_profile(expire_marks(profile, mark_ttl) if mark_ttl else profile, root, state)
 
 
-def _latest_state(spark, path: str) -> DataFrame | None:
-    if not exists(spark, path):
-        return None
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(fs_path))
-    return spark.read.parquet(f"{path}/{names[-1]}").drop("batch") if names else None
+def stream_build(stream: DataFrame, root: str, checkpoint: str, mark_ttl: str | None = None, **trigger) -> StreamingQuery:
+    """Keep the stored profiles up to date with a stream of events."""
 
+    def run(df: DataFrame, number: int) -> None:
+        # the id of the query, which is in the checkpoint: batches of another checkpoint have other names
+        feed = df.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        build_batch(df, root, f"{feed}-{number:012d}", mark_ttl)
 
-def stream_build(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the stored profiles up to date with a stream of events."""
-    writer = stream.writeStream.foreachBatch(lambda df, n: build_batch(df, root, n)).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 STATE = "session string, tool string, rate_session string, time timestamp"
-CALLS = "agent_id string, session_id string, timestamp timestamp, sequence_position long, tool_name string, before string, rate double"
+CALLS = "agent_id string, event string, before string, before_time timestamp"
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """An agent's calls with the named call before them in their run, and the rate since the call before."""
+    """An agent's calls with the named call before them in their run, and the time of the call before."""
     session, tool, rate_session, time = state.get if state.exists else (None, None, None, None)
     calls = pd.concat(list(batches)).sort_values("arrival", kind="stable")
     out = []
     for r in calls.itertuples():
-        name = r.tool_name if isinstance(r.tool_name, str) else None
-        before = rate = None
-        if name is not None:
+        before = before_time = None
+        if isinstance(r.tool_name, str):
             before = tool if session == r.session_id else None
-            session, tool = r.session_id, name
+            session, tool = r.session_id, r.tool_name
         if time is not None and rate_session == r.session_id:
-            ms = int((r.timestamp - pd.Timestamp(time)) / pd.Timedelta(milliseconds=1))
-            rate = 1.0 / (ms / 60000.0) if ms > 0 else None
+            before_time = pd.Timestamp(time)
         rate_session, time = r.session_id, r.timestamp
-        out.append((key[0], r.session_id, r.timestamp, r.sequence_position, name, before, rate))
+        out.append((key[0], r.event, before, before_time))
     state.update((session, tool, rate_session, pd.Timestamp(time).to_pydatetime()))
-    yield pd.DataFrame(out, columns=["agent_id", "session_id", "timestamp", "sequence_position", "tool_name", "before", "rate"])
+    yield pd.DataFrame(out, columns=["agent_id", "event", "before", "before_time"])
 
 
 def stream_calls(stream: DataFrame) -> DataFrame:
-    """Tool calls with the call before them in their run; the state of an agent is its last call.
+    """Tool calls with ``before`` and ``before_time``; the state of an agent is its last call.
 
-    Calls of one micro-batch are ordered by ``arrival``.
+    Calls of one micro-batch are ordered by ``arrival``.  An event passes the
+    state as one text and is read again behind it.
     """
-    calls = stream.where("event_type = 'ToolCall'").select("agent_id", "session_id", "timestamp", "sequence_position", "tool_name", "arrival")
-    return calls.groupBy("agent_id").applyInPandasWithState(_follow, CALLS, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-ANOMALY = ["agent_id", "session_id", "timestamp", "sequence_position", "tool_name", "anomaly_type", "severity", "z_score"]
+    event = F.to_json(F.struct(*EVENT_COLUMNS), {"ignoreNullFields": "false", "timestampFormat": TEXT_TIME})
+    calls = stream.where("event_type = 'ToolCall'").select("agent_id", "session_id", "timestamp", "tool_name", "arrival", event.alias("event"))
+    followed = calls.groupBy("agent_id").applyInPandasWithState(_follow, CALLS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return followed.select(F.from_json("event", EVENT, {"timestampFormat": TEXT_TIME}).alias("e"), "before", "before_time").select("e.*", "before", "before_time")
 
 
 def stream_detect(stream: DataFrame, profile: Profile, threshold: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """(anomalies of single calls, anomalies of consecutive calls): two streams against a fixed profile.
+    """(anomalies of single calls, anomalies of consecutive calls): two streams of full records against a fixed profile.
 
     The first needs no state and joins the tool table; the second follows the
-    order of calls, with one small state per agent.
+    order of calls, with one small state per agent.  ``anomaly_records`` nests either.
     """
-    about = profile.agent.select("agent_id", "rate_count", "rate_mean", "rate_m2")
-    tools = profile.tool.select("agent_id", "tool_name", F.lit(True).alias("known"), "vol_count", "vol_mean", "vol_m2")
-    pairs = profile.bigram.select("agent_id", F.col("first").alias("before"), F.col("second").alias("tool_name"), F.lit(True).alias("seen"))
-    grade = lambda z: F.when(z > threshold + HIGH_ABOVE, "High").otherwise("Medium")
-    entry = lambda kind, severity, z: F.struct(F.lit(kind).alias("anomaly_type"), severity.alias("severity"), z.cast("double").alias("z_score"))
-
-    volume = (F.col("data_in_bytes") + F.col("data_out_bytes")).cast("double")
-    moved = z_score(volume, F.col("vol_count"), F.col("vol_mean"), F.col("vol_m2"))
-    single = stream.where("event_type = 'ToolCall' and tool_name is not null").join(about, "agent_id").join(tools, ["agent_id", "tool_name"], "left")
-    found = F.array(F.when(F.col("known").isNull(), entry("UnknownTool", F.lit("High"), F.lit(None))), F.when(moved > threshold, entry("VolumeSpike", grade(moved), moved)))
-    single = single.select("*", F.inline(F.array_compact(found))).select(*ANOMALY)
-
-    calls = stream_calls(stream).join(about, "agent_id").join(pairs, ["agent_id", "before", "tool_name"], "left")
-    quick = z_score(F.col("rate"), F.col("rate_count"), F.col("rate_mean"), F.col("rate_m2"))
-    found = F.array(
-        F.when(F.col("before").isNotNull() & F.col("seen").isNull(), entry("UnknownSequence", F.lit("Medium"), F.lit(None))),
-        F.when(quick > threshold, entry("RateSpike", grade(quick), quick)),
+    single = attach_profile(stream.where("event_type = 'ToolCall' and tool_name is not null"), profile)
+    single = moved(single.join(known_tools(profile), ["agent_id", "tool_name"], "left"))
+    follow = rated(attach_profile(stream_calls(stream), profile)).join(known_pairs(profile), ["agent_id", "before", "tool_name"], "left")
+    return (
+        graded(single, profile, threshold, EVENT_COLUMNS, ("UnknownTool", "VolumeSpike")),
+        graded(follow, profile, threshold, EVENT_COLUMNS, ("UnknownSequence", "RateSpike")),
     )
-    return single, calls.select("*", F.inline(F.array_compact(found))).select(*ANOMALY)

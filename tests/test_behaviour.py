@@ -167,10 +167,22 @@ def m2(values):
 
 
 def test_unknown_tool(spark):
-    found = rows(unknown_tools(frame(spark, [event(1, tool="evil_exfiltrate"), event(2, tool="read"), event(3, tool=None)]), profile(spark)))
-    assert len(found) == 1
-    a = found[0]
-    assert (a["severity"], a["confidence"], a["description"], a["baseline_value"]) == ("High", 1.0, "unknown tool: evil_exfiltrate", "known tools: [read, write]")
+    score = [event(1, tool="teleport"), event(2, tool="read"), event(3, tool=None), event(4, tool="READ"), event(5, tool="teleport", kind="ToolResult")]
+    found = sorted(rows(unknown_tools(frame(spark, score), profile(spark, tools=("write", "read"), events=25))), key=lambda a: a["arrival"])
+    assert [(a["arrival"], a["severity"], a["confidence"], a["description"], a["baseline_value"]) for a in found] == [
+        (1, "High", 0.25, "unknown tool: teleport", "known tools: [read, write]"), (4, "High", 0.25, "unknown tool: READ", "known tools: [read, write]")
+    ]
+
+
+def test_one_pass_equals_single_detectors(spark):
+    known = build_profile(frame(spark, random_events(random.Random(30), 60))).staged()
+    score = random_events(random.Random(31), 80)
+    for e in score[::7]:
+        e["tool_name"] = "new"
+    for scope in ("agent", "stream"):
+        shown = lambda df: sorted(json.dumps(r, default=str, sort_keys=True) for r in rows(df))  # noqa: B023, E731
+        alone = detect(frame(spark, score), known, 1.0, [unknown_tools, unknown_sequences, rate_spikes, volume_spikes], scope)
+        assert shown(detect(frame(spark, score), known, 1.0, scope=scope)) == shown(alone) and alone.count() > 10
 
 
 def test_unknown_pair(spark):

@@ -2,20 +2,38 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from conductlens.operators.profile import build_profile
-from conductlens.sources.store import append_events, events_to_json, list_agents, load_events, load_profile, publish, read_events, save_profile, valid_event
+from conductlens.operators.detect import anomaly_records, detect
+from conductlens.operators.profile import build_profile, expire_marks
+from conductlens.sources import store
+from conductlens.sources.store import append_events, events_to_json, list_agents, load_events, load_profile, load_state, publish, read_events, save_profile, stream_events, valid_event
 from conductlens.sources.transcripts import decode_line, parse_transcripts, read_transcripts, transcript_totals
-from conductlens.streaming.jobs import stream_build, stream_detect
-from test_behaviour import event, frame, rows
+from conductlens.streaming import jobs
+from conductlens.streaming.jobs import build_batch, stream_build, stream_detect
+from test_behaviour import T0, event, frame, rows
 
-SESSION = '{"type":"session","id":"sess-1"}'
-USER = '{"type":"message","timestamp":"2026-02-20T10:00:01Z","message":{"role":"user","content":[{"type":"text","text":"hello"}]}}'
-CALL = (
-    '{"type":"message","timestamp":"2026-02-20T10:00:02Z","message":{"role":"assistant","usage":{"totalTokens":60},'
-    '"content":[{"type":"text","text":"x"},{"type":"toolCall","name":"read_file","arguments":{"file_path":"/tmp/foo.txt"}}]}}'
-)
-RESULT = '{"type":"message","message":{"role":"toolResult","toolName":"exec","isError":true,"content":"no"}}'
+
+def message(role, content, time=None, **more):
+    """A message line, built from the rules of the format."""
+    stamp = {} if time is None else {"timestamp": time}
+    return json.dumps({"type": "message", **stamp, "message": {"role": role, "content": content, **more}})
+
+
+def block(name, arguments):
+    return {"type": "toolCall", "name": name, "arguments": arguments}
+
+
+def text(value):
+    return {"type": "text", "text": value}
+
+
+def session(ident=None):
+    return json.dumps({"type": "session"} | ({} if ident is None else {"id": ident}))
+
+
+SESSION = session("night-7")
+USER = message("user", [text("zähle ab"), {"type": "image", "data": [1, {"x": None}]}], "2031-07-04T23:59:58.250+02:00")
 
 
 def parsed(spark, files, **more):
@@ -24,24 +42,52 @@ def parsed(spark, files, **more):
     return sorted(rows(events), key=lambda r: tuple(r["arrival"].values())), rows(rejects)
 
 
-def test_file_of_four_lines(spark):
-    events, rejects = parsed(spark, {"a": [SESSION, USER, CALL, RESULT, "{garbage", '{"type":"model_change"}']}, agent_id="custom-agent")
-    assert [(e["event_type"], e["tool_name"], e["sequence_position"]) for e in events] == [("UserMessage", None, 1), ("ToolCall", "read_file", 2), ("Error", "exec", 3)]
-    assert [e["data_in_bytes"] for e in events] == [32, len('{"file_path":"/tmp/foo.txt"}'), 0]
-    assert (events[1]["param_keys"], events[1]["resource_ids"], events[1]["token_count"]) == (["file_path"], ["/tmp/foo.txt"], 60)
-    assert {e["session_id"] for e in events} == {"sess-1"} and {e["agent_id"] for e in events} == {"custom-agent"}
-    assert events[0]["timestamp"] == dt.datetime(2026, 2, 20, 10, 0, 1) and events[2]["timestamp"] == dt.datetime(1970, 1, 1)
-    assert len(rejects) == 1
+def test_lines_of_all_kinds(spark):
+    arguments = {"z": "~/notes", "deep": {"to": "/not/seen"}, "a": "https://x.test/é", "list": ["/neither"], "n": 1.50}
+    lines = [
+        SESSION,
+        USER,
+        message("assistant", [text("first"), block("grep", arguments), text("then"), block("ls", None), block("pwd", "/home")], "2031-07-05T00:00:01Z", usage={"totalTokens": 0}),
+        message("toolResult", {"rows": [True, None]}, "yesterday", toolName="grep", isError=True),
+        message("toolResult", "fine", toolName="ls", isError=False),
+        message("assistant", [text("done")], usage={}),
+        "{",
+        json.dumps({"type": "thinking_level", "level": [1]}),
+    ]
+    events, rejects = parsed(spark, {"f": lines}, agent_id="night-watch", ingest_time="2000-02-03 04:05:06")
+    assert [(e["event_type"], e["tool_name"], e["sequence_position"], e["token_count"]) for e in events] == [
+        ("UserMessage", None, 1, None), ("ToolCall", "grep", 2, 0), ("ToolCall", "ls", 3, 0), ("ToolCall", "pwd", 4, 0),
+        ("Error", "grep", 5, None), ("ToolResult", "ls", 6, None), ("AgentMessage", None, 7, None),
+    ]
+    compact = lambda x: len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode())
+    assert [e["data_in_bytes"] for e in events[:4]] == [compact([text("zähle ab"), {"type": "image", "data": [1, {"x": None}]}]), compact(arguments), 0, 0]
+    assert [e["data_out_bytes"] for e in events[4:]] == [compact({"rows": [True, None]}), compact("fine"), compact([text("done")])]
+    assert (events[1]["param_keys"], events[1]["resource_ids"]) == (["a", "deep", "list", "n", "z"], ["https://x.test/é", "~/notes"])
+    assert {e["session_id"] for e in events} == {"night-7"} and {e["agent_id"] for e in events} == {"night-watch"}
+    assert events[0]["timestamp"] == dt.datetime(2031, 7, 4, 21, 59, 58, 250_000)
+    assert {e["timestamp"] for e in events[4:]} == {dt.datetime(2000, 2, 3, 4, 5, 6)}
+    assert [r["value"] for r in rejects] == ["{"]
 
 
 def test_state_goes_on_into_the_next_file(spark):
     files = {"a": [SESSION, USER], "b": [USER, USER], "c": [], "d": [USER, '{"type":"session"}', USER], "e": [USER]}
     events, _ = parsed(spark, files)
     assert [(e["arrival"]["file"], e["sequence_position"], e["session_id"]) for e in events] == [
-        ("a", 1, "sess-1"), ("b", 2, "sess-1"), ("b", 3, "sess-1"), ("d", 4, "sess-1"), ("d", 1, "sess-1"), ("e", 2, "sess-1")
+        ("a", 1, "night-7"), ("b", 2, "night-7"), ("b", 3, "night-7"), ("d", 4, "night-7"), ("d", 1, "night-7"), ("e", 2, "night-7")
     ]
     alone, _ = parsed(spark, files, carry_over=False)
-    assert [e["session_id"] for e in alone] == ["sess-1", "", "", "", "", ""]
+    assert [e["session_id"] for e in alone] == ["night-7", "", "", "", "", ""]
+
+
+def test_agents_from_paths(spark):
+    files = {
+        "/r/agents/ann/sessions/1": [USER], "/r/agents/ann/sessions/2": [SESSION, USER, USER], "/r/agents/bob/sessions/1": [USER, USER],
+        "/r/agents/bob/sessions/2": [USER], "/r/agents/cy/sessions/1": [session("c")], "/r/agents/cy/sessions/2": [USER], "/r/else": [USER],
+    }
+    events, _ = parsed(spark, files, agent_pattern="/agents/([^/]+)/sessions/", agent_id="nobody")
+    assert [(e["agent_id"], e["session_id"], e["sequence_position"]) for e in events] == [
+        ("ann", "", 1), ("ann", "night-7", 1), ("ann", "night-7", 2), ("bob", "", 1), ("bob", "", 2), ("bob", "", 3), ("cy", "c", 1), ("nobody", "", 1)
+    ]
 
 
 def test_lines():
@@ -69,7 +115,7 @@ def test_folder_of_transcripts(spark, tmp_path):
     (tmp_path / "c.txt").write_text(USER)
     lines = read_transcripts(spark, str(tmp_path))
     events, rejects = parse_transcripts(lines)
-    assert [(e["sequence_position"], e["session_id"]) for e in sorted(rows(events), key=lambda r: tuple(r["arrival"].values()))] == [(1, ""), (1, "sess-1")]
+    assert [(e["sequence_position"], e["session_id"]) for e in sorted(rows(events), key=lambda r: tuple(r["arrival"].values()))] == [(1, ""), (1, "night-7")]
     assert {r["metric"]: r["n"] for r in rows(transcript_totals(lines, events, rejects))} == {"files": 2, "events": 2, "rejected_lines": 0}
     with pytest.raises(FileNotFoundError):
         read_transcripts(spark, str(tmp_path / "none"))
@@ -77,6 +123,18 @@ def test_folder_of_transcripts(spark, tmp_path):
     assert rows(read_transcripts(spark, str(tmp_path / "empty"))) == []
 
 
+def test_large_files_are_split(spark, tmp_path):
+    values = [f'{{"type":"x","n":{k}}}' if k % 9 else "" for k in range(4000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(values))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = read_transcripts(spark, str(tmp_path / "*"))
+        assert lines.select(F.spark_partition_id()).distinct().count() > 1
+        assert sorted((r["line_no"], r["value"]) for r in rows(lines)) == [(k, v) for k, v in enumerate(values) if v]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_events_as_json(spark, tmp_path):
     events = frame(spark, [event(1, keys=["k"], resources=["/a"]), event(2, tool=None)])
     lines = [r["value"] for r in rows(events_to_json(events))]
@@ -103,7 +161,11 @@ def test_stores(spark, tmp_path):
     save_profile(more, root)
     loaded = load_profile(spark, root)
     assert {r["agent_id"]: r["event_count"] for r in rows(loaded.agent)} == {"alpha": 1, "beta": 2}
-    (tmp_path / "store/profiles/CURRENT").write_text("gone")
+    for _ in range(4):  # old versions go
+        save_profile(load_profile(spark, root, "beta"), root)
+    assert len(list((tmp_path / "store/profiles").glob("v-*"))) == store.KEPT_VERSIONS and len(rows(load_profile(spark, root).agent)) == 2
+    for part in (tmp_path / "store/profiles").glob("v-*/agent/*.parquet"):
+        part.write_text("gone")
     with pytest.raises(Exception):  # noqa: B017
         load_profile(spark, root).agent.collect()
     assert load_profile(spark, root, on_corrupt="fresh") is None
@@ -126,9 +188,64 @@ def test_streams(spark, tmp_path):
         assert sorted(map(key, rows(getattr(got, name)))) == sorted(map(key, rows(getattr(want, name)))), name
 
 
+def test_interrupted_batches_add_nothing(spark, tmp_path, monkeypatch):
+    events = [event(k, session=f"s{k // 5}", tool=f"t{k % 3}", at=k * 11) for k in range(1, 15)]
+    want = build_profile(frame(spark, events))
+    shown = lambda p: sorted(str(sorted((k, round(v, 6) if isinstance(v, float) else v) for k, v in r.items())) for n in ("agent", "bigram", "hwm") for r in rows(getattr(p, n)))
+    root = str(tmp_path / "store")
+
+    def broken(*_, **__):
+        raise OSError("lost")
+
+    for n, part in enumerate((events[:6], events[6:])):
+        # lost before the events are written, between the writes, before the version is named; then once whole and once again
+        for where, name in ((jobs, "append_events"), (jobs, "save_profile"), (store, "_path"), (None, None), (None, None)):
+            with monkeypatch.context() as patched:
+                if where is store:
+                    real = store._path
+                    patched.setattr(store, "_path", lambda s, p: broken() if "/published/" in p else real(s, p))
+                elif where is not None:
+                    patched.setattr(where, name, broken)
+                try:
+                    build_batch(frame(spark, part), root, f"feed-{n}")
+                except OSError:
+                    assert where is not None
+        assert len(rows(load_events(spark, root))) == (6, 14)[n]
+    assert shown(load_profile(spark, root)) == shown(want)
+    assert [(r["session_id"], r["tool_name"]) for r in rows(load_state(spark, root))] == [("s2", "t2")]
+    # a new checkpoint begins its numbers anew: nothing is written over
+    build_batch(frame(spark, [event(20, session="s9", seq=1)]), root, "other-0")
+    assert len(rows(load_events(spark, root))) == 15
+
+
+def test_marks_that_expire(spark, tmp_path):
+    day = 86_400
+    events = [event(1, session="old", at=0), event(2, session="new", at=40 * day), event(3, session="new", seq=9, at=41 * day), event(4, agent="b", session="old", at=0)]
+    p = expire_marks(build_profile(frame(spark, events)), "30 days")
+    assert sorted((r["agent_id"], r["session_id"], r["hwm"]) for r in rows(p.hwm)) == [("a", "new", 9), ("b", "old", 4)]
+    assert rows(p.agent) and [r["seen"] for r in rows(p.hwm) if r["session_id"] == "new"] == [T0 + dt.timedelta(days=41)]
+    build_batch(frame(spark, events), str(tmp_path / "s"), "x", mark_ttl="30 days")
+    assert load_profile(spark, str(tmp_path / "s")).hwm.count() == 2
+
+
+def test_stream_of_json_lines(spark, tmp_path):
+    events = frame(spark, [event(1), event(2, tool=None, keys=["b", "a"])])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.json").write_text("\n".join([r["value"] for r in rows(events_to_json(events))] + ["", "{broken"]))
+    found = []
+    for k, feed in enumerate(stream_events(spark, str(tmp_path / "in"))):
+        query = feed.writeStream.format("memory").queryName(f"lines{k}").option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        found.append(rows(spark.table(f"lines{k}")))
+    assert sorted(r["sequence_position"] for r in found[0]) == [1, 2] and [r["value"] for r in found[1]] == ["{broken"]
+
+
 def test_live_detection(spark, tmp_path):
-    known = build_profile(frame(spark, [event(1, tool="a", at=0), event(2, tool="b", at=60), event(3, tool="a", at=121), event(4, tool="b", at=180)]))
-    score = [event(1, tool="a", at=0, session="n"), event(2, tool="a", at=1, session="n"), event(3, tool="x", at=100, session="n"), event(4, tool="b", size=(10**6, 0), at=200, session="m")]
+    known = build_profile(frame(spark, [event(1, tool="a", at=0), event(2, tool="b", at=60), event(3, tool="a", at=121), event(4, tool="b", at=180), event(5, tool="b", size=(3, 0), at=300)])).staged()
+    score = [
+        event(1, tool="a", at=0, session="n"), event(2, tool="a", at=1.5, session="n", keys=["k"]), event(3, tool="x", at=100, session="n"), event(4, tool=None, at=101, session="n"),
+        event(5, tool="b", size=(10**6, 0), at=200, session="m", resources=["/p"]),
+    ]
     source = tmp_path / "in"
     frame(spark, score).coalesce(1).write.parquet(str(source))
     feed = spark.readStream.schema(frame(spark, score).schema).parquet(str(source))
@@ -136,7 +253,8 @@ def test_live_detection(spark, tmp_path):
     for k, stream in enumerate(stream_detect(feed, known)):
         query = stream.writeStream.format("memory").queryName(f"live{k}").option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start()
         query.awaitTermination()
-        found += [(r["sequence_position"], r["anomaly_type"]) for r in rows(spark.table(f"live{k}"))]
-    from conductlens.operators.detect import detect
-
-    assert sorted(found) == sorted((r["sequence_position"], r["anomaly_type"]) for r in rows(detect(frame(spark, score), known)))
+        found += rows(anomaly_records(spark.table(f"live{k}")))
+    shown = lambda rs: sorted((json.dumps(r, default=str, sort_keys=True) for r in rs))
+    want = [{k: v for k, v in r.items() if k != "arrival"} for r in rows(anomaly_records(detect(frame(spark, score), known)))]
+    assert {r["anomaly_type"] for r in want} == {"UnknownTool", "UnknownSequence", "RateSpike", "VolumeSpike"}
+    assert shown(found) == shown(want)
