@@ -54,10 +54,13 @@ def _session():
     return Window.partitionBy("agent_id", "session_id").orderBy("event_id")
 
 
+def replays(events: DataFrame) -> DataFrame:
+    """Every tenth event, to arrive after all others."""
+    return events.where(F.col("arrival") % 10 == 0).withColumn("arrival", F.col("arrival") + REPLAY_SHIFT)
+
+
 def with_replays(events: DataFrame) -> DataFrame:
-    """Every tenth event arrives again, after all others."""
-    again = events.where(F.col("arrival") % 10 == 0).withColumn("arrival", F.col("arrival") + REPLAY_SHIFT)
-    return events.unionByName(again)
+    return events.unionByName(replays(events))
 
 
 def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,3 +115,29 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return c.select(F.lpad(conv.cast("string"), 12, "0").alias("file"), F.inline(entries))
+
+
+def write_transcripts(lines: DataFrame, folder: str) -> str:
+    """Transcript lines as .jsonl files of many conversations each, in their order."""
+    spark = lines.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, "file").sortWithinPartitions("file", "line_no").select("value").write.text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(path):  # one file for each partition
+        name = s.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(s.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name[5:10]}.jsonl"))
+    return folder
+
+
+def agent_folders(lines: DataFrame) -> DataFrame:
+    """The conversations' files dealt to the folders of five agents."""
+    agent = (F.col("file").cast("long") % 5).cast("string")
+    return lines.withColumn("file", F.concat(F.lit("/data/agents/talker-"), agent, F.lit("/sessions/"), "file"))
+
+
+def spoiled(events: DataFrame, to_json) -> DataFrame:
+    """Events as JSON lines; where arrival ends in 3 a line is cut off after 40 characters, where it ends in 7 it is blank."""
+    good, bad, blank = (to_json(events.where(c)) for c in ("arrival % 10 not in (3, 7)", "arrival % 10 = 3", "arrival % 10 = 7"))
+    return good.unionByName(bad.select(F.substring("value", 1, 40).alias("value"))).unionByName(blank.select(F.lit("  ").alias("value")))

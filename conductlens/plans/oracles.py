@@ -150,6 +150,27 @@ talk AS (
 )"""
 
 
+#: the texts of anomalies at a threshold of 1
+AT_ONE = lambda sql: sql.replace("z > 3.0", "z > 1.0").replace("z > 5.0", "z > 3.0")
+EVENT_COLUMNS = """timestamp, session_id, agent_id, event_type, tool_name, array_to_string(param_keys, '|') AS param_keys,
+  array_to_string(resource_ids, '|') AS resource_ids, data_in_bytes, data_out_bytes, CAST(0 AS BIGINT) AS duration_ms,
+  CASE WHEN event_type = 'ToolCall' THEN CAST(k AS BIGINT) END AS token_count, sequence_position"""
+LISTS = """, lists AS (SELECT agent_id, array_to_string(list_sort(list(tool_name)), ', ') AS names FROM tool GROUP BY agent_id),
+sizes AS (SELECT agent_id, count(*) AS c FROM bigram GROUP BY agent_id)"""
+#: (text of the anomaly, of the baseline, of what was observed) by table
+SAID = {
+    "u_tool": ("'unknown tool: ' || tool_name", "'known tools: [' || coalesce(names, '') || ']'", "tool_name"),
+    "u_pair": ("'unseen sequence: ' || prev || '->' || tool_name", "CAST(coalesce(c, 0) AS VARCHAR) || ' known bigrams'", "prev || '->' || tool_name"),
+    "u_rate": ("format('rate spike: {:.1f} calls/min (z={:.1f})', observed, z)", "format('{:.1f} calls/min (mean)', base)", "format('{:.1f} calls/min', observed)"),
+    "u_volume": ("format('volume spike on {}: {:.0f} bytes (z={:.1f})', tool_name, observed, z)", "format('{:.0f} bytes (mean)', base)", "format('{:.0f} bytes', observed)"),
+}
+
+
+def all_said(columns: str, observed: bool) -> str:
+    part = lambda t, d, b, o: f"SELECT {columns}, {d} AS description, {b} AS baseline_value{f', {o} AS observed_value' if observed else ''} FROM {t} LEFT JOIN lists USING (agent_id) LEFT JOIN sizes USING (agent_id)"
+    return SCORE + KNOWN + sequences() + rates() + VOLUMES + LISTS + " " + " UNION ALL ".join(part(t, *texts) for t, texts in SAID.items())
+
+
 def all_sql() -> dict[str, str]:
     shown = lambda t, more="": f"SELECT {SHOWN}{more} FROM {t}"
     tools = "array_to_string(list_sort(list(tool_name)), ', ')"
@@ -215,4 +236,32 @@ UNION ALL SELECT 'anomalies', count(*) FROM found UNION ALL SELECT anomaly_type,
   row_number() OVER (PARTITION BY owner ORDER BY conv_id, line_no, block) AS sequence_position, file, line_no, CAST(block AS INTEGER) AS block FROM spoken""",
         "transcript_totals": f"""WITH {TALK} SELECT 'files' AS metric, count(DISTINCT conv_id) AS n FROM conversations
 UNION ALL SELECT 'events', count(*) FROM parts UNION ALL SELECT 'rejected_lines', count(*) FROM conversations WHERE conv_id % 7 = 3 AND turn = 1""",
+        "transcript_folder": f"""WITH {TALK} SELECT timestamp, coalesce('conv-' || CAST(owner AS VARCHAR), '') AS session_id, 'openclaw' AS agent_id,
+  event_type, tool_name, param_keys, resource_ids, data_in_bytes, CAST(data_out_bytes AS BIGINT) AS data_out_bytes, CAST(0 AS BIGINT) AS duration_ms, token_count,
+  row_number() OVER (PARTITION BY owner ORDER BY conv_id, line_no, block) AS sequence_position FROM spoken""",
+        "transcript_agents": f"""WITH {TALK}, own AS (
+  SELECT p.*, p.conv_id % 5 AS a, (SELECT max(o.conv_id) FROM opened o WHERE o.conv_id <= p.conv_id AND o.conv_id % 5 = p.conv_id % 5) AS owner FROM parts p
+) SELECT 'talker-' || CAST(a AS VARCHAR) AS agent_id, coalesce('conv-' || CAST(owner AS VARCHAR), '') AS session_id, event_type, tool_name,
+  row_number() OVER (PARTITION BY a, owner ORDER BY conv_id, line_no, block) AS sequence_position, line_no, CAST(block AS INTEGER) AS block FROM own""",
+        "lenient_events": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM ev WHERE arrival % 10 NOT IN (3, 7)",
+        "lenient_rejects": "SELECT CAST(40 AS INTEGER) AS length, count(*) AS n FROM events WHERE event_id % 10 = 3 HAVING count(*) > 0",
+        "stored_events": f"WITH {TRAIN} SELECT {EVENT_COLUMNS}, arrival FROM train",
+        "stored_agents": f"WITH {TRAIN} SELECT DISTINCT agent_id FROM train",
+        "stored_profile": f"""WITH {TRAIN} SELECT agent_id, coalesce(tool_name, 'unknown') AS tool_name, count(*) AS call_count,
+  arg_min(timestamp, arrival) AS first_seen, arg_max(timestamp, arrival) AS last_seen, count(*) AS vol_count,
+  round(avg(CAST(data_in_bytes + data_out_bytes AS DOUBLE)), 4) AS vol_mean,
+  round(var_pop(CAST(data_in_bytes + data_out_bytes AS DOUBLE)) * count(*), 4) AS vol_m2
+FROM train WHERE event_type = 'ToolCall' AND (agent_id <> 'agent-2' OR timestamp >= TIMESTAMP '2024-01-11') GROUP BY ALL""",
+        "one_agent_tools": f"WITH {TRAINED} SELECT {ROUNDED_TOOL} FROM tool WHERE agent_id = 'agent-2'",
+        "one_agent_anomalies": f"WITH {ALL_FOUND} SELECT * FROM found WHERE agent_id = 'agent-1'",
+        "own_detectors": f"""WITH {SCORE}{VOLUMES.replace("z > 3.0", "z > 2.0").replace("z > 5.0", "z > 4.0")}, u_large AS (
+  SELECT s.*, a.event_count, 'LargeCall' AS anomaly_type, 'Low' AS severity, CAST(NULL AS DOUBLE) AS z, CAST(data_in_bytes AS DOUBLE) AS observed, CAST(NULL AS DOUBLE) AS base
+  FROM score s JOIN agent a USING (agent_id) WHERE event_type = 'ToolCall' AND data_in_bytes > 90000
+) SELECT {SHOWN}, 0 AS detector FROM u_large UNION ALL SELECT {SHOWN}, 1 FROM u_volume""",
+        "anomaly_texts": "WITH " + AT_ONE(all_said("arrival, detector, anomaly_type, severity", True)),
+        "streamed_events": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM ev",
+        "streamed_profile": f"WITH {TRAINED} SELECT {ROUNDED_AGENT} FROM agent",
+        "streamed_marks": f"""WITH {EVENTS}, n AS (SELECT agent_id, count(*) AS event_count FROM ev GROUP BY agent_id)
+SELECT agent_id, session_id, greatest(max(sequence_position), 0) AS hwm, any_value(event_count) AS event_count FROM ev JOIN n USING (agent_id) GROUP BY agent_id, session_id""",
+        "streamed_anomalies": "WITH " + all_said(SHOWN.replace("arrival, ", "") + ", detector", False),
     }

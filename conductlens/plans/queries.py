@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conductlens.functions.staging import shared_folder
 from conductlens.operators.detect import (
     anomaly_records,
     detect,
@@ -20,11 +21,23 @@ from conductlens.operators.detect import (
 from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, profile_to_document
 from conductlens.operators.sessions import accept_events, session_runs
 from conductlens.plans import oracles
-from conductlens.plans.fixtures import behaviour_events, halves, split, transcript_lines, with_replays
-from conductlens.schemas import EVENT_COLUMNS
-from conductlens.sources.store import anomalies_to_json, events_to_json, parse_events
-from conductlens.sources.transcripts import parse_transcripts
+from conductlens.plans.fixtures import agent_folders, behaviour_events, halves, replays, split, spoiled, transcript_lines, with_replays, write_transcripts
+from conductlens.schemas import EVENT_COLUMNS, ORDERED_EVENT
+from conductlens.sources.store import (
+    anomalies_to_json,
+    append_events,
+    events_to_json,
+    list_agents,
+    load_events,
+    load_profile,
+    parse_events,
+    read_events,
+    save_profile,
+    stream_events,
+)
+from conductlens.sources.transcripts import parse_transcripts, read_transcripts
 from conductlens.sources.transcripts import transcript_totals as totals_of
+from conductlens.streaming.jobs import stream_build, stream_detect
 
 KEY = ["agent_id", "session_id", "sequence_position", "arrival"]
 
@@ -50,7 +63,7 @@ def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Profile]:
     train, score = split(behaviour_events(spark, sf_dir))
-    return score, build_profile(train)
+    return score, build_profile(train).staged()
 
 
 def accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +110,7 @@ def tool_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def high_water_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_profile(_train(spark, sf_dir)).hwm
+    return build_profile(_train(spark, sf_dir)).hwm.drop("seen")
 
 
 def _resumed(spark: SparkSession, sf_dir: str) -> Profile:
@@ -202,6 +215,142 @@ def transcript_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals_of(lines, *parse_transcripts(lines))
 
 
+def transcript_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transcripts from the files of a folder."""
+    folder = write_transcripts(transcript_lines(spark, sf_dir), shared_folder(spark, "transcripts"))
+    return _rounded(parse_transcripts(read_transcripts(spark, folder))[0].select(*EVENT_COLUMNS))
+
+
+def transcript_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts in one folder for each agent, whose id is in the path."""
+    events, _ = parse_transcripts(agent_folders(transcript_lines(spark, sf_dir)), agent_pattern="/agents/([^/]+)/sessions/")
+    return _rounded(events.select("agent_id", "session_id", "event_type", "tool_name", "sequence_position", F.col("arrival.line_no").alias("line_no"), F.col("arrival.block").alias("block")))
+
+
+def _lenient(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    folder = shared_folder(spark, "lines")
+    spoiled(behaviour_events(spark, sf_dir), events_to_json).write.text(folder)
+    return read_events(spark, folder, strict=False)
+
+
+def lenient_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read from files in which every tenth line is cut off and every tenth blank."""
+    return _rounded(_lenient(spark, sf_dir)[0].select(*EVENT_COLUMNS))
+
+
+def lenient_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and number of the lines that are not events."""
+    return _lenient(spark, sf_dir)[1].groupBy(F.length("value").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from a store that was written in two parts."""
+    root = shared_folder(spark, "store")
+    for part in halves(_train(spark, sf_dir)):
+        append_events(part, root)
+    return _rounded(load_events(spark, root).select(*EVENT_COLUMNS, "arrival"))
+
+
+def stored_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents of a store that holds events of some and profiles of others."""
+    root, train = shared_folder(spark, "store"), _train(spark, sf_dir)
+    append_events(train.where("agent_id <> 'agent-1'"), root)
+    save_profile(build_profile(train, agent_id="agent-1"), root)
+    return list_agents(spark, root)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Profile:
+    root = shared_folder(spark, "store")
+    first, second = halves(_train(spark, sf_dir))
+    save_profile(build_profile(first), root)
+    save_profile(build_profile(second, stored=load_profile(spark, root)), root)
+    # an agent's profile is replaced, the others stay
+    save_profile(build_profile(second, agent_id="agent-2"), root)
+    return load_profile(spark, root)
+
+
+def stored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tools' table of a profile that was stored, resumed, stored, and replaced for agent-2 by its second half."""
+    return _rounded(_stored(spark, sf_dir).tool)
+
+
+def one_agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(build_profile(_train(spark, sf_dir), agent_id="agent-2").tool)
+
+
+def one_agent_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(detect(*_trained(spark, sf_dir), agent_id="agent-1"), "detector")
+
+
+def _large_calls(events: DataFrame, profile: Profile, threshold: float, scope: str) -> DataFrame:
+    """A detector of a caller's own: calls with more than 90,000 bytes in."""
+    calls = events.where("event_type = 'ToolCall' and data_in_bytes > 90000").join(profile.agent.select("agent_id", "event_count"), "agent_id")
+    none = F.lit(None).cast("double")
+    return calls.select(
+        *events.columns, F.lit("LargeCall").alias("anomaly_type"), F.lit("Low").alias("severity"), F.lit("large call").alias("description"), F.lit("90000").alias("baseline_value"),
+        F.col("data_in_bytes").cast("string").alias("observed_value"), none.alias("z_score"), F.least(F.col("event_count") / 100.0, F.lit(1.0)).alias("confidence"),
+        F.col("data_in_bytes").cast("double").alias("observed_num"), none.alias("baseline_mean"),
+    )
+
+
+def own_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of detectors with one of the caller's own, at a threshold of 2."""
+    return _shown(detect(*_trained(spark, sf_dir), 2.0, [_large_calls, volume_spikes]), "detector")
+
+
+TEXTS = ["arrival", "detector", "anomaly_type", "severity", "description", "baseline_value", "observed_value"]
+
+
+def anomaly_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all anomalies at a threshold of 1, from their JSON form."""
+    lines = anomalies_to_json(anomaly_records(detect(*_trained(spark, sf_dir), 1.0)))
+    at = {"baseline_value": "$.evidence.baseline_value", "observed_value": "$.evidence.observed_value"}
+    return lines.select("arrival", "detector", *[F.get_json_object("value", at.get(c, f"$.{c}")).alias(c) for c in TEXTS[2:]])
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream of JSON lines."""
+    folder, out = shared_folder(spark, "lines"), shared_folder(spark, "sink")
+    events_to_json(behaviour_events(spark, sf_dir)).write.text(folder)
+    feed, _ = stream_events(spark, folder)
+    feed.writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
+    return _rounded(spark.read.parquet(out).select(*EVENT_COLUMNS))
+
+
+def _fed(spark: SparkSession, parts: list[DataFrame]) -> Profile:
+    """The profile that a stream has built after each part arrived."""
+    feed, root, checkpoint = shared_folder(spark, "feed"), shared_folder(spark, "store"), shared_folder(spark, "checkpoint")
+    for part in parts:
+        part.write.mode("append").parquet(feed)
+        stream_build(spark.readStream.schema(ORDERED_EVENT).parquet(feed), root, checkpoint).awaitTermination()
+    return load_profile(spark, root)
+
+
+def streamed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agents' table that a stream has built of two parts: the same as of the whole."""
+    return _rounded(_fed(spark, list(halves(_train(spark, sf_dir)))).agent)
+
+
+def streamed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks and numbers of events after replays arrived in the stream."""
+    events = behaviour_events(spark, sf_dir)
+    p = _fed(spark, [events, replays(events)])
+    return p.hwm.join(p.agent, "agent_id").select("agent_id", "session_id", "hwm", "event_count")
+
+
+def streamed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of the score part as live records."""
+    score, profile = _trained(spark, sf_dir)
+    feed = shared_folder(spark, "feed")
+    score.write.parquet(feed)
+    made = []
+    for found in stream_detect(spark.readStream.schema(ORDERED_EVENT).parquet(feed), profile):
+        made.append(shared_folder(spark, "sink"))
+        found.writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start(made[-1]).awaitTermination()
+    both = spark.read.parquet(made[0]).unionByName(spark.read.parquet(made[1]))
+    return _rounded(both.select(*[c for c in SHOWN if c != "arrival"], "detector", "description", "baseline_value"))
+
+
 ALL = [
     accepted_events,
     session_run_sizes,
@@ -231,6 +380,21 @@ ALL = [
     events_json_roundtrip,
     transcript_events,
     transcript_totals,
+    transcript_folder,
+    transcript_agents,
+    lenient_events,
+    lenient_rejects,
+    stored_events,
+    stored_agents,
+    stored_profile,
+    one_agent_tools,
+    one_agent_anomalies,
+    own_detectors,
+    anomaly_texts,
+    streamed_events,
+    streamed_profile,
+    streamed_marks,
+    streamed_anomalies,
 ]
 
 
