@@ -15,6 +15,7 @@ Scoring: one linear scan over the tokens of a whole text finds all maximal
 scoring segments.  Their scores are calibrated as extreme values: with the
 scale that the background implies, a segment of score S in a text of n tokens
 has the expected number K n exp(-scale S) of chance segments at least as good.
+K comes from the segments that clean training documents hold by chance.
 The evidence of a document is the sum of -log of these over its significant
 segments; a logistic curve fitted on the training labels (as counts per
 evidence bin) maps it to a probability.
@@ -45,6 +46,7 @@ from conductlens.llm.common import row_key, stage
 
 MOST = 1 << 19  # telling units held in memory
 WORDS = 1 << 20  # words of 64 bits of the filter for the rest
+LEAST_ODDS = 2.5  # log-odds from which a unit is a toxic word and not a topic
 BIN = 0.25  # width of an evidence bin
 MOST_BINS = 4000
 AROUND = string.punctuation + "«»“”„’…¿¡–—"  # what is stripped from a word
@@ -153,12 +155,11 @@ class Model:
     unit: np.ndarray  # telling units
     score: np.ndarray  # per unit
     z: np.ndarray  # significance of the unit's log-odds
-    scale: float
-    offset: float  # K of the extreme-value law
+    scale: float  # of the extreme-value law
     background: float = -0.02
 
 
-def telling_units(counts: DataFrame, prior: float = 0.02, least_z: float = 5.0, least_odds: float = 2.5) -> tuple[DataFrame, float]:
+def telling_units(counts: DataFrame, prior: float = 0.02, least_z: float = 5.0, least_odds: float = LEAST_ODDS) -> tuple[DataFrame, float]:
     """((unit, clean, toxic, odds, strength) of the units whose log-odds count, sum of all clean counts).
 
     ``prior`` is the weight of the Dirichlet prior as a share of all counts;
@@ -202,12 +203,12 @@ def fit_scores(
     weight = np.append(clean, max(all_clean - clean.sum(), 0.0)) / max(all_clean, 1.0)
     s = np.append(s, -drift)
     if not (weight * s).sum() < 0 or not (s[weight > 0] > 0).any():
-        return Model(unit, score, significance, 1.0, 1.0, -drift)
+        return Model(unit, score, significance, 1.0, -drift)
     lo, hi = 1e-6, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if (weight * np.exp(mid * s)).sum() > 1 else (mid, hi)
-    return Model(unit, score, significance, hi, 0.1, -drift)
+    return Model(unit, score, significance, hi, -drift)
 
 
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -237,16 +238,6 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b + 1, r - l) for a, b, l, r, _ in stack]
 
 
-def significant(x: np.ndarray, model: Model, most: float) -> list[tuple[int, int, float, float]]:
-    """(start, end, score, -log of the chance count) of segments with a chance count of at most ``most``."""
-    out = []
-    for a, b, s in segments(x):
-        evidence = model.scale * s - np.log(model.offset * max(len(x), 1))
-        if evidence >= -np.log(most):
-            out.append((a, b, float(s), float(evidence)))
-    return out
-
-
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -294,7 +285,7 @@ def score_toxicity(
     rest_of = rest.groupBy(F.round("odds", 4)).agg(F.sum("clean").alias("clean"), F.avg("odds").alias("odds")).toPandas() if rest else pd.DataFrame({"clean": [], "odds": []})
     model = fit_scores(*(rows_of[c].to_numpy() for c in ("unit", "clean", "odds", "strength")), all_clean, rest_of["clean"].to_numpy(np.float64), rest_of["odds"].to_numpy(np.float64))
     sent = spark.sparkContext.broadcast(
-        (model.unit, model.score, model.z, model.scale, model.offset, model.background)
+        (model.unit, model.score, model.z, model.scale, model.background)
     )  # 8 MB: 16 bytes for each of MOST units
     texts = rows.withColumn("more", F.lit(None).cast("array<struct<unit:long,score:double,z:double>>"))
     if rest is not None:
@@ -321,18 +312,27 @@ def score_toxicity(
             return np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))
 
         for pdf in batches:
-            found = [significant(scores(t, m), ready, most) for t, m in zip(pdf["text"], pdf["more"], strict=True)]
+            scored = [scores(t, m) for t, m in zip(pdf["text"], pdf["more"], strict=True)]
             yield pd.DataFrame(
                 {
                     "id": pdf["id"],
                     "key": pdf["key"],
-                    "evidence": [sum(p[3] for p in ps) for ps in found],
-                    "passages": [[{"start": a, "end": b, "score": s, "evidence": e} for a, b, s, e in ps] for ps in found],
+                    "n": [len(x) for x in scored],
+                    "found": [[{"start": a, "end": b, "score": s} for a, b, s in segments(x)] for x in scored],
                 }
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = stage(texts.mapInPandas(scan, f"id {kind}, key long, evidence double, passages array<struct<start:int,end:int,score:double,evidence:double>>"))
+    scanned = stage(texts.mapInPandas(scan, f"id {kind}, key long, n long, found array<struct<start:int,end:int,score:double>>"))
+    # K: segments of clean training documents that reach the least score of a telling unit, against what the scale expects of their tokens
+    reached = F.size(F.filter("found", lambda e: e["score"] >= LEAST_ODDS + model.background))
+    clean = scanned.where(F.col("id").isNotNull()).join(known.where("toxic = 0"), "id").agg(F.sum(reached).alias("segments"), F.sum("n").alias("tokens")).first()
+    offset = ((clean.segments or 0) + 1) * float(np.exp(model.scale * (LEAST_ODDS + model.background))) / max(clean.tokens or 0, 1)
+    # -log of the chance count K n exp(-scale S), of the segments that chance gives at most ``most`` times
+    rarity = lambda e: e["score"] * model.scale - F.log(F.col("n") * offset)
+    passages = F.transform("found", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score"), rarity(e).alias("evidence")))
+    scanned = scanned.withColumn("passages", F.filter(passages, lambda e: e["evidence"] >= -float(np.log(most))))
+    scanned = scanned.withColumn("evidence", F.aggregate("passages", F.lit(0.0), lambda acc, e: acc + e["evidence"])).drop("found", "n")
     # the logistic curve is fitted on counts per (evidence bin, label): a bounded table of sums over all training labels
     bin_ = F.least(F.floor(F.col("evidence") / BIN), F.lit(MOST_BINS)).cast("int")
     bins = (

@@ -258,6 +258,33 @@ def test_toxicity_counts_units_exactly(spark, monkeypatch):
         assert all(again[k]["evidence"] == pytest.approx(got[k]["evidence"], abs=1e-3) and again[k]["predicted"] == got[k]["predicted"] for k in got)
 
 
+def test_toxicity_against_the_definition(spark):
+    rng = random.Random(50)
+    docs, labels = [], []
+    for k in range(400):
+        words = prose(rng, rng.randint(3, 40)).split()
+        if k % 6 == 0:
+            for _ in range(rng.randint(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["Scum", "moron!", "vequxa" + rng.choice(VOCABULARY)]))
+        elif k % 40 == 1:
+            words.insert(rng.randrange(len(words)), "moron")  # clean all the same
+        docs.append((k, " ".join(words)))
+        labels.append((k, None, int(k % 6 == 0)))
+    labels[5], docs[7] = (5, None, None), (7, None)
+    want, known = brute.toxic_evidence(docs, [(i, t) for i, _, t in labels], toxicity.AROUND)
+    got = by_id(score_toxicity(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    for (i, _), (evidence, spans) in zip(docs, want, strict=True):
+        assert got[i]["evidence"] == pytest.approx(evidence, abs=1e-4), i
+        assert [(p["start"], p["end"]) for p in got[i]["passages"]] == spans, i
+    assert sum(bool(spans) for _, spans in want) > 40
+    # the score is a logistic curve of the evidence, fitted on counts of the training labels
+    x = np.floor([e / toxicity.BIN for e, _ in want]) * toxicity.BIN
+    at = [k for k, label in enumerate(known) if label is not None]
+    a, b, knee = toxicity._logistic(x[at], np.array([known[k] for k in at], float), np.ones(len(at)))
+    for (i, _), (evidence, _) in zip(docs, want, strict=True):
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(a + b * min(evidence, knee)))), abs=0.02), i
+
+
 # --- 5 ---
 
 
@@ -393,6 +420,39 @@ def test_url_filter(spark):
 # --- 9 ---
 
 
+def test_url_trees_on_held_out_urls(spark):
+    rng = random.Random(60)
+    rules = [("allow", "com/"), ("block", "net/es/"), ("block", "net/fr/")]
+    pages, truth = [], {}
+    for k in range(1500):
+        bad = rng.random() < 0.5
+        tail = "".join(rng.choice("0123456789") for _ in range(12)) + "?a=1&b=2&c=3" if bad else rng.choice(VOCABULARY)
+        ruled = k % 3 > 0  # the rest is for the trees to judge; no rule fits it
+        host, part = (("x.net", rng.choice(["es", "fr"])) if bad else ("y.com", "en")) if ruled else (rng.choice(["p.org", "q.org"]), "en")
+        pages.append((k, f"https://{host}/{part}/{tail}"))
+        truth[k] = (ruled, "block" if bad else "allow")
+    got = by_id(url_filter(spark.createDataFrame(pages, "page_id long, url string"), rules), "page_id")
+    assert all(got[k]["verdict"] == want and got[k]["by_rule"] == want for k, (ruled, want) in truth.items() if ruled)
+    judged = [(got[k]["verdict"], want) for k, (ruled, want) in truth.items() if not ruled]
+    assert all(got[k]["by_rule"] is None for k, (ruled, _) in truth.items() if not ruled)
+    assert sum(a == b for a, b in judged) >= 0.95 * len(judged)
+
+
+def test_sharding_cuts_no_more_groups_than_needed(spark):
+    groups = {f"g{k}": n for k, n in enumerate([25] * 16 + [10] * 20 + [4] * 25 + [1] * 100)}  # 800 rows, quota 100: whole groups fit
+    texts = [g for g, n in groups.items() for _ in range(n)]
+    docs = documents(spark, list(enumerate(texts)))
+    got = by_id(shard_documents(docs, shards=8))
+    of = collections.defaultdict(collections.Counter)
+    for i, r in got.items():
+        of[texts[i]][r["shard"]] += 1
+    assert collections.Counter(r["shard"] for r in got.values()) == dict.fromkeys(range(8), 100)
+    # the least possible is no group cut; at most two groups at the edge of each quota are
+    assert sum(len(c) > 1 for c in of.values()) <= 16
+    hot = by_id(shard_documents(documents(spark, [(k, "hot" if k < 450 else f"t{k}") for k in range(800)]), shards=8))
+    assert len({r["shard"] for k, r in hot.items() if k < 450}) == 5  # as few shards as hold 450 rows
+
+
 def test_sharding(spark):
     texts = [(k, f"text {k}") for k in range(150)] + [(200 + k, f"copy {k // 5}") for k in range(60)] + [(300 + k, "hot") for k in range(120)] + [(500, None), (501, None), (502, "")]
     for docs in (texts, texts[:3], []):
