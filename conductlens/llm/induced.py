@@ -5,13 +5,14 @@ position at a time:
 
 * every suffix is S (smaller than the next one) or L; an S suffix after an L one
   is leftmost-smaller (LMS);
-* LMS substrings are sorted and named by their (byte, type) symbols, seven
-  symbols to a 63-bit key; the string of names, a third of the text or less, is
-  sorted by the same idea of naming longer and longer pieces, until the names
-  are distinct or cover the wanted depth;
+* LMS substrings are sorted and named by their (symbol, type) pairs, as many
+  pairs to a 63-bit key as fit; where names are shared, the string of names, a
+  third of the text or so, is sorted by recursion;
 * the order of the LMS suffixes induces the L suffixes in one pass over the
-  buckets from small to large, and these the S suffixes in one pass back; a
-  bucket's suffixes are moved together, so the passes are linear in the text.
+  buckets from small to large, and these the S suffixes in one pass back.  Bytes
+  fill few large buckets, and a bucket's suffixes are moved together; names fill
+  many small ones, and their suffixes are moved one at a time.  Either way the
+  passes are linear in the text.
 """
 
 from __future__ import annotations
@@ -32,17 +33,18 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _name(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
     """Order-preserving names of the LMS substrings, in text order."""
-    symbol = (t.astype(np.int64) << 1) | s_type
+    symbol = (t.astype(np.int64) << 1) | s_type  # 0 is left for "ended": a sentinel is S
+    bits = int(symbol.max()).bit_length()
+    at_once = 63 // bits
     ends = np.append(lms[1:], lms[-1]) + 1  # with the next LMS symbol
     size = np.minimum(ends - lms, depth + 1)
-    symbol = np.concatenate((symbol, np.zeros(7, np.int64)))
     names = np.zeros(len(lms), np.int64)
-    for at in range(0, int(size.max()), 7):
+    for at in range(0, int(size.max()), at_once):
         some = np.flatnonzero(size > at)
         key = np.zeros(len(some), np.int64)
-        for k in range(7):
+        for k in range(at_once):
             here = at + k
-            key = (key << 9) | np.where(size[some] > here, symbol[np.minimum(lms[some] + here, len(symbol) - 1)], 0)
+            key = (key << bits) | np.where(size[some] > here, symbol[np.minimum(lms[some] + here, len(symbol) - 1)], 0)
         if at == 0:
             names = np.unique(key, return_inverse=True)[1].astype(np.int64)
             continue
@@ -53,15 +55,40 @@ def _name(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, depth: int) -> np.
     return names
 
 
-def _rank(names: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of the string of names, equal where the first ``depth`` names are."""
-    rank, width, top = names, 1, int(names.max()) + 1
-    while width < depth and top < len(rank):
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-width] = rank[width:] + 1
-        rank = np.unique(rank * (top + 1) + ahead, return_inverse=True)[1].astype(np.int64)
-        top, width = int(rank.max()) + 1, width * 2
-    return rank
+def _ordered(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """The LMS positions in order of the first ``depth`` symbols of their suffixes."""
+    names = _name(t, s_type, lms, depth)
+    if int(names.max()) + 1 == len(names):
+        return lms[np.argsort(names)]
+    # LMS positions are at least two apart
+    reduced, depth = np.append(names + 1, 0), depth // 2 + 2
+    s_type = _types(reduced)
+    inner = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    return lms[_induced(reduced, s_type, _ordered(reduced, s_type, inner, depth))[1:]]
+
+
+def _induced(t: np.ndarray, s_type: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """All suffixes of ``t``, a string of names with one sentinel, from its LMS suffixes in order."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t))
+    seeds = order[np.argsort(t[order], kind="stable")]
+    symbols = t[seeds]
+    sa = np.full(n, n)
+    sa[ends[symbols] - np.searchsorted(symbols, symbols, "right") + np.arange(len(seeds))] = seeds
+    found = sa.tolist()
+    # the bucket into which a suffix moves the one before it; -1 if that is of the other type
+    into = lambda kind: np.concatenate(([-1], np.where(s_type[:-1] == kind, t[:-1], -1), [-1])).tolist()
+    free, bucket = [0, *ends[:-1].tolist()], into(False)
+    for p in found:  # meets what it adds further on
+        if (c := bucket[p]) >= 0:
+            found[free[c]] = p - 1
+            free[c] += 1
+    free, bucket = (ends - 1).tolist(), into(True)
+    for p in reversed(found):
+        if (c := bucket[p]) >= 0:
+            found[free[c]] = p - 1
+            free[c] -= 1
+    return np.array(found)
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -71,9 +98,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if not len(lms):
         return np.argsort(t, kind="stable")
-    # LMS positions are at least two apart
-    rank = _rank(_name(t, s_type, lms, depth), depth // 2 + 2)
-    order = lms[np.argsort(rank, kind="stable")]
+    order = _ordered(t, s_type, lms, depth)
     alphabet = np.flatnonzero(np.bincount(t))
     seeds = _deal(order, t)
 
