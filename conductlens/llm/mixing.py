@@ -19,7 +19,8 @@ agree whatever the partitioning.
 
 Defined cases: null text has size 0; null sources form one source, which is
 last in order; a source of size 0 has target 0; documents of size 0 are taken
-0 times; repeated rows are drawn one by one; an empty table gives no rows.
+0 times; repeated rows are drawn one by one, rows that share an id by their
+texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from conductlens.llm.common import row_key, stage
+from conductlens.functions.staging import running
+from conductlens.llm.common import global_index, row_key, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
@@ -48,26 +49,25 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     Weights repeat over the sources in code-point order, null last.  A target
     stops at ``most`` times its source's size; water-filling in closed form:
     sources sorted by cap/weight are capped as long as the level that the rest
-    would get is above their cap.  The frame has one row per source.
+    would get is above their cap.  Order and sums run over range partitions, so
+    there may be as many sources as web hosts.
     """
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    per = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0)
+    per = global_index(per.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "_k")
     pick = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("_k", F.row_number().over(by_name) - 1).withColumn(
-        "weight", F.element_at(pick, (F.col("_k") % len(weights) + 1).cast("int"))
-    )
-    cap = F.col("source_size") * most
-    by_level = Window.orderBy(cap / F.col("weight"), "_k")
-    before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("_level", (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the first source whose cap is above its share, in this order, sets the level for itself and all that follow
-    free = F.min(F.when(cap / F.col("weight") >= F.col("_level"), F.struct(cap / F.col("weight"), "_k", "_level"))).over(everything)
-    return per.withColumn("_free", free).select(
+    per = per.withColumn("weight", F.element_at(pick, (F.col("_k") % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("source_size") * most)
+    # from the highest cap/weight down: weights and caps of a source and of all that come after it in rising order
+    falling = per.withColumns({"_ratio": -F.col("_cap") / F.col("weight"), "_at_k": -F.col("_k")})
+    per = stage(running(falling, ["_ratio", "_at_k"], {"_weights": F.col("weight"), "_caps": F.col("_cap")}))
+    level = (total - (total * most - F.col("_caps"))) / F.col("_weights")
+    # the first source in rising order whose cap is above its share sets the level for itself and all that follow
+    free = per.where(-F.col("_ratio") >= level).agg(F.min(F.struct(-F.col("_ratio"), "_k", level.alias("level"))).alias("free")).first()["free"]
+    return per.select(
         "source",
         F.col("source_size").cast("long").alias("source_size"),
         "n_docs",
-        F.least(cap, F.coalesce(F.col("_free._level") * F.col("weight"), cap)).cast("double").alias("target"),
+        (F.least("_cap", free["level"] * F.col("weight")) if free else F.col("_cap")).cast("double").alias("target"),
     )
 
 
@@ -161,7 +161,7 @@ def mix_sources(
         .withColumn("ratio", ratio)
         .withColumn("sure", F.when(F.col("size") > 0, F.floor(F.col("ratio") + EPS)).otherwise(0).cast("long"))
         .withColumn("pi", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - F.col("sure"))).otherwise(0.0))
-        .withColumn("key", F.xxhash64("id", "source", "size", F.lit("cube")))
+        .withColumn("key", F.xxhash64("row_key", "source", "size", F.lit("cube")))
     )
     live = keyed.where((F.col("pi") > EPS)).select("id", "row", "source", "size", "pi", "key", "n_docs")
     live = live.withColumn("share", F.col("pi"))

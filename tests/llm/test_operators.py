@@ -17,7 +17,7 @@ from conductlens.llm.common import connected_components
 from conductlens.llm.exact_dedup import exact_dedup
 from conductlens.llm.induced import permuted_lcp, suffix_array
 from conductlens.llm.line_dedup import dedup_lines
-from conductlens.llm.mixing import mix_sources
+from conductlens.llm.mixing import mix_sources, source_targets
 from conductlens.llm.near_dedup import estimate, near_duplicates
 from conductlens.llm.sentencepiece_lattice import encode
 from conductlens.llm.sharding import cut_links, shard_documents
@@ -146,6 +146,27 @@ def test_mixing(spark):
             assert abs(copies[s] - target[s]) <= max((len((t or "").split()) for (_, t), x in zip(docs, sources, strict=True) if x == s)), s
 
 
+def test_mixing_many_sources(spark):
+    """Targets of a source a host, and rows that share id, source and size but not the text."""
+    rng = random.Random(22)
+    sizes = {f"host{k}.example": rng.choice([0, 1, 3, 10, 50, 4000]) for k in range(400)} | {None: 7}
+    table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    names = [*sorted(s for s in sizes if s is not None), None]
+    weight, total, capped = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, sum(sizes.values()), set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in capped)) / sum(w for s, w in weight.items() if s not in capped)
+        over = {s for s in names if s not in capped and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    assert capped and len(capped) < len(names)
+    got = {r["source"]: r["target"] for r in rows(source_targets(table))}
+    assert got == pytest.approx({s: 3 * sizes[s] if s in capped else level * weight[s] for s in names})
+    again = documents(spark, [(1, f"{a} {b}") for a in "abcdefgh" for b in "ijklmnop"] + [(2, "word " * 40)], ["x"] * 64 + ["y"])
+    one, other = (sorted(map(str, rows(mix_sources(t, block_rows=10)))) for t in (again, again.orderBy(F.col("text").desc()).repartition(5)))
+    assert one == other
+
+
 # --- 3 ---
 
 
