@@ -3,17 +3,19 @@
 A document is the sequence of the ids of its non-blank lines.  Distributed
 prefix doubling ranks all suffixes of all sequences by their first 1, 2, 4, ...
 lines: the rank for twice the length is the place of the pair (rank here, rank
-``length`` lines on) among all distinct pairs in order.  Suffixes of equal rank
-are one interval of the suffix array whose common prefix is at least that long,
-and two overlapping ranks name the interval of any length between.
+``length`` lines on) among the distinct pairs that repeat, in order; a suffix
+whose pair is unique has no copy of that length and no rank from there on.
+Suffixes of equal rank are one interval of the suffix array whose common prefix
+is at least that long, and two overlapping ranks name the interval of any length
+between.
 
 A run of lines qualifies when it holds ``min_words`` words.  For every line the
 shortest qualifying run that starts there and the shortest that ends there are
 looked up; every run whose interval has an earlier member (smaller doc_id, then
 earlier line) is a later copy, and its lines are deleted.  The union of these
 runs is the union of all maximal repeated qualifying runs with an earlier copy.
-Hot lines are combined before they are shuffled: ranks are given to distinct
-pairs, and an interval's first member is a minimum.
+Hot lines are combined before they are shuffled: ranks are given to the distinct
+pairs that repeat, and an interval's first member is a minimum.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines
 are compared after trimming white space; blank lines carry no words and go
@@ -47,9 +49,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rank_pairs(rows: DataFrame, first: str, second: str, name: str) -> DataFrame:
-    """Order-preserving rank of (first, second) among the distinct pairs, joined back; null where one of them is."""
-    pairs = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(first, second).agg(F.lit(1).alias("_one"))
-    ranked = global_index(pairs.drop("_one"), [first, second], name)
+    """Order-preserving rank of (first, second) among the pairs that repeat, joined back; null where one of them is or the pair is unique."""
+    pairs = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(first, second).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ranked = global_index(pairs.drop("_n"), [first, second], name)
     return rows.join(ranked, [first, second], "left").drop(first, second)
 
 
@@ -68,17 +70,14 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     behind = F.count(F.lit(1)).over(per_doc.orderBy("upto").rangeBetween(1 - min_words, 0))
     rows = rows.withColumn("m", F.when(F.col("total") - F.col("before") >= min_words, ahead)).withColumn("k", F.when(F.col("upto") >= min_words, behind))
     rows = stage(rows.select("key", "id", "at", "next", "pos", "line_id", F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k")))
-    # a run with a second copy consists of lines with a second copy
-    many = stage(rows.groupBy("line_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("line_id"))
-    rows = stage(rows.join(many, "line_id", "left_semi"))
-    longest = rows.agg(F.greatest(F.max("m"), F.max("k"))).first()[0] or 1
 
-    # prefix doubling
-    ranked = stage(_rank_pairs(rows.withColumn("_zero", F.lit(0)), "line_id", "_zero", "r1"))
+    # prefix doubling; a run with a second copy consists of lines with a second copy
+    ranked = stage(_rank_pairs(rows.withColumn("_zero", F.lit(0)), "line_id", "_zero", "r1").where("r1 is not null"))
+    longest = ranked.agg(F.greatest(F.max("m"), F.max("k"))).first()[0] or 1
     length = 1
     while length * 2 <= longest:
         here, ahead_ = f"r{length}", f"_next{length}"
-        # no line follows, or one without a second copy: no run of this length starts here that repeats
+        # no repeated run follows: none of twice the length starts here
         follow = F.max(here).over(per_doc.orderBy("pos").rangeBetween(length, length))
         pair_rank = _rank_pairs(ranked.withColumns({"_a": F.col(here), ahead_: follow}), "_a", ahead_, f"r{length * 2}")
         ranked, length = stage(pair_rank), length * 2
@@ -102,7 +101,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     firsts = stage(named.groupBy("size", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     later = named.join(firsts, ["size", "head", "tail"]).where(place > F.col("first"))
     covered = later.select("key", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
-    return rows.select("key", "pos", "at", "next").join(covered, ["key", "pos"]).select("key", "at", "next")
+    return ranked.select("key", "pos", "at", "next").join(covered, ["key", "pos"]).select("key", "at", "next")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
