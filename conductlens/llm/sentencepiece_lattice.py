@@ -30,6 +30,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -44,6 +45,7 @@ SPACE = "▁"
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 UNIT = f"[\\n\\t]|{SPACE}+[^{SPACE}\\n\\t]*|[^{SPACE}\\n\\t]+"
 UNKNOWN_PENALTY = 10.0
+NO_PIECE = float("-inf")
 
 
 class Vocabulary:
@@ -195,12 +197,13 @@ class Encoder(dict):
         self.known, self.byte_ids, self.longest, self.unknown = known, byte_ids, longest, unknown
         self.fold = self.merge if merges else self.viterbi
         self.edges = {p: (s, i) for p, i, s in pieces}
+        self.scores = {p: s for p, _, s in pieces}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) > len(self.known) + 200_000:
             self.clear()
             self.update(self.known)
-        self[unit] = packed = np.array(self.fold(unit), np.int32).tobytes()
+        self[unit] = packed = array("i", self.fold(unit)).tobytes()
         return packed
 
     def ids_of(self, char: str) -> list[int]:
@@ -229,25 +232,20 @@ class Encoder(dict):
         return [i for part in reversed(path) for i in part]
 
     def merge(self, unit: str) -> list[int]:
-        get = self.edges.get
         parts = list(unit)
-        joins = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         # a heap keeps very long units linear in their merges
         if len(parts) > 64:
             return self._merge_long(parts)
-        while True:
-            best, at = None, -1
-            for k, edge in enumerate(joins):
-                if edge is not None and (best is None or edge[0] > best):
-                    best, at = edge[0], k
-            if at < 0:
-                break
+        get = self.scores.get
+        joins = [get(a + b, NO_PIECE) for a, b in zip(parts, parts[1:], strict=False)]
+        while joins and (best := max(joins)) > NO_PIECE:
+            at = joins.index(best)  # the leftmost of the best
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del joins[at]
             if at:
-                joins[at - 1] = get(parts[at - 1] + parts[at])
+                joins[at - 1] = get(parts[at - 1] + parts[at], NO_PIECE)
             if at < len(joins):
-                joins[at] = get(parts[at] + parts[at + 1])
+                joins[at] = get(parts[at] + parts[at + 1], NO_PIECE)
         return self._ids(parts)
 
     def _ids(self, parts: list[str]) -> list[int]:
