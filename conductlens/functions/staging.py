@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +57,8 @@ class Shared:
         return self.df
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows in range partitions, sorted in place, with their place in them (_at); written, so that a repeated evaluation sees the same partitions."""
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in range partitions, sorted in place, with their partition (_part) and a number that grows in this order (_at); written, so that a repeated evaluation sees the same partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     return done.withColumn("_part", F.shiftright("_at", 33))
@@ -68,7 +69,7 @@ def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     The table of sizes has one row per partition.
     """
-    done = _ranged(df, order)
+    done = ranged(df, order)
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = done.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +84,7 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], largest: d
     carried on in a table of one row per partition.
     """
     largest = largest or {}
-    done = _ranged(df, order)
+    done = ranged(df, order)
     in_part = Window.partitionBy("_part").orderBy("_at")
     upto, before = in_part.rowsBetween(Window.unboundedPreceding, 0), in_part.rowsBetween(Window.unboundedPreceding, -1)
     totals = done.groupBy("_part").agg(*[F.sum(x).alias(f"_s_{k}") for k, x in sums.items()], *[F.max(x).alias(f"_m_{k}") for k, x in largest.items()])
@@ -97,3 +98,60 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], largest: d
     joined = local.join(F.broadcast(carried), "_part")
     joined = joined.withColumns({**{k: F.col(k) + F.col(f"_c_{k}") for k in sums}, **{k: F.greatest(k, f"_c_{k}") for k in largest}})
     return joined.drop("_part", "_at", *[f"_c_{k}" for k in [*sums, *largest]])
+
+
+class Running(NamedTuple):
+    """A running value: ``kind`` is sum, max, last (not null) or xor; ``own`` counts the row itself."""
+
+    kind: str
+    column: Column
+    own: bool = False
+
+
+def _whole(kind: str, x: Column) -> Column:
+    if kind == "last":
+        return F.max_by(x, F.when(x.isNotNull(), F.col("_at")))
+    return {"sum": F.sum, "max": F.max, "xor": F.bit_xor}[kind](x)
+
+
+def _over(kind: str, x: Column, window) -> Column:
+    return (F.last(x, ignorenulls=True) if kind == "last" else _whole(kind, x)).over(window)
+
+
+def _joined(kind: str, earlier: Column, later: Column) -> Column:
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    if kind == "sum":
+        return zero(earlier) + zero(later)
+    if kind == "xor":
+        return zero(earlier).bitwiseXOR(zero(later))
+    return F.greatest(earlier, later) if kind == "max" else F.coalesce(later, earlier)
+
+
+def scan(done: DataFrame, keys: list[str], values: dict[str, Running]) -> DataFrame:
+    """Adds running values within each key to rows that ``ranged`` has put in order of (keys, ...).
+
+    No key is one task: a window ends with its range partition, and what a key
+    has gathered in the partitions before is carried on in a table of one row
+    per partition.  Null keys are a key of their own.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    edges = done.groupBy("_part").agg(F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last"))
+    tails = done.join(F.broadcast(edges), "_part").where(key.eqNullSafe(F.col("_last"))).groupBy("_part")
+    tails = tails.agg(F.first("_first").alias("_first"), F.first("_last").alias("_last"), *[_whole(v.kind, v.column).alias(f"_t_{k}") for k, v in values.items()])
+    through = Window.partitionBy("_last").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = Window.orderBy("_part")
+    goes_on = F.lag("_last").over(parts).eqNullSafe(F.col("_first")) & F.lag(F.lit(1)).over(parts).isNotNull()
+    carried = tails.withColumns({f"_t_{k}": _over(v.kind, F.col(f"_t_{k}"), through) for k, v in values.items()}).select(
+        "_part", "_first", *[F.when(goes_on, F.lag(f"_t_{k}").over(parts)).alias(f"_c_{k}") for k in values]
+    )
+    here = Window.partitionBy("_part", *keys).orderBy("_at")
+    upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    out = done.withColumns({f"_v_{k}": _over(v.kind, v.column, upto if v.own else before) for k, v in values.items()}).join(F.broadcast(carried), "_part")
+    at_seam = key.eqNullSafe(F.col("_first"))
+    out = out.withColumns({k: _joined(v.kind, F.when(at_seam, F.col(f"_c_{k}")), F.col(f"_v_{k}")) for k, v in values.items()})
+    return out.drop("_first", *[f"_{x}_{k}" for k in values for x in "cv"])
+
+
+def segmented(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running]) -> DataFrame:
+    """Running values within each key in the given order, without a window over a key; see ``scan``."""
+    return scan(ranged(df, [*keys, *order]), keys, values).drop("_part", "_at")
