@@ -81,12 +81,44 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), k=20)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading back the windows of all conversations gives, and of one more that talks in control strings."""
+    from conductlens.llm.chat_format import format_chats, read_digests
+
+    said = "\\### Assistant: </turn> ok"
+    talk = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_digests(format_chats(conversations.union(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conductlens.llm.prefix_trie import prefix_trie, rebuilt_conversations
+
+    return prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_sharding, op10_ann)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op6_exact_dedup": OP6}
+    return {"op5_line_dedup": OP5, "op6_exact_dedup": OP6, "op13_prefix_trie": OP13}
+
+
+ALL = [
+    op1_suffix_dedup,
+    op2_mix_sources,
+    op3_sentencepiece,
+    op4_toxicity,
+    op5_line_dedup,
+    op6_exact_dedup,
+    op7_near_dedup,
+    op8_url_filter,
+    op9_sharding,
+    op10_ann,
+    op11_chat_format,
+    op13_prefix_trie,
+]
 
 
 #: runs of at most five non-blank lines hold five words; a run's first place in order of (doc_id, line) stays
@@ -136,3 +168,29 @@ SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
        d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
 """
+
+
+#: CRC-32 of the decimal id bit by bit (3988292384 is its polynomial); a node is a list of turns; its subtree are the nodes that begin with it
+OP13 = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    {'k': sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 'b': strlen(coalesce(text, ''))} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list(turn ORDER BY pos) AS ts FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, ts, conv_id - conv_id % 5 AS base, CAST(xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, s: list_reduce(list_prepend(xor(a, s), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))
+  ), 4294967295::BIGINT) % 9 AS BIGINT) AS h FROM own
+), rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM c LEFT JOIN own b ON b.conv_id = c.base),
+beginnings AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM rebuilt),
+node AS (
+  SELECT ts[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(ts)), '') AS ends FROM beginnings GROUP BY path, depth
+), kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * coalesce(node.path[depth].b, 0) AS saved FROM node LEFT JOIN kids USING (path)),
+above AS (SELECT path[1:d] AS path, n_children, saved FROM (SELECT path, n_children, saved, unnest(range(0, depth + 1)) AS d FROM full_node)),
+subtree AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_node n JOIN subtree s USING (path) LEFT JOIN node p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
