@@ -91,6 +91,12 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(format_chats(conversations.union(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conductlens.llm.lexical_search import lexical_search
+
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conductlens.llm.prefix_trie import prefix_trie, rebuilt_conversations
 
@@ -102,7 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op6_exact_dedup": OP6, "op13_prefix_trie": OP13}
+    return {"op5_line_dedup": OP5, "op6_exact_dedup": OP6, "op12_lexical_search": OP12, "op13_prefix_trie": OP13}
 
 
 ALL = [
@@ -117,6 +123,7 @@ ALL = [
     op9_sharding,
     op10_ann,
     op11_chat_format,
+    op12_lexical_search,
     op13_prefix_trie,
 ]
 
@@ -170,6 +177,25 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents WHERE text IS NOT NULL
+), total AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), m AS (SELECT r, doc_id, 50 + (50 * len(ws) * n_docs) // n_terms AS m FROM d, total WHERE len(ws) > 0),
+scored AS (
+  SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, r
+), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scored JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 #: CRC-32 of the decimal id bit by bit (3988292384 is its polynomial); a node is a list of turns; its subtree are the nodes that begin with it
 OP13 = """
 WITH t AS (
