@@ -26,9 +26,10 @@ TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</
 
 
 def escape(text: Column, role: bool = False) -> Column:
-    """A backslash before every backslash and every control string (in roles also before a colon)."""
-    for found in (ESCAPE, OPEN, CLOSE, ":")[: 4 if role else 3]:
-        text = F.replace(text, F.lit(found), F.lit(ESCAPE + found))
+    """A backslash before every backslash, every mark of an opening and every closing (in roles also before a colon)."""
+    marks = {ESCAPE: ESCAPE * 2, OPEN: "".join(ESCAPE + c for c in OPEN), CLOSE: ESCAPE + CLOSE, **({":": ESCAPE + ":"} if role else {})}
+    for found, instead in marks.items():
+        text = F.replace(text, F.lit(found), F.lit(instead))
     return text
 
 

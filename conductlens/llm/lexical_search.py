@@ -212,10 +212,11 @@ def _descend(k: int):
 def _best(tree: dict[str, np.ndarray], terms: np.ndarray, floor: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, known, score) of the k best documents, none below ``floor``; equal scores by ids, missing ids first."""
     asked = lambda tids: terms[np.minimum(np.searchsorted(terms, tids), len(terms) - 1)] == tids
-    hit, c_hit = np.where(asked(tree["tids"]), tree["values"], 0), np.where(asked(tree["c_tids"]), tree["c_values"], 0.0)
-    dots = np.add.reduceat(c_hit, tree["c_offsets"][:-1])
-    # a query's own length is the root of the number of its terms
-    bounds = np.ceil((dots + np.sqrt(len(terms)) * tree["radius"]) * (1 + SAFE)) + 1
+    hit, there = np.where(asked(tree["tids"]), tree["values"], 0), asked(tree["c_tids"])
+    dots = np.add.reduceat(np.where(there, tree["c_values"], 0.0), tree["c_offsets"][:-1])
+    # the length of a query where it meets a subtree's documents: the root of the number of its terms that they hold
+    shared = np.add.reduceat(there.astype(np.int64), tree["c_offsets"][:-1])
+    bounds = np.where(shared > 0, np.ceil((dots + np.sqrt(shared) * tree["radius"]) * (1 + SAFE)) + 1, 0)
     docs, known, scores = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
     heap = [(-bounds[0], 0)]
     while heap and -heap[0][0] >= max(floor, 1):
@@ -262,8 +263,8 @@ def lexical_search(documents: DataFrame, queries: DataFrame, k: int = 50) -> Dat
     # bounds of whole blocks: the root's centroid, over the terms that query and block share
     roots = trees.select("block", F.col("radius")[0].alias("radius"), F.slice("c_tids", F.lit(1), F.col("c_offsets")[1].cast("int")).alias("t"), F.slice("c_values", F.lit(1), F.col("c_offsets")[1].cast("int")).alias("c"))
     roots = roots.select("block", "radius", F.inline(F.arrays_zip(F.col("t").alias("tid"), F.col("c").alias("c"))))
-    dots = roots.join(asked, "tid").groupBy("block", "item").agg(F.sum("c").alias("dot"), F.first("radius").alias("radius"))
-    bound = F.ceil((F.col("dot") + F.sqrt(F.size("tids")) * F.col("radius")) * (1 + SAFE)) + 1
+    dots = roots.join(asked, "tid").groupBy("block", "item").agg(F.sum("c").alias("dot"), F.count(F.lit(1)).alias("shared"), F.first("radius").alias("radius"))
+    bound = F.ceil((F.col("dot") + F.sqrt("shared") * F.col("radius")) * (1 + SAFE)) + 1
     pairs = stage(dots.join(chunked, "item").select("block", "item", "chunk", "tids", bound.alias("bound"), F.col("dot")))
 
     def search(todo: DataFrame) -> DataFrame:
