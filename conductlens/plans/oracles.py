@@ -252,6 +252,10 @@ UNION ALL SELECT 'events', count(*) FROM parts UNION ALL SELECT 'rejected_lines'
   round(avg(CAST(data_in_bytes + data_out_bytes AS DOUBLE)), 4) AS vol_mean,
   round(var_pop(CAST(data_in_bytes + data_out_bytes AS DOUBLE)) * count(*), 4) AS vol_m2
 FROM train WHERE event_type = 'ToolCall' AND (agent_id <> 'agent-2' OR timestamp >= TIMESTAMP '2024-01-11') GROUP BY ALL""",
+        "stored_span": f"""WITH {TRAIN} SELECT {EVENT_COLUMNS}, arrival FROM train
+WHERE agent_id = 'agent-1' AND timestamp >= TIMESTAMP '2024-01-11' AND timestamp < TIMESTAMP '2024-01-16'""",
+        "continued_sets": f"""WITH {TRAIN} SELECT DISTINCT agent_id, coalesce(tool_name, 'unknown') AS tool_name, array_to_string(list_sort(param_keys), '|') AS item
+FROM train WHERE event_type = 'ToolCall' UNION ALL SELECT DISTINCT agent_id, NULL, unnest(resource_ids) FROM train""",
         "one_agent_tools": f"WITH {TRAINED} SELECT {ROUNDED_TOOL} FROM tool WHERE agent_id = 'agent-2'",
         "one_agent_anomalies": f"WITH {ALL_FOUND} SELECT * FROM found WHERE agent_id = 'agent-1'",
         "own_detectors": f"""WITH {SCORE}{VOLUMES.replace("z > 3.0", "z > 2.0").replace("z > 5.0", "z > 4.0")}, u_large AS (

@@ -26,6 +26,7 @@ from conductlens.schemas import EVENT_COLUMNS, ORDERED_EVENT
 from conductlens.sources.store import (
     anomalies_to_json,
     append_events,
+    compact_profiles,
     events_to_json,
     list_agents,
     load_events,
@@ -274,6 +275,33 @@ def stored_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_stored(spark, sf_dir).tool)
 
 
+def stored_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One agent's events of five days, from a store that nine named batches have filled, one of them repeated."""
+    root, train = shared_folder(spark, "store"), _train(spark, sf_dir)
+    for n in (*range(5), 4, *range(5, 9)):
+        append_events(train.where(F.col("arrival") % 9 == n), root, f"feed-{n}")
+    return _rounded(load_events(spark, root, "agent-1", since="2024-01-11", until="2024-01-16").select(*EVENT_COLUMNS, "arrival"))
+
+
+def _continued(spark: SparkSession, sf_dir: str) -> Profile:
+    """A profile whose agents are continued two by two, in layers of their own, and then folded."""
+    root = shared_folder(spark, "store")
+    first, second = halves(_train(spark, sf_dir))
+    save_profile(build_profile(first), root)
+    for pair in (("agent-0", "agent-1"), ("agent-2", "agent-3")):
+        part = second.where(F.col("agent_id").isin(*pair))
+        save_profile(build_profile(part, stored=load_profile(spark, root, agents=part.select("agent_id").distinct())), root)
+    compact_profiles(spark, root)
+    return load_profile(spark, root)
+
+
+def continued_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameter sets of tools, and resources, of the continued profile."""
+    p = _continued(spark, sf_dir)
+    keys = p.param_set.select("agent_id", "tool_name", F.array_join("param_keys", "|").alias("item"))
+    return keys.unionByName(p.resource.select("agent_id", F.lit(None).cast("string").alias("tool_name"), F.col("resource_id").alias("item")))
+
+
 def one_agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(build_profile(_train(spark, sf_dir), agent_id="agent-2").tool)
 
@@ -387,6 +415,8 @@ ALL = [
     stored_events,
     stored_agents,
     stored_profile,
+    stored_span,
+    continued_sets,
     one_agent_tools,
     one_agent_anomalies,
     own_detectors,

@@ -1,11 +1,12 @@
-"""Event and profile stores: JSON lines and partitioned Parquet."""
+"""Events as JSON lines; event and profile stores that grow by layers of Parquet tables."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,20 +14,11 @@ from conductlens.functions.staging import stage
 from conductlens.functions.text import Repeated, strict_json
 from conductlens.operators.profile import Profile
 from conductlens.schemas import EVENT, EVENT_COLUMNS, EVENT_TYPES, OPTIONAL, PROFILE_SCHEMAS
+from conductlens.sources.layers import BUCKETS, Layer, Layers, bucket, to_fold, write_bucketed
 
 TEXT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
-
-
 # --- events as JSON lines ---
 
 
@@ -114,102 +106,225 @@ def stream_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parse_events(spark.readStream.text(path).where(F.trim("value") != ""))
 
 
-def append_events(events: DataFrame, root: str, batch: str | None = None) -> None:
-    """Add events to the store, by agent; an empty frame writes nothing.
+def _event_log(spark: SparkSession, root: str) -> Layers:
+    return Layers(spark, f"{root}/events")
+
+
+FILES = "agent_id string, file string, rows long, first timestamp, last timestamp"
 
-    Every call writes one batch folder.  A caller that names its batch can
-    repeat a call that was interrupted: the batch is written over, not added.
-    """
-    if events.limit(1).count():
-        kept = events.select(*EVENT_COLUMNS, *[c for c in ("arrival",) if c in events.columns])
-        kept.write.mode("overwrite").partitionBy("agent_id").parquet(f"{root}/events/batch={batch or uuid.uuid4().hex}")
 
+def _write_events(log: Layers, events: DataFrame) -> Layer:
+    """A layer: the events by bucket, and for each agent and file the number of events and their first and last time."""
+    folder = log.new_folder()
+    write_bucketed(events, f"{log.path(folder)}/data")
+    written = log.spark.read.schema(f"{_ddl(events)}, bucket int").parquet(f"{log.path(folder)}/data")
+    place = F.concat(F.lit("bucket="), F.col("bucket").cast("string"), F.lit("/"), F.col("_metadata.file_name"))
+    files = written.groupBy("agent_id", place.alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    files.write.parquet(f"{log.path(folder)}/files")
+    rows = log.spark.read.schema(FILES).parquet(f"{log.path(folder)}/files").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return Layer(folder, rows, _ddl(events))
 
-def load_events(spark: SparkSession, root: str, agent_id: str | None = None) -> DataFrame:
-    """Stored events; none if nothing is stored; an unreadable file is an error."""
-    path = f"{root}/events"
-    if not exists(spark, path):
-        return spark.createDataFrame([], EVENT)
-    df = spark.read.parquet(path).withColumn("agent_id", F.col("agent_id").cast("string"))
-    df = df if agent_id is None else df.where(F.col("agent_id") == agent_id)
-    return df.select(*EVENT_COLUMNS, *[c for c in ("arrival",) if c in df.columns])
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _layer_events(log: Layers, layers: list[Layer], files: dict[str, list[str]] | None = None) -> DataFrame:
+    """The events of some layers, or of some of their files."""
+    out = log.spark.createDataFrame([], EVENT)
+    for layer in layers:
+        data = f"{log.path(layer)}/data"
+        paths = [data] if files is None else [f"{data}/{f}" for f in files.get(layer.folder, [])]
+        if paths:
+            df = log.spark.read.schema(layer.schema).parquet(*paths)
+            out = out.unionByName(df.select(*EVENT_COLUMNS, *[c for c in ("arrival",) if c in df.columns]), allowMissingColumns=True)
+    return out
+
+
+def append_events(events: DataFrame, root: str, batch: str | None = None) -> None:
+    """Add events to the store; an empty frame writes nothing.
+
+    A call writes its own events, as a layer, and what it has to fold: small
+    layers are joined to larger ones, so their number stays at the logarithm of
+    the number of calls.  A caller that names its batch ``<feed>-<number>`` can
+    repeat a call: a feed's numbers grow, and a number that is not above the
+    feed's last one was added before and adds nothing.
+    """
+    spark = events.sparkSession
+    log = _event_log(spark, root)
+    layers, feeds = log.current() or ([], {})
+    feed, _, number = (batch or "").rpartition("-")
+    if batch is not None and not (feed and number.isdigit()):
+        raise ValueError(f"a batch is named <feed>-<number>, not {batch!r}")
+    if batch is not None and int(number) <= feeds.get(feed, -1):
+        return
+    if not events.limit(1).count():
+        return
+    kept = events.select(*EVENT_COLUMNS, *[c for c in ("arrival",) if c in events.columns])
+    layers = [*layers, _write_events(log, kept)]
+    while n := to_fold(layers):
+        layers = [*layers[:-n], _write_events(log, _layer_events(log, layers[-n:]))]
+    log.publish(layers, feeds | ({feed: int(number)} if batch is not None else {}))
+
+
+def compact_events(spark: SparkSession, root: str) -> None:
+    """Fold the store's layers into one for each layout of events."""
+    log = _event_log(spark, root)
+    layers, feeds = log.current() or ([], {})
+    layouts = list(dict.fromkeys(layer.schema for layer in layers))
+    if len(layers) > len(layouts):
+        log.publish([_write_events(log, _layer_events(log, [x for x in layers if x.schema == layout])) for layout in layouts], feeds)
+
+
+def event_files(spark: SparkSession, root: str) -> DataFrame:
+    """(layer, agent_id, file, rows, first, last): which files of the store hold events of an agent, how many, and of what time."""
+    log = _event_log(spark, root)
+    layers, _ = log.current() or ([], {})
+    out = spark.createDataFrame([], f"layer string, {FILES}")
+    for layer in layers:
+        out = out.unionByName(spark.read.schema(FILES).parquet(f"{log.path(layer)}/files").withColumn("layer", F.lit(layer.folder)))
+    return out
+
+
+def load_events(spark: SparkSession, root: str, agent_id: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Stored events, of one agent or of times from ``since`` up to ``until`` (exclusive) if these are given; none if nothing is stored.
+
+    What is asked for is looked up in the table of files: only files that hold
+    it are read, and no folder is listed.  An unreadable file is an error.
+    """
+    log = _event_log(spark, root)
+    layers, _ = log.current() or ([], {})
+    wanted = {
+        "agent": agent_id is not None and (F.col("agent_id") == agent_id, F.col("agent_id") == agent_id),
+        "since": since is not None and (F.col("last") >= F.lit(since).cast("timestamp"), F.col("timestamp") >= F.lit(since).cast("timestamp")),
+        "until": until is not None and (F.col("first") < F.lit(until).cast("timestamp"), F.col("timestamp") < F.lit(until).cast("timestamp")),
+    }
+    tests = [x for x in wanted.values() if x]
+    if not tests:
+        return _layer_events(log, layers)
+    of_file, of_event = (reduce(Column.__and__, side) for side in zip(*tests, strict=True))
+    files: dict[str, list[str]] = {}
+    for row in event_files(spark, root).where(of_file).select("layer", "file").distinct().collect():
+        files.setdefault(row.layer, []).append(row.file)
+    return _layer_events(log, layers, files).where(of_event)
 
 
 # --- profiles ---
 
 STATE = "agent_id string, session_id string, tool_name string, call_time timestamp"
-KEPT_VERSIONS = 3  # published versions that stay for readers that still use them
+
+
+TABLES = {**PROFILE_SCHEMAS, "state": STATE}
+
+
+def _profile_log(spark: SparkSession, root: str) -> Layers:
+    return Layers(spark, f"{root}/profiles")
+
+
+def _tables(log: Layers, layers: list[Layer], condition: Column | None = None, agents: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of some layers, as functions: of every agent the rows of the newest layer that holds it.
+
+    ``condition`` is on agent_id and bucket and reaches the scans.
+    """
+
+    def rows(table: str, columns: str | None = None) -> DataFrame:
+        out = None
+        for k, layer in enumerate(layers):
+            df = log.spark.read.schema(f"{TABLES[table]}, bucket int").parquet(f"{log.path(layer)}/{table}")
+            df = df if condition is None else df.where(condition)
+            df = df.select(columns or "*").withColumn("_layer", F.lit(k))
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def merged(table: str) -> DataFrame:
+        out = rows(table)
+        if len(layers) > 1:
+            newest = rows("agent", "agent_id").where("_layer > 0").groupBy("agent_id").agg(F.max("_layer").alias("_newest"))
+            out = out.join(newest, "agent_id", "left").where(F.col("_layer") == F.coalesce("_newest", F.lit(0))).drop("_newest")
+        out = out.drop("_layer", "bucket")
+        return out if agents is None else out.join(agents, "agent_id", "left_semi")
+
+    return {name: (lambda name=name: merged(name)) for name in TABLES}
+
+
+def _write_profile(log: Layers, tables: dict[str, DataFrame]) -> Layer:
+    folder = log.new_folder()
+    for name, df in tables.items():
+        write_bucketed(df, f"{log.path(folder)}/{name}")
+    counts = [log.spark.read.schema(f"{schema}, bucket int").parquet(f"{log.path(folder)}/{name}").select(F.lit(1).alias("x")) for name, schema in TABLES.items()]
+    return Layer(folder, reduce(DataFrame.union, counts).count())
 
 
 def save_profile(profile: Profile, root: str, state: DataFrame | None = None) -> None:
-    """Replace the profiles of the agents in ``profile``; other agents' stay.
+    """Replace the profiles of the agents in ``profile``; other agents' stay and are not touched.
 
-    Every version is a new folder with all seven tables and, for streams, the
-    agents' last calls; an empty file whose name holds a number and the folder
-    is made last, and the largest number counts, so readers see the old or the
-    new state of everything.  Older versions are deleted, the last three stay.
-    One writer at a time is assumed.
+    A call writes the rows of its own agents, as a layer with all seven tables
+    and, for streams, the agents' last calls; readers take every agent from the
+    newest layer that holds it, and small layers are folded (``to_fold``).  All
+    of it counts from one moment on, when the list of layers is put in place.
     """
     spark = profile.agent.sparkSession
-    published = _published(spark, root)
-    old = f"{root}/profiles/{published[-1].split('_', 1)[1]}" if published else None
-    name = f"v-{uuid.uuid4().hex}"
-    agents = stage(profile.agent.select("agent_id"))
-    tables = {**profile.tables(), "state": spark.createDataFrame([], STATE) if state is None else state}
-    for table, df in tables.items():
-        if old:
-            rest = spark.read.schema(PROFILE_SCHEMAS.get(table, STATE)).parquet(f"{old}/{table}").join(agents, "agent_id", "left_anti")
-            df = df.unionByName(rest)
-        df.write.parquet(f"{root}/profiles/{name}/{table}")
-    number = int(published[-1].split("_", 1)[0]) + 1 if published else 0
-    fs, target = _path(spark, f"{root}/profiles/published/{number:012d}_{name}")
-    fs.create(target, False).close()
-    for gone in published[: max(len(published) - KEPT_VERSIONS + 1, 0)]:
-        fs.delete(_path(spark, f"{root}/profiles/published/{gone}")[1], False)
-        fs.delete(_path(spark, f"{root}/profiles/{gone.split('_', 1)[1]}")[1], True)
-
-
-def _published(spark: SparkSession, root: str) -> list[str]:
-    """Names of the published versions, the current one last."""
-    fs, folder = _path(spark, f"{root}/profiles/published")
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-
-
-def _current(spark: SparkSession, root: str) -> str | None:
-    published = _published(spark, root)
-    return f"{root}/profiles/{published[-1].split('_', 1)[1]}" if published else None
-
-
-def load_state(spark: SparkSession, root: str) -> DataFrame | None:
+    log = _profile_log(spark, root)
+    layers, feeds = log.current() or ([], {})
+    agents = stage(profile.agent.select("agent_id").distinct())
+    state = spark.createDataFrame([], STATE) if state is None else state.join(agents, "agent_id", "left_semi")
+    layers = [*layers, _write_profile(log, {**profile.tables(), "state": state})]
+    while n := to_fold(layers):
+        layers = [*layers[:-n], _write_profile(log, {k: make() for k, make in _tables(log, layers[-n:]).items()})]
+    log.publish(layers, feeds)
+
+
+def compact_profiles(spark: SparkSession, root: str) -> None:
+    """Fold all layers of the profile store into one; readers that use the old ones can go on."""
+    log = _profile_log(spark, root)
+    layers, feeds = log.current() or ([], {})
+    if len(layers) > 1:
+        log.publish([_write_profile(log, {k: make() for k, make in _tables(log, layers).items()})], feeds)
+
+
+def _loaded(spark: SparkSession, root: str, agent_id: str | None, agents: DataFrame | None) -> dict[str, Callable[[], DataFrame]] | None:
+    log = _profile_log(spark, root)
+    layers, _ = log.current() or ([], {})
+    if not layers:
+        return None
+    condition = None
+    if agent_id is not None:
+        condition = (F.col("bucket") == bucket(F.lit(agent_id))) & (F.col("agent_id") == agent_id)
+    elif agents is not None:  # there are few buckets
+        found = [r.b for r in agents.select(bucket(F.col("agent_id")).alias("b")).distinct().collect()]
+        condition = F.col("bucket").isin(found) if len(found) < BUCKETS else None
+    return _tables(log, layers, condition, agents)
+
+
+def load_state(spark: SparkSession, root: str, agents: DataFrame | None = None) -> DataFrame | None:
     """The agents' last calls that were published with the current profile; None if there is none."""
-    folder = _current(spark, root)
-    return spark.read.schema(STATE).parquet(f"{folder}/state") if folder else None
+    tables = _loaded(spark, root, None, agents)
+    return None if tables is None else tables["state"]()
 
 
-def load_profile(spark: SparkSession, root: str, agent_id: str | None = None, on_corrupt: str = "fail") -> Profile | None:
-    """The stored profile, None if there is none; ``on_corrupt="fresh"`` treats an unreadable one as none."""
+def load_profile(spark: SparkSession, root: str, agent_id: str | None = None, on_corrupt: str = "fail", agents: DataFrame | None = None) -> Profile | None:
+    """The stored profile, None if there is none; ``on_corrupt="fresh"`` treats an unreadable one as none.
+
+    ``agent_id`` or a frame of ``agents`` (agent_id) restricts it to these; folders of other buckets are not read.
+    """
     try:
-        folder = _current(spark, root)
-        if folder is None:
+        tables = _loaded(spark, root, agent_id, agents)
+        if tables is None:
             return None
-        tables = {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in PROFILE_SCHEMAS.items()}
+        out = Profile(**{name: tables[name] for name in PROFILE_SCHEMAS})
         if on_corrupt == "fresh":
-            for df in tables.values():
+            for df in out.tables().values():
                 df.write.format("noop").mode("overwrite").save()
     except Exception:
         if on_corrupt == "fresh":
             return None
         raise
-    out = Profile(**tables)
-    return out if agent_id is None else out.where(F.col("agent_id") == agent_id)
+    return out
 
 
 def list_agents(spark: SparkSession, root: str) -> DataFrame:
-    """Sorted ids of the agents with events or a profile; of the events, only the names of their folders are read."""
-    fs, events = _path(spark, f"{root}/events")
-    names = {p.getPath().getName() for b in (fs.listStatus(events) if fs.exists(events) else []) if b.isDirectory() for p in fs.listStatus(b.getPath()) if p.isDirectory()}
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    found = spark.createDataFrame([(unescape(n.split("=", 1)[1]),) for n in sorted(names) if n.startswith("agent_id=")], "agent_id string")
+    """Sorted ids of the agents with events or a profile; of the events, only the table of files is read."""
+    found = event_files(spark, root).select("agent_id")
     profile = load_profile(spark, root)
     if profile is not None:
         found = found.unionByName(profile.agent.select("agent_id"))

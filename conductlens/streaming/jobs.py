@@ -22,12 +22,14 @@ def build_batch(batch: DataFrame, root: str, name: str | None = None, mark_ttl:
 
     It may be repeated after an interruption at any point, under the same name:
     until the profile is published, with the agents' last calls, the same events
-    are accepted and written over; afterwards its marks accept none of them.
-    ``mark_ttl`` (an interval such as ``30 days``) drops the marks of sessions
-    that have been silent for so long.
+    are accepted, and added once; afterwards its marks accept none of them.
+    Only the batch's agents are read from the profile store and written to it.
+    ``mark_ttl`` (an interval such as ``30 days``) drops the marks of these
+    agents' sessions that have been silent for so long.
     """
     spark = batch.sparkSession
-    stored, latest = load_profile(spark, root), load_state(spark, root)
+    agents = stage(batch.select("agent_id").distinct())
+    stored, latest = load_profile(spark, root, agents=agents), load_state(spark, root, agents)
     profile = build_profile(batch, stored, seam="continuous", last_state=latest)
     accepted = stage(profile.accepted)
     if not accepted.limit(1).count():

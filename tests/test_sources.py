@@ -6,8 +6,24 @@ from pyspark.sql import functions as F
 
 from conductlens.operators.detect import anomaly_records, detect
 from conductlens.operators.profile import build_profile, expire_marks
-from conductlens.sources import store
-from conductlens.sources.store import append_events, events_to_json, list_agents, load_events, load_profile, load_state, publish, read_events, save_profile, stream_events, valid_event
+from conductlens.sources import layers, store
+from conductlens.sources.layers import Layer, Layers, to_fold
+from conductlens.sources.store import (
+    append_events,
+    compact_events,
+    compact_profiles,
+    event_files,
+    events_to_json,
+    list_agents,
+    load_events,
+    load_profile,
+    load_state,
+    publish,
+    read_events,
+    save_profile,
+    stream_events,
+    valid_event,
+)
 from conductlens.sources.transcripts import decode_line, parse_transcripts, read_transcripts, transcript_totals
 from conductlens.streaming import jobs
 from conductlens.streaming.jobs import build_batch, stream_build, stream_detect
@@ -161,16 +177,82 @@ def test_stores(spark, tmp_path):
     save_profile(more, root)
     loaded = load_profile(spark, root)
     assert {r["agent_id"]: r["event_count"] for r in rows(loaded.agent)} == {"alpha": 1, "beta": 2}
-    for _ in range(4):  # old versions go
-        save_profile(load_profile(spark, root, "beta"), root)
-    assert len(list((tmp_path / "store/profiles").glob("v-*"))) == store.KEPT_VERSIONS and len(rows(load_profile(spark, root).agent)) == 2
-    for part in (tmp_path / "store/profiles").glob("v-*/agent/*.parquet"):
+    for part in (tmp_path / "store/profiles/layers").glob("*/agent/*/*.parquet"):
         part.write_text("gone")
     with pytest.raises(Exception):  # noqa: B017
         load_profile(spark, root).agent.collect()
     assert load_profile(spark, root, on_corrupt="fresh") is None
 
 
+def test_small_layers_are_folded():
+    """A thousand batches leave few layers, and a row is rewritten as often as the logarithm of the whole."""
+    kept, written = [], 0
+    for _ in range(1000):
+        kept.append(Layer("x", 5))
+        written += 5
+        while n := to_fold(kept):
+            total = sum(layer.rows for layer in kept[-n:])
+            kept[-n:] = [Layer("x", total)]
+            written += total
+    assert len(kept) <= 4 * layers.FANOUT and sum(layer.rows for layer in kept) == 5000 and written <= 5 * 5000
+    # a large layer is not touched by small ones, nor one with other columns
+    assert to_fold([Layer("base", 10**6), *[Layer("x", 3)] * layers.FANOUT]) == layers.FANOUT
+    assert to_fold([Layer("x", 3, "a int"), *[Layer("x", 3, "b int")] * (layers.FANOUT - 1)]) == 0
+
+
+def test_events_are_folded_and_found_by_the_table_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layers, "FANOUT", 3)
+    root, day = str(tmp_path / "store"), 86_400
+    parts = [[event(10 * d + k, agent=f"a{k}", session=f"d{d}", at=d * day + k) for k in range(3)] for d in range(7)]
+    for d, part in enumerate(parts):
+        append_events(frame(spark, part), root, f"feed-{d}")
+        append_events(frame(spark, part), root, f"feed-{d}")  # a repeated call adds nothing
+    found = lambda df: sorted((r["agent_id"], r["session_id"], r["arrival"]) for r in rows(df))
+    everything = sorted((r["agent_id"], r["session_id"], r["arrival"]) for part in parts for r in rows(frame(spark, part)))
+    assert found(load_events(spark, root)) == everything
+    now = Layers(spark, f"{root}/events").current()
+    assert len(now[0]) == 3 and now[1] == {"feed": 6}  # 3 + 3 + 1 batches
+    one = load_events(spark, root, "a1", since=str(T0 + dt.timedelta(days=6)))
+    assert found(one) == [x for x in everything if x[:2] == ("a1", "d6")]
+    # the oldest layers hold no event of that day, and other agents' files are not read
+    assert len(one.inputFiles()) == 1 and event_files(spark, root).select("layer", "file").distinct().count() > 3
+    assert found(load_events(spark, root, until=str(T0 + dt.timedelta(days=1)))) == [x for x in everything if x[1] == "d0"]
+    assert rows(load_events(spark, root, "nobody")) == []
+    reader = load_events(spark, root)
+    compact_events(spark, root)
+    assert len(Layers(spark, f"{root}/events").current()[0]) == 1
+    assert found(reader) == found(load_events(spark, root)) == everything  # a reader of the old layers goes on
+    append_events(frame(spark, parts[0]), root, "feed-6")
+    assert found(load_events(spark, root)) == everything
+    with pytest.raises(ValueError):
+        append_events(frame(spark, parts[0]), root, "no number")
+
+
+def test_a_profile_is_saved_in_proportion_to_its_agents(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    many = build_profile(frame(spark, [event(k, agent=f"a{k}", session="s", seq=1) for k in range(300)]))
+    save_profile(many, root)
+    more = [event(1000, agent="a7", session="t", seq=1), event(1001, agent="a7", session="t", seq=2)]
+    build_batch(frame(spark, more), root, "feed-0")
+    log = Layers(spark, f"{root}/profiles")
+    base, delta = log.current()[0]
+    assert base.rows >= 4 * 300 and delta.rows < 20
+    whole = lambda p: sorted(map(str, [r for n in ("agent", "tool", "hour", "hwm") for r in rows(getattr(p, n))]))
+    want = build_profile(frame(spark, more), stored=many, seam="continuous")
+    reader = load_profile(spark, root)
+    assert whole(reader) == whole(want) and rows(load_profile(spark, root, "a7").agent)[0]["event_count"] == 3
+    compact_profiles(spark, root)
+    assert len(log.current()[0]) == 1 and whole(reader) == whole(load_profile(spark, root)) == whole(want)
+    # an agent that is replaced loses the rows that it no longer has; the others keep theirs, also when layers are folded
+    monkeypatch.setattr(layers, "FANOUT", 3)
+    for k in range(4):
+        save_profile(build_profile(frame(spark, [event(5 + k, agent="a9", tool=f"only{k}")])), root)
+    assert [r["tool_name"] for r in rows(load_profile(spark, root, "a9").tool)] == ["only3"]
+    assert load_profile(spark, root).agent.count() == 300 and len(log.current()[0]) <= 3
+    # folders that no kept list names are gone
+    assert len(list((tmp_path / "store/profiles/log").glob("*.json"))) == layers.KEPT and len(list((tmp_path / "store/profiles/layers").iterdir())) <= 6
+
+
 def test_streams(spark, tmp_path):
     events = [event(k, session=f"s{k // 6}", tool=f"t{k % 4}" if k % 7 else None, at=k * 13) for k in range(1, 19)]
     source, root = tmp_path / "in", str(tmp_path / "store")
@@ -198,18 +280,17 @@ def test_interrupted_batches_add_nothing(spark, tmp_path, monkeypatch):
         raise OSError("lost")
 
     for n, part in enumerate((events[:6], events[6:])):
-        # lost before the events are written, between the writes, before the version is named; then once whole and once again
-        for where, name in ((jobs, "append_events"), (jobs, "save_profile"), (store, "_path"), (None, None), (None, None)):
+        # lost before the events are written, before they count, between the writes, before the profile counts; then once whole and once again
+        for lost in ("append_events", "events", "save_profile", "profiles", None, None):
             with monkeypatch.context() as patched:
-                if where is store:
-                    real = store._path
-                    patched.setattr(store, "_path", lambda s, p: broken() if "/published/" in p else real(s, p))
-                elif where is not None:
-                    patched.setattr(where, name, broken)
+                if lost in ("events", "profiles"):
+                    patched.setattr(Layers, "publish", lambda self, *a, lost=lost, real=Layers.publish: broken() if self.root.endswith(lost) else real(self, *a))
+                elif lost is not None:
+                    patched.setattr(jobs, lost, broken)
                 try:
                     build_batch(frame(spark, part), root, f"feed-{n}")
                 except OSError:
-                    assert where is not None
+                    assert lost is not None
         assert len(rows(load_events(spark, root))) == (6, 14)[n]
     assert shown(load_profile(spark, root)) == shown(want)
     assert [(r["session_id"], r["tool_name"]) for r in rows(load_state(spark, root))] == [("s2", "t2")]
@@ -224,7 +305,7 @@ def test_marks_that_expire(spark, tmp_path):
     p = expire_marks(build_profile(frame(spark, events)), "30 days")
     assert sorted((r["agent_id"], r["session_id"], r["hwm"]) for r in rows(p.hwm)) == [("a", "new", 9), ("b", "old", 4)]
     assert rows(p.agent) and [r["seen"] for r in rows(p.hwm) if r["session_id"] == "new"] == [T0 + dt.timedelta(days=41)]
-    build_batch(frame(spark, events), str(tmp_path / "s"), "x", mark_ttl="30 days")
+    build_batch(frame(spark, events), str(tmp_path / "s"), "x-0", mark_ttl="30 days")
     assert load_profile(spark, str(tmp_path / "s")).hwm.count() == 2
 
 
