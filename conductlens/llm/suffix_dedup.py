@@ -296,18 +296,19 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = stage(
         scanned.where(F.size("h") > 0)
         .groupBy("text_key")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.first("h").alias("h"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("p").alias("p"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.first("sha256").alias("sha256"), F.first("h").alias("h"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("p").alias("p"))
     )
-    each = distinct.select("text_key", "id", "copies", F.inline(F.arrays_zip("h", "lo", "hi", "p")))
+    each = distinct.select("text_key", "id", "sha256", "copies", F.inline(F.arrays_zip("h", "lo", "hi", "p")))
     # staged, as are other small sides below: Spark can then split a hot anchor's rows among tasks
     often = stage(each.groupBy("h").agg(F.sum("copies").alias("_n")).where("_n > 1").select("h"))
     where = (
         each.join(often, "h")
-        .groupBy("text_key", "copies", F.col("id").alias("_id"))
+        .groupBy("text_key", "copies", F.col("id").alias("_id"), F.col("sha256").alias("_sha"))
         .agg(F.collect_list(F.struct("h", "lo", "hi", "p")).alias("found"))
     )
     cut = stage(
-        texts.join(where, F.col("id").eqNullSafe(F.col("_id")))
+        # by digest and id: rows that share an id, or have none, meet only their own text
+        texts.join(where, (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")) & F.col("id").eqNullSafe(F.col("_id")))
         .select("text_key", "text", "copies", "found")
         .mapInArrow(_stretches(width), "text_key binary, text binary, copies long, found array<struct<h:long,lo:int,hi:int,p:int,ph:long>>")
     )

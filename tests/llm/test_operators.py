@@ -112,6 +112,20 @@ def test_repeated_bytes(spark, monkeypatch, hot):
         assert sum(y - x for x, y in r["spans"]) == len(gone)
 
 
+@pytest.mark.parametrize("ids", [None, 7])
+def test_repeated_bytes_of_rows_that_share_an_id(spark, ids):
+    """Every row is judged by its own text, whatever its id; a text meets only itself when it is fetched."""
+    texts = [t for _, t in corpus(1)]
+    texts += texts[:5]
+    want = brute.repeats(list(enumerate(texts)), 100)
+    expected = []
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        expected.append((ids, len(b), len(want[k]), hashlib.sha256(bytes(x for n, x in enumerate(b) if n not in want[k])).hexdigest()))
+    got = repeated_bytes(documents(spark, [(ids, t) for t in texts]), width=100, gram=24).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
 # --- 2 ---
 
 
