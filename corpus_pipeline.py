@@ -13,6 +13,14 @@ Parquet and read again as the next stage's documents:
 
 All stages but the last return the columns of documents.  Rows with equal id
 and text count as one document from stage 3 on.
+
+Operators get the columns that they read; a row's other columns travel packed
+in one, so a column of documents may have any name and keeps its values (but
+for ``n_chars``, which follows the text in stage 2).  A decision finds its rows
+by their id and a hash of id and text.  Null and empty texts are clean, have no lines to lose, are near
+nothing, are not in the mix, as they have no words, and so end at stage 4.  A
+null id is an id.  Very long texts are read whole.  An empty table gives an
+empty result, with the columns of the last stage.
 """
 
 from __future__ import annotations
@@ -27,40 +35,69 @@ from conductlens.llm.near_dedup import near_duplicates
 from conductlens.llm.sentencepiece_lattice import encode
 from conductlens.llm.toxicity import score_toxicity
 
+READ = ["doc_id", "text"]
+
+
+def _others(docs: DataFrame) -> dict[str, str]:
+    """Names of the other columns -> their names while they are packed."""
+    return {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in READ}
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one."""
+    others = [F.col(f"`{c}`").alias(at) for c, at in _others(docs).items()]
+    return docs.select(*READ, F.struct(*others, F.lit(0).alias("none")).alias("others"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    at = _others(docs)
+    return packed.select(*[F.col(c) if c in READ else F.col(f"others.{at[c]}").alias(c) for c in docs.columns])
+
+
+def _keyed(packed: DataFrame) -> DataFrame:
+    return packed.withColumn("key", row_key(*READ))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Packed documents but for those of a decision (key, doc_id)."""
+    out = gone.select(F.col("key").alias("k"), F.col("doc_id").alias("i")).distinct()
+    rows = _keyed(_packed(docs))
+    return rows.join(out, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_anti").drop("key")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts clean."""
-    rejected = score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(rejected, "_key", "left_anti").drop("_key").select(*docs.columns)
+    return _unpacked(_without(docs, score_toxicity(docs.select(*READ), table(spark, sf_dir, "labels")).where("predicted = 1")), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; n_chars follows the text."""
-    out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
+    out = dedup_lines(_packed(docs)).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        at = _others(docs)["n_chars"]
+        now = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col(f"others.{at}"))
+        out = out.withColumn("others", F.col("others").withField(at, now))
+    return _unpacked(out, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    dropped = near_duplicates(docs).where("not kept").select(F.col("key").alias("_key")).distinct()
-    out = docs.withColumn("_key", row_key("doc_id", "text")).join(dropped, "_key", "left_anti").select(*docs.columns)
-    again = docs.groupBy(row_key("doc_id", "text")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    out = _without(docs, near_duplicates(docs.select(*READ)).where("not kept"))
+    again = docs.groupBy(row_key(*READ)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return _unpacked(out.dropDuplicates(READ) if again else out, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it whole."""
-    copies = mix_sources(docs).where("copies > 0").groupBy(F.col("key").alias("_key")).agg(F.max("copies").alias("_copies"))
-    out = docs.withColumn("_key", row_key("doc_id", "text")).join(copies, "_key")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mix_sources(docs.select(*READ, "source")).where("copies > 0").groupBy(F.col("key").alias("k"), F.col("doc_id").alias("i")).agg(F.max("copies").cast("int").alias("n"))
+    out = _keyed(_packed(docs)).join(copies, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")))
+    return _unpacked(out.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and whether they decode to the text."""
-    return encode(docs)
+    return encode(docs.select(*READ))
 
 
 STAGES = [
