@@ -62,3 +62,37 @@ def test_near_duplicates_are_dropped_by_row(spark):
     nameless = [t for i, t in left if i is None]
     assert {x for x in left if x[0] is not None} == {(1, " ".join(a)), (5, " ".join(b)), (9, " ".join(d))}
     assert len(nameless) == 1 and nameless[0] in (" ".join(c), near(c))
+
+
+def _run(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.stage(apply(spark, docs, str(folder)))
+        yield name, before, docs
+
+
+def test_clashing_columns_null_ids_and_repeated_rows_go_through(spark, tmp_path):
+    """Columns that share a name with the stages' own keep their values; rows without id, repeated rows, null, empty and long texts pass."""
+    rng = random.Random(7)
+    texts = [(k, prose(rng, 40)) for k in range(30)] + [(None, prose(rng, 30)), (None, prose(rng, 30)), (50, None), (51, ""), (52, prose(rng, 8_000))]
+    own = ["_key", "key", "k", "i", "n", "copy", "n_lines", "n_removed", "copies", "others", "_none", "a.b"]
+    table = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), *[f"{c} of {i}" for c in own]) for i, t in [*texts, *texts[:4]]]
+    columns = ", ".join(f"`{c}` string" for c in own)
+    docs = spark.createDataFrame(table, f"doc_id long, text string, lang string, source string, n_chars long, {columns}")
+    for name, before, after in _run(spark, tmp_path, docs):
+        if name == "sentencepiece":
+            assert after.where("not round_trip").count() == 0 and after.count() == before.count() > 0
+            continue
+        assert after.columns == docs.columns and after.count() > 0
+        for r in after.select("doc_id", *[f"`{c}`" for c in own]).collect():
+            assert list(r)[1:] == [f"{c} of {r[0]}" for c in own], name
+        if name == "near_dedup":
+            assert after.count() == after.select("doc_id", "text").distinct().count() == len(texts)
+
+
+def test_empty_table(spark, tmp_path):
+    kept = list(_run(spark, tmp_path, spark.createDataFrame([], DOCS)))
+    assert all(after.count() == 0 for _, _, after in kept)
+    assert all(after.columns == before.columns for name, before, after in kept if name != "sentencepiece")
