@@ -135,9 +135,12 @@ def scan(done: DataFrame, keys: list[str], values: dict[str, Running]) -> DataFr
     per partition.  Null keys are a key of their own.
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    edges = done.groupBy("_part").agg(F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last"))
-    tails = done.join(F.broadcast(edges), "_part").where(key.eqNullSafe(F.col("_last"))).groupBy("_part")
-    tails = tails.agg(F.first("_first").alias("_first"), F.first("_last").alias("_last"), *[_whole(v.kind, v.column).alias(f"_t_{k}") for k, v in values.items()])
+    # of each partition its first key, and its last one with what that has gathered
+    each = done.groupBy("_part", key.alias("_key")).agg(
+        F.min("_at").alias("_low"), F.max("_at").alias("_high"), F.struct(F.lit(0).alias("_none"), *[_whole(v.kind, v.column).alias(k) for k, v in values.items()]).alias("_t")
+    )
+    tails = each.groupBy("_part").agg(F.min_by("_key", "_low").alias("_first"), F.max_by(F.struct("_key", "_t"), "_high").alias("_l"))
+    tails = tails.select("_part", "_first", F.col("_l._key").alias("_last"), *[F.col(f"_l._t.{k}").alias(f"_t_{k}") for k in values])
     through = Window.partitionBy("_last").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     parts = Window.orderBy("_part")
     goes_on = F.lag("_last").over(parts).eqNullSafe(F.col("_first")) & F.lag(F.lit(1)).over(parts).isNotNull()

@@ -81,3 +81,41 @@ RESOURCE = re.compile(r"/|~/|https?://")
 def looks_like_resource(text: str) -> bool:
     """Paths and http addresses: case-sensitive, by their beginning."""
     return RESOURCE.match(text) is not None
+
+
+END = "~ end of line ~"
+
+
+def plain_json(line: Column) -> Column:
+    """The line as VARIANT if the JVM's reading of it is the strict one, else null: then ``strict_json`` has to look.
+
+    Null for anything that is not exactly one JSON value without repeated keys, and for
+    lines with ``\\u`` escapes (surrogates) or broken UTF-8, which the JVM's parser repairs.
+    The parser would ignore text behind a value: the line is read as the first
+    element of an array that must end with a text of our own.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{END}"]')))
+    ours = (F.try_variant_get(both, "$[1]", "string") == END) & ~F.contains(line, F.lit(END)) & ~F.contains(line, F.lit("\\u")) & F.is_valid_utf8(line)
+    return F.when(ours, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def plain_numbers(line: Column) -> Column:
+    """Whether all numbers of a JSON text are integers of fewer than 18 digits: of others the JVM writes another text."""
+    outside = F.regexp_replace(F.regexp_replace(line, r"\\.", ""), r'"[^"]*"', "")
+    return ~outside.rlike(r"[0-9][.eE]|[0-9]{18}")
+
+
+def kind_of(value: Column, path: str = "$") -> Column:
+    """Type of a value in a VARIANT, such as STRING, BIGINT, VOID (JSON null); null if it is not there."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def absent(value: Column, path: str) -> Column:
+    """Not there, or JSON null."""
+    found = F.try_variant_get(value, path, "variant")
+    return found.isNull() | F.is_variant_null(found)
+
+
+def variant_size(value: Column) -> Column:
+    """``compact_size`` of a VARIANT without other numbers than ``plain_numbers``; 0 for none and for JSON null."""
+    return F.when(value.isNull() | F.is_variant_null(value), 0).otherwise(F.octet_length(F.to_json(value))).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conductlens.functions.staging import stage
-from conductlens.functions.text import Repeated, strict_json
+from conductlens.functions.text import Repeated, absent, kind_of, plain_json, strict_json
 from conductlens.operators.profile import Profile
 from conductlens.schemas import EVENT, EVENT_COLUMNS, EVENT_TYPES, OPTIONAL, PROFILE_SCHEMAS
 from conductlens.sources.layers import BUCKETS, Layer, Layers, bucket, to_fold, write_bucketed
@@ -62,7 +62,20 @@ def valid_event(line: str) -> bool:
 
 
 def _valid(lines: pd.Series) -> pd.Series:
-    return lines.map(valid_event)
+    return pd.Series([None if line is None else valid_event(line) for line in lines], dtype=object)
+
+
+def plain_event(v: Column) -> Column:
+    """Whether a line is an event, of its VARIANT: fields there and of their types; null and false leave the decision to ``valid_event``."""
+    tests = []
+    for field in EVENT.fields:
+        path, want = f"$.{field.name}", {T.LongType: "BIGINT"}.get(type(field.dataType), "STRING")
+        kind = kind_of(v, path)
+        if isinstance(field.dataType, T.ArrayType):
+            tests.append(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(F.try_variant_get(v, path, "array<string>")) >= 0))
+        else:
+            tests.append((absent(v, path) | (kind == want)) if field.name in OPTIONAL else kind == want)
+    return reduce(Column.__and__, tests)
 
 
 def parse_events(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -82,10 +95,11 @@ def parse_events(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, Data
     ok = ok & (F.coalesce("e.token_count", F.lit(0)) >= 0)
     for c in ("param_keys", "resource_ids"):
         ok = ok & ~F.exists(f"e.{c}", lambda x: x.isNull())
-    ok = F.coalesce(ok, F.lit(False))
     if strict:
-        ok = ok & F.pandas_udf(_valid, "boolean")("value")
-    marked = parsed.withColumn("_ok", ok)
+        # Python gets the lines that the JVM does not read strictly, and nulls for the others
+        parsed = parsed.withColumn("_v", plain_json(F.col("value"))).withColumn("_plain", F.coalesce(plain_event(F.col("_v")), F.lit(False)))
+        ok = ok & (F.col("_plain") | F.pandas_udf(_valid, "boolean")(F.when(~F.col("_plain"), F.col("value"))))
+    marked = parsed.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     return marked.where("_ok").select("e.*", *more), marked.where("not _ok").select("value", *more)
 
 

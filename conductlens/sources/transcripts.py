@@ -1,26 +1,26 @@
 """Agent transcripts: reading lines and parsing them to behavioural events.
 
-A line is decoded once, in Arrow batches, to a small struct (what kind of line,
-role, sizes, calls); everything that depends on the order of lines is built-in
-window work per file, and the state that the parser carries from file to file is
-one row per file.
+A line is decoded once, to a small struct (what kind of line, role, sizes,
+calls): in the JVM where its parser reads the line as strictly as the format asks
+for, else in Arrow batches.  What depends on the order of lines is a segmented
+scan, so a large file is many tasks, and the state that the parser carries from
+file to file is one row per file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.functions.staging import running, stage
-from conductlens.functions.text import Repeated, compact_size, looks_like_resource, strict_json
+from conductlens.functions.staging import Running, ranged, scan, stage
+from conductlens.functions.text import RESOURCE, Repeated, absent, compact_size, kind_of, looks_like_resource, plain_json, plain_numbers, strict_json, variant_size
 from conductlens.schemas import EVENT_COLUMNS
 
 CALL = "struct<event_type:string,tool_name:string,param_keys:array<string>,resource_ids:array<string>,data_in_bytes:long,data_out_bytes:long,token_count:long>"
-DECODED = f"file string, line_no long, value string, error string, kind string, id string, time string, events array<{CALL}>"
+OTHER = f"error string, kind string, id string, time string, events array<{CALL}>"
+LINE = f"struct<kind:string,id:string,time:string,events:array<{CALL}>>"
 MOST = (1 << 63) - 1
 DEFAULT_AGENT = "openclaw"  # fixed value: the id that events get when none is named
 
@@ -45,9 +45,13 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, lineSep="\n", pathGlobFilter="*.jsonl" if folders else None).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value"
     )
-    place = F.row_number().over(Window.partitionBy("file").orderBy("start", "row")) - 1
+    # a block is read by one task in order: lines of earlier blocks, which are one row a block, plus the place in the block
+    blocks = lines.groupBy("file", "start").agg(F.min("row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_row")).alias("_from"))
+    place = F.col("row") + F.col("_from")
     clean = F.regexp_replace("value", "\r$", "")
-    return lines.select("file", place.cast("long").alias("line_no"), clean.alias("value")).where(F.trim("value") != "")
+    return lines.join(blocks, ["file", "start"]).select("file", place.cast("long").alias("line_no"), clean.alias("value")).where(F.trim("value") != "")
 
 
 class Rejected(ValueError):
@@ -117,17 +121,84 @@ def _call(block: dict, tokens: int | None) -> tuple:
 FIELDS = ("event_type", "tool_name", "param_keys", "resource_ids", "data_in_bytes", "data_out_bytes", "token_count")
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for line in pdf["value"]:
-            try:
-                kind, ident, time, events = decode_line(line)
-                rows.append((None, kind, ident, time, [dict(zip(FIELDS, e, strict=True)) for e in events]))
-            except (ValueError, RecursionError) as why:
-                rows.append((str(why)[:200], None, None, None, []))
-        out = pd.DataFrame(rows, columns=["error", "kind", "id", "time", "events"], index=pdf.index)
-        yield pd.concat([pdf[["file", "line_no", "value"]], out], axis=1)
+def _decode(values: pd.Series) -> pd.DataFrame:
+    """``decode_line`` of the lines that are given, and its error; of others nothing."""
+    rows = []
+    for line in values:
+        if line is None:
+            rows.append((None, None, None, None, None))
+            continue
+        try:
+            kind, ident, time, events = decode_line(line)
+            rows.append((None, kind, ident, time, [dict(zip(FIELDS, e, strict=True)) for e in events]))
+        except (ValueError, RecursionError) as why:
+            rows.append((str(why)[:200], None, None, None, []))
+    return pd.DataFrame(rows, columns=["error", "kind", "id", "time", "events"])
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "string")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _event(kind, tool, keys, resources, size_in, size_out, tokens) -> Column:
+    values = (kind, tool, keys, resources, size_in, size_out, tokens)
+    return F.struct(*[v.alias(f) for v, f in zip(values, FIELDS, strict=True)]).cast(CALL)
+
+
+def _plain_call(block: Column, tokens: Column) -> Column:
+    """``_call`` in the JVM."""
+    arguments = F.try_variant_get(block, "$.arguments", "map<string,variant>")
+    keys = F.array_sort(F.map_keys(arguments))
+    texts = F.transform(keys, lambda k: F.when(F.schema_of_variant(arguments[k]) == "STRING", _text(arguments[k], "$")))
+    resources = F.filter(texts, lambda t: t.rlike(f"^({RESOURCE.pattern})"))
+    name = F.when(kind_of(block, "$.name") == "STRING", _text(block, "$.name"))
+    size = F.when(arguments.isNotNull(), variant_size(F.try_variant_get(block, "$.arguments", "variant"))).otherwise(0)
+    return _event(F.lit("ToolCall"), name, F.coalesce(keys, _none()), F.coalesce(resources, _none()), size, F.lit(0), tokens)
+
+
+def plain_line(v: Column) -> Column:
+    """What ``decode_line`` gives for a line, of its VARIANT; null where a field is not of its type."""
+    optional = lambda path, kind: absent(v, path) | (kind_of(v, path) == kind)
+    is_object = lambda path: F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+    tokens = F.try_variant_get(v, "$.message.usage.totalTokens", "long")
+    message = (
+        is_object("$.message") & (kind_of(v, "$.message.role") == "STRING") & optional("$.message.toolName", "STRING") & optional("$.message.isError", "BOOLEAN")
+        & (absent(v, "$.message.usage") | is_object("$.message.usage")) & optional("$.message.usage.totalTokens", "BIGINT") & (F.coalesce(tokens, F.lit(0)) >= 0)
+    )
+    fits = (kind_of(v, "$.type") == "STRING") & optional("$.id", "STRING") & optional("$.timestamp", "STRING") & (absent(v, "$.message") | message)
+
+    content = F.try_variant_get(v, "$.message.content", "variant")
+    size, nothing, none = variant_size(content), F.lit(None), _none()
+    blocks = F.filter(F.try_variant_get(v, "$.message.content", "array<variant>"), lambda b: kind_of(b, "$.type") == "STRING")
+    calls = F.transform(F.filter(blocks, lambda b: _text(b, "$.type") == "toolCall"), lambda b: _plain_call(b, tokens))
+    role, failed = _text(v, "$.message.role"), F.coalesce(F.try_variant_get(v, "$.message.isError", "boolean"), F.lit(False))
+    events = (
+        F.when(role == "user", F.array(_event(F.lit("UserMessage"), nothing, none, none, size, F.lit(0), nothing)))
+        .when(role == "toolResult", F.array(_event(F.when(failed, "Error").otherwise("ToolResult"), _text(v, "$.message.toolName"), none, none, F.lit(0), size, nothing)))
+        .when((role == "assistant") & (F.size(calls) > 0), calls)
+        .when((role == "assistant") & F.exists(blocks, lambda b: _text(b, "$.type") == "text"), F.array(_event(F.lit("AgentMessage"), nothing, none, none, F.lit(0), size, tokens)))
+    )
+    spoken = (_text(v, "$.type") == "message") & ~absent(v, "$.message")
+    line = F.struct(
+        _text(v, "$.type").alias("kind"), _text(v, "$.id").alias("id"), _text(v, "$.timestamp").alias("time"),
+        F.coalesce(F.when(spoken, events), F.array().cast(f"array<{CALL}>")).alias("events"),
+    )
+    return F.when(fits, line.cast(LINE))
+
+
+def decode_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decoded, rejects) of lines (file, line_no, value); Python gets only the lines that the JVM does not read strictly."""
+    read = lines.select("file", "line_no", "value", F.when(plain_numbers(F.col("value")), plain_json(F.col("value"))).alias("v"))
+    read = read.select("file", "line_no", "value", plain_line(F.col("v")).alias("line")).withColumn("value", F.when(F.col("line").isNull(), F.col("value")))
+    # the text of a line that is decoded is not carried on
+    read = stage(read.withColumn("other", F.pandas_udf(_decode, OTHER)("value")))
+    good = read.where("value is null or other.error is null")
+    decoded = good.select("file", "line_no", *[F.coalesce(f"line.{c}", f"other.{c}").alias(c) for c in ("kind", "id", "time", "events")])
+    return decoded, read.where("other.error is not null").select("file", "line_no", "value", F.col("other.error").alias("error"))
 
 
 def parse_transcripts(
@@ -145,45 +216,28 @@ def parse_transcripts(
     agent = F.lit(agent_id)
     if agent_pattern is not None:
         agent = F.coalesce(F.nullif(F.regexp_extract("file", agent_pattern, 1), F.lit("")), agent)
-    decoded = stage(lines.mapInPandas(_decode, DECODED))
-    rejects = decoded.where("error is not null").select("file", "line_no", "value", "error")
-    ok = decoded.where("error is null").withColumn("n_events", F.size("events"))
-    opens = (F.col("kind") == "session").cast("int")
-    so_far = Window.partitionBy("file").orderBy("line_no")
-    rows = ok.withColumns(
-        {
-            "segment": F.sum(opens).over(so_far),
-            "named": F.last(F.when(F.col("kind") == "session", F.col("id")), ignorenulls=True).over(so_far),
-        }
+    decoded, rejects = decode_lines(lines)
+    done = ranged(decoded.withColumn("n_events", F.size("events").cast("long")), ["file", "line_no"])
+    opens = F.col("kind") == "session"
+    # narrow rows: the session's number and name, and the events of the file before the line, then those before its session
+    first = scan(
+        done.select("_part", "_at", "file", "kind", "id", "n_events"),
+        ["file"],
+        {"segment": Running("sum", opens.cast("long"), own=True), "named": Running("last", F.when(opens, F.col("id")), own=True), "so_far": Running("sum", F.col("n_events"))},
     )
-    in_segment = Window.partitionBy("file", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = stage(rows.withColumn("before", F.coalesce(F.sum("n_events").over(in_segment), F.lit(0))))
+    second = scan(stage(first), ["file"], {"opened": Running("last", F.when(opens, F.col("so_far")), own=True)})
+    rows = stage(second.select("_at", "file", "segment", "named", "n_events", (F.col("so_far") - F.coalesce("opened", F.lit(0))).alias("before")))
     # the state at the end of each file: one row per file
-    last = F.max("segment").over(Window.partitionBy("file"))
-    ends = (
-        rows.withColumn("last", last)
-        .groupBy("file")
-        .agg(
-            F.max("segment").alias("segments"),
-            F.max_by("named", "line_no").alias("end_named"),
-            F.sum(F.when(F.col("segment") == F.col("last"), F.col("n_events")).otherwise(0)).alias("tail"),
-        )
-    )
-    # positions add up over files without a session line, from the last file that has one, or from the agent's first
-    ends = ends.withColumn("agent_id", agent)
-    opening = ends.groupBy("agent_id").agg(F.min("file").alias("file"), F.lit(True).alias("opens"))
-    ends = ends.join(opening, ["agent_id", "file"], "left")
-    summed = running(ends, ["agent_id", "file"], {"through": F.col("tail")})
-    name = F.when(F.col("end_named").isNotNull() | F.col("opens"), F.struct("agent_id", "file", "end_named"))
-    base = F.when((F.col("segments") > 0) | F.col("opens"), F.struct("agent_id", "file", (F.col("through") - F.col("tail")).alias("from"), "segments"))
-    carried = running(summed.withColumns({"_name": name, "_base": base}), ["agent_id", "file"], {}, {"named_before": F.col("_name"), "base": F.col("_base")})
-    same = lambda c: F.col(f"{c}.agent_id") == F.col("agent_id")
-    carried = carried.select(
-        "file",
-        F.when(same("named_before"), F.col("named_before.end_named")).alias("start_named"),
-        F.when(same("base"), F.col("through") - F.col("tail") - F.col("base.from")).otherwise(F.lit(0)).alias("offset"),
+    ends = rows.groupBy("file").agg(
+        F.max("segment").alias("segments"), F.max_by("named", "_at").alias("end_named"), F.max_by(F.col("before") + F.col("n_events"), "_at").alias("tail")
     )
-    joined = rows.join(carried, "file")
+    # positions add up over files without a session line, from the last file of the agent that has one
+    placed = ranged(ends.withColumn("agent_id", agent), ["agent_id", "file"])
+    summed = scan(placed, ["agent_id"], {"through": Running("sum", F.col("tail"))})
+    carried = scan(summed, ["agent_id"], {"start_named": Running("last", F.col("end_named")), "base": Running("last", F.when(F.col("segments") > 0, F.col("through")))})
+    carried = carried.select("file", "start_named", (F.col("through") - F.coalesce("base", F.lit(0))).alias("offset"))
+    spoken = done.where("n_events > 0").select("_at", "line_no", "time", "events")
+    joined = rows.drop("n_events").join(carried, "file").join(spoken, "_at")
     lead = (F.col("segment") == 0) & F.lit(carry_over)
     joined = joined.select(
         "file",

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,13 +19,15 @@ from conductlens.sources.store import (
     load_events,
     load_profile,
     load_state,
+    parse_events,
     publish,
     read_events,
     save_profile,
     stream_events,
     valid_event,
 )
-from conductlens.sources.transcripts import decode_line, parse_transcripts, read_transcripts, transcript_totals
+from conductlens.functions.text import END, plain_json, plain_numbers
+from conductlens.sources.transcripts import decode_line, decode_lines, parse_transcripts, plain_line, read_transcripts, transcript_totals
 from conductlens.streaming import jobs
 from conductlens.streaming.jobs import build_batch, stream_build, stream_detect
 from test_behaviour import T0, event, frame, rows
@@ -184,6 +187,87 @@ def test_stores(spark, tmp_path):
     assert load_profile(spark, root, on_corrupt="fresh") is None
 
 
+def any_value(rng, depth=0):
+    r = rng.random()
+    if depth > 3 or r < 0.35:
+        return rng.choice(["", "é", "😀x", 'a"b\\c/\n\t\x01\x7f ', "/p", "~/q", "https://x", "http:/", "toolCall", "text", END])
+    if r < 0.5:
+        return rng.choice([0, -1, 10**12, 10**17, 10**18, 1 << 63, 1.0, 2.5, -0.0, 1e30, True, False, None])
+    if r < 0.7:
+        return [any_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return {rng.choice(["type", "name", "arguments", "é", 'z"q', "b.c", "id"]): any_value(rng, depth + 1) for _ in range(rng.randint(0, 4))}
+
+
+def any_line(rng):
+    """Transcript lines with all kinds of fields, right and wrong, some of them spoilt as text."""
+
+    def part():
+        arguments = rng.choice([{"path": "/x", "n": rng.choice([1, 2.5, "~/z"]), "A": "http://q"}, {}, [], None, "s", any_value(rng)])
+        return rng.choice([{"type": "toolCall", "name": rng.choice(["run", None, 5]), "arguments": arguments}, text("é😀\n"), any_value(rng)])
+
+    said = {"role": rng.choice(["user", "assistant", "assistant", "toolResult", "system", None, 3]), "content": rng.choice([any_value(rng), [part() for _ in range(rng.randint(0, 4))]])}
+    more = {"toolName": ["t", None, 1], "isError": [True, False, None, "x"], "usage": [{"totalTokens": rng.choice([5, 0, None, -1, 1.0, 1 << 63, "x"])}, None, {}, 3]}
+    said |= {k: rng.choice(v) for k, v in more.items() if rng.random() < 0.3}
+    line = {"type": rng.choice(["message"] * 8 + ["session", "other", None, 4]), "message": said if rng.random() < 0.9 else rng.choice([None, [], "x", {}])}
+    line |= {k: rng.choice(["x", None, 4]) for k in ("id", "timestamp") if rng.random() < 0.3}
+    out, r = json.dumps(line, ensure_ascii=rng.random() < 0.3), rng.random()
+    spoilt = [out + rng.choice([" x", "}", ", {}", "] [", f',"{END}"]', " "]), out[: rng.randint(0, len(out))], out.replace('"type"', '"type":"message","type"', 1), out.replace("{", "{ ", 1)]
+    return out if r > 0.15 else rng.choice(spoilt)
+
+
+def test_lines_are_decoded_the_same_in_the_jvm(spark):
+    """Every line comes out as ``decode_line`` gives it, and most well-formed ones without Python."""
+    rng = random.Random(5)
+    lines = [any_line(rng) for _ in range(1500)] + ["null", "[1]", "7", message("user", "plain"), message("assistant", [block("run", {"b": "/x", "a": 1})], usage={"totalTokens": 3})]
+
+    def want(line):
+        try:
+            return decode_line(line)
+        except (ValueError, RecursionError):
+            return None
+
+    df = spark.createDataFrame([("f", n, x) for n, x in enumerate(lines)], "file string, line_no long, value string")
+    decoded, rejects = decode_lines(df)
+    got = {r.line_no: (r.kind, r.id, r.time, [tuple(e) for e in r.events]) for r in decoded.collect()} | {r.line_no: None for r in rejects.collect()}
+    assert [n for n, x in enumerate(lines) if got[n] != want(x)] == [] and len(got) == len(lines)
+    plain = df.select("line_no", plain_line(F.when(plain_numbers(F.col("value")), plain_json(F.col("value")))).isNotNull().alias("p")).where("p").count()
+    assert plain > 200
+
+
+def test_events_are_validated_the_same_in_the_jvm(spark):
+    rng = random.Random(6)
+    good = json.loads(rows(events_to_json(frame(spark, [event(1, keys=["k"]), event(2)])))[0]["value"])
+    lines = []
+    for _ in range(400):
+        e = dict(good)
+        for k in rng.sample(sorted(e), rng.randint(0, 2)):
+            e[k] = rng.choice([None, "x", 5, -1, 1.0, True, [], ["a"], ["a", None], [1], {}, 1 << 63, "ToolCall"])
+        if rng.random() < 0.2:
+            e["more"] = any_value(rng)
+        out = json.dumps(e, ensure_ascii=rng.random() < 0.3)
+        lines.append(rng.choice([out] * 8 + [out + " x", out + ",{}", out.replace("{", '{"agent_id":"q",', 1)]))
+    df = spark.createDataFrame([(x, n) for n, x in enumerate(lines)], "value string, n int")
+    loose = {r.n for r in parse_events(df, strict=False)[0].collect()}
+    got = {r.n for r in parse_events(df)[0].collect()}
+    assert got == {n for n in loose if valid_event(lines[n])} and 50 < len(got) < 390
+
+
+def test_a_large_file_is_many_tasks(spark):
+    """No window over a file: its lines are spread over the range partitions, and the result is that of small files' rules."""
+    lines = [("one", n, SESSION if n % 700 == 350 else message("user", f"line {n}")) for n in range(4000)]
+    events, _ = parse_transcripts(spark.createDataFrame(lines, "file string, line_no long, value string"))
+    got = {r.arrival.line_no: (r.session_id, r.sequence_position) for r in events.collect()}
+    session_id, place = "", 0
+    for _, n, line in lines:
+        if line is SESSION:
+            session_id, place = "night-7", 0
+            continue
+        place += 1
+        assert got[n] == (session_id, place), n
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(file" not in plan
+
+
 def test_small_layers_are_folded():
     """A thousand batches leave few layers, and a row is rewritten as often as the logarithm of the whole."""
     kept, written = [], 0
