@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conductlens.functions.staging import global_index, running
+from conductlens.functions.staging import Running, global_index, running, segmented, stage
 
 DEFAULT_ORDER = ["arrival"]
+BUSY = 1_000_000  # events of a session that one task may order
 
 
 def order_columns(events: DataFrame) -> list[str]:
@@ -16,20 +17,30 @@ def order_columns(events: DataFrame) -> list[str]:
     return DEFAULT_ORDER if "arrival" in events.columns else ["timestamp", "session_id", "sequence_position"]
 
 
-def accept_events(events: DataFrame, hwm: DataFrame | None = None, order_cols: list[str] | None = None) -> DataFrame:
+def accept_events(events: DataFrame, hwm: DataFrame | None = None, order_cols: list[str] | None = None, busy: int = BUSY) -> DataFrame:
     """Events above their session's high-water mark, which is the largest position met before them.
 
-    ``hwm`` holds the marks of earlier runs (agent_id, session_id, hwm).
+    ``hwm`` holds the marks of earlier runs (agent_id, session_id, hwm).  A
+    session is one window, and so one task, up to ``busy`` events; the marks of
+    larger ones are carried over range partitions.
     """
     order = order_cols or order_columns(events)
-    earlier = Window.partitionBy("agent_id", "session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max("sequence_position").over(earlier)
+    session = ["agent_id", "session_id"]
+    earlier = Window.partitionBy(*session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    by_window = lambda df: df.withColumn("_mark", F.max("sequence_position").over(earlier))
+    # of the sessions only those above the bound are kept: few, whatever the number of events
+    large = stage(events.groupBy(*session).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > busy).select(*session))
+    if large.limit(1).count():
+        large = F.broadcast(large)
+        carried = segmented(events.join(large, session, "left_semi"), session, order, {"_mark": Running("max", F.col("sequence_position"))})
+        marked = by_window(events.join(large, session, "left_anti")).unionByName(carried)
+    else:
+        marked = by_window(events)
+    mark = F.col("_mark")
     if hwm is not None:
-        stored = hwm.select("agent_id", "session_id", F.col("hwm").alias("_stored"))
-        events = events.join(stored, ["agent_id", "session_id"], "left")
+        marked = marked.join(hwm.select(*session, F.col("hwm").alias("_stored")), session, "left")
         mark = F.greatest(mark, F.col("_stored"))  # greatest skips nulls
-    kept = events.withColumn("_mark", mark).where(F.col("_mark").isNull() | (F.col("sequence_position") > F.col("_mark")))
-    return kept.drop("_mark", "_stored")
+    return marked.where(mark.isNull() | (F.col("sequence_position") > mark)).drop("_mark", "_stored").select(*events.columns)
 
 
 def session_runs(

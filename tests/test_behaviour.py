@@ -13,7 +13,7 @@ from conductlens.operators.profile import Profile, build_profile, build_summary,
 from conductlens.operators.sessions import accept_events, session_runs
 from conductlens.schemas import ORDERED_EVENT, PROFILE_SCHEMAS
 
-T0 = dt.datetime(2025, 1, 15, 10, 0, 0)
+T0 = dt.datetime(2032, 2, 29, 21, 47, 8)
 
 
 def event(n, session="s1", tool="read", kind="ToolCall", at=0.0, agent="a", seq=None, size=(0, 0), keys=(), resources=()):
@@ -42,17 +42,27 @@ def rows(df):
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def test_single_call_profile(spark):
-    p = build_profile(frame(spark, [event(1, size=(100, 200), keys=["z", "a"], resources=["/tmp/foo.txt"])]))
-    agent = rows(p.agent)[0]
-    assert (agent["event_count"], agent["session_count"], agent["rate_count"]) == (1, 1, 0)
-    assert agent["first_seen"] == agent["last_updated"] == T0
-    tool = rows(p.tool)[0]
-    assert (tool["call_count"], tool["vol_count"], tool["vol_mean"], tool["vol_m2"]) == (1, 1, 300.0, 0.0)
-    assert rows(p.param_set)[0]["param_keys"] == ["a", "z"]
-    assert rows(p.hour) == [{"agent_id": "a", "hour": 10, "n": 1}]
-    assert rows(p.resource)[0]["resource_id"] == "/tmp/foo.txt"
-    assert rows(p.hwm)[0]["hwm"] == 1
+@pytest.mark.parametrize(
+    ("kind", "tool", "rows_of"),
+    [
+        ("ToolCall", "grep", {"tool": 1, "param_set": 1, "resource": 2}),
+        ("ToolCall", None, {"tool": 1, "param_set": 1, "resource": 2}),
+        ("ToolResult", "grep", {"resource": 2}),
+        ("Error", "grep", {"resource": 2}),
+        ("AgentMessage", None, {"resource": 2}),
+    ],
+)
+def test_a_kind_of_event_touches_its_tables(spark, kind, tool, rows_of):
+    """Whatever its kind, an event counts for its agent, its hour and its session's mark; only calls count for tools."""
+    one = event(4, tool=tool, kind=kind, size=(7, 36), keys=["mode", "flags", "mode2"], resources=["~/etc", "ftp/x", "~/etc"])
+    p = build_profile(frame(spark, [one]))
+    expected = {"agent": 1, "hour": 1, "hwm": 1, "tool": 0, "param_set": 0, "resource": 0, "bigram": 0} | rows_of
+    assert {name: df.count() for name, df in p.tables().items()} == expected
+    assert rows(p.hour)[0]["hour"] == T0.hour and rows(p.hwm)[0]["hwm"] == 4 and rows(p.agent)[0]["first_seen"] == T0
+    for r in rows(p.tool):
+        assert (r["tool_name"], r["vol_count"], r["vol_mean"], r["vol_m2"]) == (tool or "unknown", 1, 7.0 + 36.0, 0.0)
+    for r in rows(p.param_set):
+        assert r["param_keys"] == ["flags", "mode", "mode2"]
 
 
 def test_pairs_rates_and_sessions(spark):
@@ -161,11 +171,6 @@ def profile(spark, tools=("read", "write"), rate=(0, 0.0, 0.0), volume=(0, 0.0,
     return Profile(**tables)
 
 
-def m2(values):
-    mean = sum(values) / len(values)
-    return len(values), mean, sum((v - mean) ** 2 for v in values)
-
-
 def test_unknown_tool(spark):
     score = [event(1, tool="teleport"), event(2, tool="read"), event(3, tool=None), event(4, tool="READ"), event(5, tool="teleport", kind="ToolResult")]
     found = sorted(rows(unknown_tools(frame(spark, score), profile(spark, tools=("write", "read"), events=25))), key=lambda a: a["arrival"])
@@ -192,21 +197,38 @@ def test_unknown_pair(spark):
     assert [(a["description"], a["baseline_value"], a["confidence"]) for a in found] == [("unseen sequence: read->exec", "1 known bigrams", 0.5)]
 
 
-def test_rate_spike(spark):
-    p = profile(spark, rate=m2([1.0] * 50 + [1.1] * 50))
-    found = rows(rate_spikes(frame(spark, [event(1, at=0), event(2, at=1), event(3, at=1), event(4, at=61)]), p))
-    assert [(a["arrival"], a["severity"], round(a["z_score"], 2)) for a in found] == [(2, "High", 1173.09)]
-    assert found[0]["description"] == "rate spike: 60.0 calls/min (z=1173.1)"
-    assert rows(rate_spikes(frame(spark, [event(1, at=0), event(2, at=1)]), profile(spark, rate=m2([1.0, 1.0])))) == []
-
-
-def test_volume_spike_and_thresholds(spark):
-    p = profile(spark, volume=m2([500.0] * 100 + [550.0] * 100))
-    found = rows(volume_spikes(frame(spark, [event(1, size=(0, 100_000)), event(2, size=(500, 0))]), p))
-    assert [(a["severity"], round(a["z_score"], 2)) for a in found] == [("High", 3969.04)]
+@pytest.mark.parametrize("threshold", [2.0, 3.0, 6.5])
+def test_rates_are_graded_by_their_distance_from_the_mean(spark, threshold):
+    """Gaps of 1 to 12 seconds against a history of mean 9 and deviation 2.5: fires above the threshold, severe above that plus two."""
+    gaps = list(range(1, 13))
+    calls, at = [event(0, at=0)], 0
+    for n, gap in enumerate(gaps, 1):
+        at += gap
+        calls.append(event(n, at=at))
+    z = {n: (60 / gap - 9) / 2.5 for n, gap in enumerate(gaps, 1)}
+    found = rows(rate_spikes(frame(spark, calls), profile(spark, rate=(5, 9.0, 4 * 2.5**2)), threshold))
+    assert {a["arrival"]: a["severity"] for a in found} == {n: "High" if x > threshold + 2 else "Medium" for n, x in z.items() if x > threshold}
+    for a in found:
+        rate = 60 / gaps[a["arrival"] - 1]
+        assert a["z_score"] == pytest.approx(z[a["arrival"]]) and a["description"] == f"rate spike: {rate:.1f} calls/min (z={z[a['arrival']]:.1f})"
+        assert (a["baseline_value"], a["observed_value"]) == ("9.0 calls/min (mean)", f"{rate:.1f} calls/min")
+
+
+def test_a_history_without_spread_judges_nothing(spark):
+    """One value, or the same one always: no deviation, so no distance from it."""
+    calls = frame(spark, [event(k, at=k * k, size=(10**k, 0)) for k in range(6)])
+    for moments_ in ((1, 8.0, 0.0), (40, 8.0, 0.0)):
+        p = profile(spark, rate=moments_, volume=moments_)
+        assert rows(rate_spikes(calls, p, 0.0)) == rows(volume_spikes(calls, p, 0.0)) == []
+
+
+def test_volumes_at_the_thresholds(spark):
+    """Both directions count together, and a threshold itself does not fire."""
     exact = profile(spark, volume=(3, 0.0, 2.0))  # deviation 1
-    got = rows(volume_spikes(frame(spark, [event(k, size=(z, 0)) for k, z in enumerate([3, 5, 6])]), exact))
-    assert [(a["observed_num"], a["severity"]) for a in sorted(got, key=lambda a: a["arrival"])] == [(5.0, "Medium"), (6.0, "High")]
+    sizes = [(1, 2), (2, 3), (6, 0), (0, 6), (0, 0)]
+    got = rows(volume_spikes(frame(spark, [event(k, size=z) for k, z in enumerate(sizes)]), exact))
+    assert {a["arrival"]: (a["observed_num"], a["severity"]) for a in got} == {1: (5.0, "Medium"), 2: (6.0, "High"), 3: (6.0, "High")}
+    assert {a["description"] for a in got} == {"volume spike on read: 5 bytes (z=5.0)", "volume spike on read: 6 bytes (z=6.0)"}
 
 
 def test_agents_without_profile_and_summary(spark):
@@ -250,6 +272,15 @@ def test_number_and_json_text(spark):
     assert [looks_like_resource(t) for t in ("/usr", "~/x", "https://e", "http://l", "file.txt", "~x", "HTTP://x")] == [True] * 4 + [False] * 3
 
 
+@pytest.mark.parametrize("marks", [False, True])
+def test_busy_sessions_are_accepted_alike(spark, marks):
+    events = frame(spark, random_events(random.Random(12), 120))
+    hwm = spark.createDataFrame([("x", "s1", 60), ("y", "s9", 1)], "agent_id string, session_id string, hwm long") if marks else None
+    # all sessions as windows, all but the larger ones, none
+    by = [sorted(r["arrival"] for r in rows(accept_events(events, hwm, busy=n))) for n in (1000, 20, 0)]
+    assert by[0] == by[1] == by[2] and 0 < len(by[0]) < 120
+
+
 def test_accept_skips_late_positions(spark):
     kept = accept_events(frame(spark, [event(1, seq=3), event(2, seq=2), event(3, seq=4)]))
     assert sorted(r["arrival"] for r in rows(kept)) == [1, 3]
