@@ -31,6 +31,7 @@ BLOCK = 2048  # documents of a tree
 LEAF = 64  # documents of a leaf
 CHUNK = 256  # queries that one task takes through one tree
 FILTER_BITS = 22  # the filter of query terms: 2^22 bits, 512 KB, whatever the number of terms
+ROWS = 500  # documents whose counted terms are held at once
 SIGNS = 4  # signed sums of a vector that tell its direction
 SAFE = 1e-9  # relative error allowed to bounds; sums of doubles have a far smaller one
 
@@ -56,7 +57,7 @@ def _counted(bits) -> object:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             n, terms, tfs = [], [], []
             for words in _words(batch["text"]):
                 n.append(words.total())
