@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conductlens.functions.staging import shared_folder
 from conductlens.operators.detect import (
+    VOLUME_SPIKE,
+    Detector,
     anomaly_records,
     detect,
     detection_summary,
     rate_spikes,
+    record,
     unknown_sequences,
     unknown_tools,
     unprofiled_agents,
@@ -39,7 +42,9 @@ from conductlens.sources.store import (
 from conductlens.sources.transcripts import parse_transcripts, read_transcripts
 from conductlens.sources.transcripts import transcript_totals as totals_of
 from conductlens.streaming.jobs import stream_build, stream_detect
+from conductlens.streaming.live import live_marks, load_anomalies, stream_live
 
+LIVE_FROM = "2024-01-25"
 KEY = ["agent_id", "session_id", "sequence_position", "arrival"]
 
 
@@ -310,20 +315,18 @@ def one_agent_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(detect(*_trained(spark, sf_dir), agent_id="agent-1"), "detector")
 
 
-def _large_calls(events: DataFrame, profile: Profile, threshold: float, scope: str) -> DataFrame:
-    """A detector of a caller's own: calls with more than 90,000 bytes in."""
-    calls = events.where("event_type = 'ToolCall' and data_in_bytes > 90000").join(profile.agent.select("agent_id", "event_count"), "agent_id")
-    none = F.lit(None).cast("double")
-    return calls.select(
-        *events.columns, F.lit("LargeCall").alias("anomaly_type"), F.lit("Low").alias("severity"), F.lit("large call").alias("description"), F.lit("90000").alias("baseline_value"),
-        F.col("data_in_bytes").cast("string").alias("observed_value"), none.alias("z_score"), F.least(F.col("event_count") / 100.0, F.lit(1.0)).alias("confidence"),
-        F.col("data_in_bytes").cast("double").alias("observed_num"), none.alias("baseline_mean"),
-    )
+def _large_call(threshold: float) -> Column:
+    size = F.col("data_in_bytes")
+    return record("LargeCall", F.lit("large call"), F.lit("90000"), size, F.lit(None), F.lit("Low"), (size, F.lit(None)))
+
+
+#: A detector of a caller's own: calls with more than 90,000 bytes in.
+LARGE_CALL = Detector("LargeCall", lambda _: F.col("data_in_bytes") > 90_000, _large_call)
 
 
 def own_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of detectors with one of the caller's own, at a threshold of 2."""
-    return _shown(detect(*_trained(spark, sf_dir), 2.0, [_large_calls, volume_spikes]), "detector")
+    return _shown(detect(*_trained(spark, sf_dir), 2.0, [LARGE_CALL, VOLUME_SPIKE]), "detector")
 
 
 TEXTS = ["arrival", "detector", "anomaly_type", "severity", "description", "baseline_value", "observed_value"]
@@ -379,6 +382,28 @@ def streamed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(both.select(*[c for c in SHOWN if c != "arrival"], "detector", "description", "baseline_value"))
 
 
+def _live(spark: SparkSession, sf_dir: str) -> str:
+    """A store of live detection that was fed the score part in two parts, then replays of both."""
+    score, profile = _trained(spark, sf_dir)
+    late = F.col("timestamp") >= F.lit(LIVE_FROM).cast("timestamp")
+    feed, root, checkpoint = shared_folder(spark, "feed"), shared_folder(spark, "live"), shared_folder(spark, "checkpoint")
+    for part in (score.where(~late), score.where(late), replays(score)):
+        part.write.mode("append").parquet(feed)
+        stream_live(spark.readStream.schema(ORDERED_EVENT).parquet(feed), profile, root, checkpoint).awaitTermination()
+    return root
+
+
+def live_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of a stream in which replays arrive: the same as of the score part alone."""
+    found = load_anomalies(spark, _live(spark, sf_dir))
+    return _rounded(found.select(*[c for c in SHOWN if c != "arrival"], "detector", "description", "baseline_value"))
+
+
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks of the sessions that were seen in the last three days of that stream."""
+    return live_marks(spark, _live(spark, sf_dir), "3 days").select("agent_id", "session_id", "hwm")
+
+
 ALL = [
     accepted_events,
     session_run_sizes,
@@ -425,6 +450,8 @@ ALL = [
     streamed_profile,
     streamed_marks,
     streamed_anomalies,
+    live_anomalies,
+    live_sessions,
 ]
 
 

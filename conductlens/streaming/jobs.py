@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from conductlens.functions.staging import stage
-from conductlens.operators.detect import attach_profile, graded, known_pairs, known_tools, moved, rated
+from conductlens.operators.detect import DETECTORS, agent_facts, attach_profile, graded, joined_calls
 from conductlens.operators.profile import Profile, build_profile, expire_marks, last_state_of
 from conductlens.schemas import EVENT, EVENT_COLUMNS
 from conductlens.sources.store import TEXT_TIME, append_events, load_profile, load_state, save_profile
@@ -88,12 +88,17 @@ def stream_detect(stream: DataFrame, profile: Profile, threshold: float = 3.0) -
     """(anomalies of single calls, anomalies of consecutive calls): two streams of full records against a fixed profile.
 
     The first needs no state and joins the tool table; the second follows the
-    order of calls, with one small state per agent.  ``anomaly_records`` nests either.
+    order of calls, with one small state per agent, and holds an agent's calls
+    of one micro-batch in one task; ``live.stream_live`` has no such bound.
+    The profile's tables are written once, not made for every micro-batch.
+    ``anomaly_records`` nests either.
     """
-    single = attach_profile(stream.where("event_type = 'ToolCall' and tool_name is not null"), profile)
-    single = moved(single.join(known_tools(profile), ["agent_id", "tool_name"], "left"))
-    follow = rated(attach_profile(stream_calls(stream), profile)).join(known_pairs(profile), ["agent_id", "before", "tool_name"], "left")
-    return (
-        graded(single, profile, threshold, EVENT_COLUMNS, ("UnknownTool", "VolumeSpike")),
-        graded(follow, profile, threshold, EVENT_COLUMNS, ("UnknownSequence", "RateSpike")),
-    )
+    profile = profile.staged()
+    facts = stage(agent_facts(profile))
+    sides = {False: stream.where("event_type = 'ToolCall' and tool_name is not null"), True: stream_calls(stream)}
+    out = []
+    for ordered, calls in sides.items():
+        chosen = {k: d for k, d in enumerate(DETECTORS) if bool({"pair", "rate"} & {*d.needs}) is ordered}
+        calls = joined_calls(attach_profile(calls, profile), profile, {n for d in chosen.values() for n in d.needs})
+        out.append(graded(calls, facts, threshold, EVENT_COLUMNS, chosen))
+    return out[0], out[1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import model
 from conductlens.functions.stats import merge_moments, moments, z_score
 from conductlens.functions.text import compact_size, fixed, float_text, looks_like_resource, strict_json
-from conductlens.operators.detect import detect, detection_summary, rate_spikes, unknown_sequences, unknown_tools, unprofiled_agents, volume_spikes
+from conductlens.operators.detect import DETECTORS, Detector, detect, detection_summary, rate_spikes, record, unknown_sequences, unknown_tools, unprofiled_agents, volume_spikes
 from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, empty_profile, last_state_of, profile_to_document
 from conductlens.operators.sessions import accept_events, session_runs
 from conductlens.schemas import ORDERED_EVENT, PROFILE_SCHEMAS
@@ -190,6 +190,22 @@ def test_one_pass_equals_single_detectors(spark):
         assert shown(detect(frame(spark, score), known, 1.0, scope=scope)) == shown(alone) and alone.count() > 10
 
 
+def test_detectors_of_a_list_are_one_pass(spark):
+    """Expressions and functions side by side; calls are ordered only for detectors that look at the call before."""
+    events, p = frame(spark, random_events(random.Random(9), 60)), build_profile(frame(spark, random_events(random.Random(8), 60))).staged()
+    none = F.lit(None)
+    own = Detector("Named", lambda least: F.col("tool_name").isNotNull() & (F.col("sequence_position") > least), lambda _: record("Named", F.lit("named"), none, F.col("sequence_position"), none, F.lit("Low"), (none, none)))
+    key = lambda r: str(sorted(r.items()))
+    got = rows(detect(events, p, 2.0, [own, volume_spikes, *DETECTORS]))
+    assert sorted(key(r | {"detector": r["detector"] - 2}) for r in got if r["detector"] > 1) == sorted(map(key, rows(detect(events, p, 2.0))))
+    named = [r for r in got if r["detector"] == 0]
+    assert named and all(r["observed_value"] == str(r["sequence_position"]) and r["anomaly_type"] == "Named" for r in named)
+    plan = lambda listed: detect(events, p, 2.0, listed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan([own]) and "Window" in plan([DETECTORS[1]])
+    assert rows(detect(events, p, 2.0, [])) == [] and detect(events, p, 2.0, []).columns == detect(events, p).columns
+    assert all(r["baseline_value"] is None for r in rows(detect(events, p, list_tools=False)) if r["anomaly_type"] == "UnknownTool")
+
+
 def test_unknown_pair(spark):
     p = profile(spark, bigrams=[("read", "write")], events=50)
     assert rows(unknown_sequences(frame(spark, [event(1), event(2, tool="write"), event(3, session="s2")]), p)) == []

@@ -30,6 +30,7 @@ from conductlens.functions.text import END, plain_json, plain_numbers
 from conductlens.sources.transcripts import decode_line, decode_lines, parse_transcripts, plain_line, read_transcripts, transcript_totals
 from conductlens.streaming import jobs
 from conductlens.streaming.jobs import build_batch, stream_build, stream_detect
+from conductlens.streaming.live import compact_live, live_batch, live_marks, load_anomalies, stream_live
 from test_behaviour import T0, event, frame, rows
 
 
@@ -423,3 +424,73 @@ def test_live_detection(spark, tmp_path):
     want = [{k: v for k, v in r.items() if k != "arrival"} for r in rows(anomaly_records(detect(frame(spark, score), known)))]
     assert {r["anomaly_type"] for r in want} == {"UnknownTool", "UnknownSequence", "RateSpike", "VolumeSpike"}
     assert shown(found) == shown(want)
+
+
+def shown(anomalies) -> list[str]:
+    return sorted(json.dumps({k: v for k, v in r.items() if k != "arrival"}, default=str, sort_keys=True) for r in rows(anomaly_records(anomalies)))
+
+
+def live_profile(spark):
+    return build_profile(frame(spark, [event(k, tool="ab"[k % 2], at=k * 60 + k % 3, size=(k, 0)) for k in range(1, 9)])).staged()
+
+
+def test_live_batches_find_what_one_detection_finds(spark, tmp_path):
+    """Whatever the cuts between batches: calls before, named calls before and marks go on; replays are found once."""
+    rng, known = random.Random(1), live_profile(spark)
+    score = [event(k, session=rng.choice("mn"), tool=rng.choice(["a", "b", "x", None]), seq=k, at=1000 + k * rng.choice([1, 60]), size=(rng.choice([1, 10**6]), 0)) for k in range(1, 31)]
+    cuts = [0, *sorted(rng.sample(range(1, 30), 2)), 30]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        again = [e | {"arrival": 100 * n + k} for k, e in enumerate(score[:a:3], 1)] if a else []
+        live_batch(frame(spark, score[a:b] + again), known, str(tmp_path / "live"), f"f-{n}")
+    want = shown(detect(frame(spark, score), known))
+    assert want and shown(load_anomalies(spark, str(tmp_path / "live"))) == want
+    assert {(r["session_id"], r["hwm"]) for r in rows(live_marks(spark, str(tmp_path / "live")))} == {(s, max(e["sequence_position"] for e in score if e["session_id"] == s)) for s in {e["session_id"] for e in score}}
+
+
+def test_interrupted_live_batches(spark, tmp_path, monkeypatch):
+    known, root = live_profile(spark), str(tmp_path / "live")
+    parts = [[event(1, tool="x", at=900)], [event(2, tool="y", at=910), event(3, tool="a", at=911)]]
+    monkeypatch.setattr(layers, "FANOUT", 2)
+    for n, part in enumerate(parts):
+        for lost in (True, False, False):  # lost before it counts; then whole, and once again
+            with monkeypatch.context() as patched:
+                if lost:
+                    patched.setattr(Layers, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+                try:
+                    live_batch(frame(spark, part), known, root, f"f-{n}")
+                except OSError:
+                    assert lost
+    want = shown(detect(frame(spark, sum(parts, [])), known))
+    assert shown(load_anomalies(spark, root)) == want
+    compact_live(spark, root)
+    assert shown(load_anomalies(spark, root)) == want
+    with pytest.raises(ValueError):
+        live_batch(frame(spark, parts[0]), known, root, "nameless")
+    live_batch(frame(spark, []), known, root, "f-9")
+    assert shown(load_anomalies(spark, root)) == want
+
+
+def test_live_marks_expire(spark, tmp_path):
+    day, known, root = 86_400, live_profile(spark), str(tmp_path / "live")
+    old = event(1, session="old", tool="x", at=0)
+    send = lambda n, *events: live_batch(frame(spark, list(events)), known, root, f"f-{n}", mark_ttl="30 days")
+    count = lambda: sum(r["anomaly_type"] == "UnknownTool" for r in rows(load_anomalies(spark, root)))
+    send(0, old)
+    send(1, old, event(2, session="new", tool="a", at=20 * day))
+    assert count() == 1  # a replay
+    send(2, event(3, session="new", tool="a", at=40 * day))
+    assert [r["session_id"] for r in rows(live_marks(spark, root, "30 days"))] == ["new"]
+    compact_live(spark, root, "30 days")
+    assert [r["session_id"] for r in rows(live_marks(spark, root))] == ["new"]
+    send(3, old)
+    assert count() == 2  # its mark is gone, so it is looked at again
+
+
+def test_live_stream(spark, tmp_path):
+    known, source = live_profile(spark), tmp_path / "in"
+    score = [event(1, tool="x", at=900), event(2, tool="b", at=901), event(3, tool="a", at=901.5, size=(10**6, 0))]
+    for part in (score[:1], score[1:]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(source))
+        query = stream_live(spark.readStream.schema(frame(spark, score).schema).parquet(str(source)), known, str(tmp_path / "live"), str(tmp_path / "check"))
+        query.awaitTermination()
+    assert shown(load_anomalies(spark, str(tmp_path / "live"))) == shown(detect(frame(spark, score), known))
