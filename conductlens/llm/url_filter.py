@@ -2,9 +2,13 @@
 
 Labelled URLs are the ones that a rule decides; the trees learn the verdict
 from lexical features (lengths, depth, digit ratio, character entropy, counts
-of parameters and separators, block rates of host suffixes) and judge every
-URL without a rule.  All steps are DataFrame expressions and Spark ML's
-boosted trees, which run in the JVM.
+of parameters and separators) and block rates of the host's suffix, of suffix
+and first path segment, of that segment and of the first host label, and judge
+every URL without a rule.  A labelled URL's rates come from the other folds of
+the labelled URLs; a key that they do not hold counts as unseen, with a rate of
+one half, and folds of the training rows take part with keys withheld, so that the
+trees know what to do where nothing is known.  Both classes weigh the same.
+All steps are DataFrame expressions and Spark ML's boosted trees, which run in the JVM.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, so
 no rule fits and the trees judge it.  Rules of equal length that both fit are
@@ -19,6 +23,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +85,37 @@ def lexical_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
         {
             "suffix": F.coalesce(F.element_at(labels, -1), F.lit("")),
             "section": F.concat_ws("/", F.element_at(labels, -1), F.regexp_extract("path", r"^/([^/]*)", 1)),
+            "lead": F.regexp_extract("path", r"^/([^/]*)", 1),
+            "front": F.coalesce(F.element_at(labels, 1), F.lit("")),
         }
     )
     return out, list(columns)
 
 
-def suffix_rates(labelled: DataFrame, key: str, prior: float, smoothing: float = 5.0) -> DataFrame:
-    """Smoothed block rate of each suffix among the labelled URLs, over all of them."""
-    rate = (F.sum("label") + smoothing * prior) / (F.count(F.lit(1)) + smoothing)
-    return labelled.groupBy(key).agg(rate.alias(f"f_rate_{key}"))
+FOLDS = 10
+KEYS = ("suffix", "section", "lead", "front")
+#: Which keys are withheld from the training rows of a fold, as if they had never been seen.
+WITHHELD = {0: ("suffix", "section"), 1: ("lead", "front"), 2: KEYS}
+SMOOTHING = 5.0
+
+
+def key_rates(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, blocked, total): the weights of its labelled URLs, those of each fold and those of all, over all of them."""
+    fold = lambda value: F.array(*[F.sum(F.when(F.col("fold") == k, value).otherwise(0.0)) for k in range(FOLDS)], F.sum(value))
+    return labelled.groupBy(key).agg(fold(F.col("label") * F.col("weight")).alias("blocked"), fold(F.col("weight")).alias("total"))
+
+
+def with_rates(rows: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
+    """Adds ``f_rate_<key>``, smoothed towards one half, and ``f_seen_<key>``; labelled rows are judged by the other folds."""
+    # written, so that a frequent key is split in the join and not made in one task with its aggregation
+    out = rows.join(stage(key_rates(labelled, key)), key, "left")
+    mine = lambda c: F.when(F.col("label").isNotNull(), F.get(c, F.col("fold"))).otherwise(0.0)
+    left = lambda c: F.coalesce(F.get(F.col(c), F.lit(FOLDS)) - mine(F.col(c)), F.lit(0.0))
+    withheld = F.col("label").isNotNull() & F.col("fold").isin([k for k, keys in WITHHELD.items() if key in keys])
+    # differences of sums are not exact: a class weighs more than one half, so what is left is that much or nothing
+    seen = ~withheld & (left("total") > 0.25)
+    rate = F.when(seen, (left("blocked") + SMOOTHING / 2) / (left("total") + SMOOTHING)).otherwise(0.5)
+    return out.withColumns({f"f_rate_{key}": rate, f"f_seen_{key}": seen.cast("double")}).drop("blocked", "total")
 
 
 def url_filter(
@@ -100,7 +127,7 @@ def url_filter(
     rounds: int = 15,
     depth: int = 3,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, by_rule (the rule's verdict, null where the trees judged).
+    """One row per page: id, host, path, rule, verdict, by_rule (the rule's verdict, null where the trees judged), score (of the trees, towards block; null if there are none).
 
     ``max_train_rows`` bounds the labelled URLs that the trees are fitted on,
     taken in the order of a hash of the URL; suffix statistics and verdicts
@@ -120,21 +147,19 @@ def url_filter(
     columns = [F.col("id").alias(id_col), "host", "path", "rule"]
     if tally.n == 0 or tally.blocked in (0.0, float(tally.n)):
         rest = F.lit("block" if tally.n and tally.blocked else "allow")
-        return rows.select(*columns, F.coalesce("by_rule", rest).alias("verdict"), "by_rule")
-    prior = tally.blocked / tally.n
-    for key in ("suffix", "section"):
-        rows = rows.join(suffix_rates(labelled, key, prior), key, "left").fillna(prior, [f"f_rate_{key}"])
-        names = [*names, f"f_rate_{key}"]
-    ready = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows)
-    train = stage(
-        ready.where("label is not null")
-        .withColumn("_at", F.xxhash64("url", "id"))
-        .orderBy("_at", "id")
-        .limit(max_train_rows)
-        .select(*names, "label")
-    )
-    train = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(train.coalesce(2))
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, cacheNodeIds=False).fit(train.select("features", "label"))
-    judged = model.transform(ready.select(*[c for c in ("id", "host", "path", "rule", "by_rule", "features")]))
+        return rows.select(*columns, F.coalesce("by_rule", rest).alias("verdict"), "by_rule", F.lit(None).cast("double").alias("score"))
+    weight = F.when(F.col("label") == 1, tally.n / (2 * tally.blocked)).otherwise(tally.n / (2 * (tally.n - tally.blocked)))
+    # copies of a URL are in one fold
+    dealt = lambda df: df.withColumns({"weight": weight, "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")})
+    rows, labelled = dealt(rows), dealt(labelled)
+    for key in KEYS:
+        rows = with_rates(rows, labelled, key)
+        names = [*names, f"f_rate_{key}", f"f_seen_{key}"]
+    rows = stage(rows.select("id", "url", "host", "path", "rule", "by_rule", "label", "weight", *names))
+    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+    train = rows.where("label is not null").withColumn("_at", F.xxhash64("url", "id")).orderBy("_at", "id").limit(max_train_rows)
+    train = assembler.transform(stage(train.select(*names, "label", "weight")).coalesce(2)).select("features", "label", "weight")
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, cacheNodeIds=False, weightCol="weight").fit(train)
+    judged = model.transform(assembler.transform(rows))
     verdict = F.coalesce("by_rule", F.when(F.col("prediction") >= 0.5, "block").otherwise("allow"))
-    return judged.select(*columns, verdict.alias("verdict"), "by_rule")
+    return judged.select(*columns, verdict.alias("verdict"), "by_rule", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))

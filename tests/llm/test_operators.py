@@ -475,6 +475,36 @@ def test_url_trees_on_held_out_urls(spark):
     assert sum(a == b for a, b in judged) >= 0.95 * len(judged)
 
 
+def test_url_trees_on_the_given_pages(spark):
+    """The trees say something of URLs without a rule: both verdicts occur, and a section that is only ever allowed is not blocked under an unseen suffix."""
+    from conductlens.llm.queries import op8_url_filter
+
+    got = rows(op8_url_filter(spark, "/root/testdata/sf0.01"))
+    free = [r for r in got if r["rule"] is None]
+    share = sum(r["verdict"] == "block" for r in free) / len(free)
+    assert len(free) > 100 and 0.2 < share < 0.9
+    german = [r["verdict"] for r in free if r["host"].endswith(".org") and r["path"].startswith("/de/")]
+    assert german and german.count("allow") > 0.8 * len(german)
+    assert all((r["score"] >= 0.5) == (r["verdict"] == "block") for r in free)
+    # what the trees say of URLs that a rule decides, too
+    assert sum((r["score"] >= 0.5) == (r["by_rule"] == "block") for r in got if r["by_rule"]) > 0.8 * (len(got) - len(free))
+
+
+def test_url_rates_leave_out_their_own_fold(spark):
+    from conductlens.llm.url_filter import SMOOTHING, WITHHELD, key_rates, with_rates
+
+    data = [(k, "a" if k < 8 else "b", float(k % 2), 1.0, 3 + k % 2) for k in range(9)] + [(9, "a", None, None, 3), (10, "c", None, None, 0), (11, "a", 1.0, 1.0, min(WITHHELD))]
+    df = spark.createDataFrame(data, "k long, suffix string, label double, weight double, fold int")
+    labelled = df.where("label is not null")
+    assert {r["suffix"]: (r["blocked"][-1], r["total"][-1]) for r in rows(key_rates(labelled, "suffix"))} == {"a": (5.0, 9.0), "b": (0.0, 1.0)}
+    got = {r["k"]: (r["f_rate_suffix"], r["f_seen_suffix"]) for r in rows(with_rates(df, labelled, "suffix"))}
+    half = SMOOTHING / 2
+    assert got[0] == ((5 + half) / (5 + SMOOTHING), 1.0)  # fold 3 holds the even ones, allowed
+    assert got[1] == ((1 + half) / (5 + SMOOTHING), 1.0)
+    assert got[8] == (0.5, 0.0)  # alone with its key
+    assert got[9] == ((5 + half) / (9 + SMOOTHING), 1.0) and got[10] == (0.5, 0.0) and got[11] == (0.5, 0.0)
+
+
 def test_sharding_cuts_no_more_groups_than_needed(spark):
     groups = {f"g{k}": n for k, n in enumerate([25] * 16 + [10] * 20 + [4] * 25 + [1] * 100)}  # 800 rows, quota 100: whole groups fit
     texts = [g for g, n in groups.items() for _ in range(n)]
@@ -515,7 +545,7 @@ def test_sharding_where_every_row_has_a_copy(spark):
     mixed = [(k, f"big {k // 150}") for k in range(600)] + [(600 + k, f"page {k // 2}") for k in range(600)] + [(1200 + k, f"five {k // 5}") for k in range(400)]
     for docs in (pairs, mixed):
         got = shard_documents(documents(spark, docs), shards=8)
-        placed = got.select("doc_id", "shard").join(documents(spark, docs).select("doc_id", "text"), "doc_id").localCheckpoint()
+        placed = got.select("doc_id", "shard").join(documents(spark, docs).select("doc_id", "text"), "doc_id").persist()
         assert {r["count"] for r in rows(placed.groupBy("shard").count())} == {200}
         cut = placed.groupBy("text").agg(F.count_distinct("shard").alias("n")).where("n > 1").count()
         # only groups at the edge of a quota
