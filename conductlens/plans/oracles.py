@@ -267,6 +267,8 @@ FROM train WHERE event_type = 'ToolCall' UNION ALL SELECT DISTINCT agent_id, NUL
         "streamed_profile": f"WITH {TRAINED} SELECT {ROUNDED_AGENT} FROM agent",
         "streamed_marks": f"""WITH {EVENTS}, n AS (SELECT agent_id, count(*) AS event_count FROM ev GROUP BY agent_id)
 SELECT agent_id, session_id, greatest(max(sequence_position), 0) AS hwm, any_value(event_count) AS event_count FROM ev JOIN n USING (agent_id) GROUP BY agent_id, session_id""",
+        "logged_events": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM ev",
+        "followed_log": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM ev",
         "live_sessions": f"""WITH {SCORE} SELECT agent_id, session_id, greatest(max(sequence_position), 0) AS hwm FROM score
 GROUP BY agent_id, session_id HAVING max(timestamp) >= (SELECT max(timestamp) FROM score) - INTERVAL 3 DAY""",
         "live_anomalies": "WITH " + all_said(SHOWN.replace("arrival, ", "") + ", detector", False),

@@ -26,6 +26,7 @@ from conductlens.operators.sessions import accept_events, session_runs
 from conductlens.plans import oracles
 from conductlens.plans.fixtures import agent_folders, behaviour_events, halves, replays, split, spoiled, transcript_lines, with_replays, write_transcripts
 from conductlens.schemas import EVENT_COLUMNS, ORDERED_EVENT
+from conductlens.sources.feed import LogFolder, read_feed, stream_feed
 from conductlens.sources.store import (
     anomalies_to_json,
     append_events,
@@ -382,6 +383,31 @@ def streamed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(both.select(*[c for c in SHOWN if c != "arrival"], "detector", "description", "baseline_value"))
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> list[tuple[str, Callable[[], None]]]:
+    """An event log that is written in two parts, as (folder, writer) pairs."""
+    spark.dataSource.register(LogFolder)
+    folder = shared_folder(spark, "log")
+    parts = enumerate(halves(behaviour_events(spark, sf_dir)))
+    return [(folder, lambda k=k, part=part: events_to_json(part).write.text(f"{folder}/{k}")) for k, part in parts]
+
+
+def logged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a log that is read through the data source, in small pieces."""
+    for folder, write in _logged(spark, sf_dir):
+        write()
+    return _rounded(read_feed(spark, "event_log", path=folder, split=100_000)[0].select(*EVENT_COLUMNS))
+
+
+def followed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a log that a stream follows: it is stopped after the first part and begun again after the second."""
+    out, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint")
+    for folder, write in _logged(spark, sf_dir):
+        write()
+        events, _ = stream_feed(spark, "event_log", path=folder, split=100_000)
+        events.select(*EVENT_COLUMNS).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return _rounded(spark.read.parquet(out).select(*EVENT_COLUMNS))
+
+
 def _live(spark: SparkSession, sf_dir: str) -> str:
     """A store of live detection that was fed the score part in two parts, then replays of both."""
     score, profile = _trained(spark, sf_dir)
@@ -452,6 +478,8 @@ ALL = [
     streamed_anomalies,
     live_anomalies,
     live_sessions,
+    logged_events,
+    followed_log,
 ]
 
 
