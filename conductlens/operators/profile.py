@@ -8,8 +8,9 @@ Merging a stored profile is a full outer join per table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -220,7 +221,7 @@ def build_summary(profile: Profile) -> DataFrame:
 def profile_to_document(profile: Profile) -> DataFrame:
     """One nested document per agent (agent_id, document as JSON text); pair keys are written ``first->second``.
 
-    This is an export for small profiles: a document holds an agent's whole profile.
+    This is an export for small profiles: a document holds an agent's whole profile; ``profile_to_parts`` has no such row.
     """
 
     def listed(df: DataFrame, name: str, *columns) -> DataFrame:
@@ -294,3 +295,54 @@ def document_to_profile(documents: DataFrame) -> Profile:
             "agent_id", "session_id", "hwm", F.try_element_at("processed_at", F.col("session_id")).alias("seen")
         ),
     )
+
+
+PART_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+PART_ROWS = 10_000
+
+
+def _part_of(keys: list[str], parts: Column) -> Column:
+    text = [F.array_join(c, "\x00") if c == "param_keys" else F.col(c).cast("string") for c in keys if c != "agent_id"]
+    return F.pmod(F.xxhash64(*text), parts)
+
+
+def profile_to_parts(profile: Profile, rows: int = PART_ROWS) -> DataFrame:
+    """(agent_id, component, part, parts, n, document): profiles as JSON documents of bounded size.
+
+    A component is one of the seven tables.  A hash of its key deals an agent's
+    rows to so many parts that one holds ``rows`` / 2 on average, twice that only
+    by a freak of the hash; a key's part can be found again from ``parts``.
+    """
+
+    def dealt(name: str) -> DataFrame:
+        df, keys = getattr(profile, name), PROFILE_KEYS[name]
+        if name == "agent":  # one row each
+            df = df.withColumns({"parts": F.lit(1).cast("long"), "part": F.lit(0).cast("long")})
+        else:
+            sizes = df.groupBy("agent_id").agg(F.ceil(F.count(F.lit(1)) * 2 / rows).alias("parts"))
+            df = df.join(sizes, "agent_id")
+            df = df.withColumn("part", _part_of(keys, F.col("parts")))
+        row = F.struct(*[c for c in getattr(profile, name).columns if c != "agent_id"])
+        listed = df.groupBy("agent_id", "part").agg(F.first("parts").alias("parts"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("rows"))
+        document = F.to_json("rows", {"ignoreNullFields": "false", "timestampFormat": PART_TIME})
+        return listed.select("agent_id", F.lit(name).alias("component"), "part", "parts", "n", document.alias("document"))
+
+    return reduce(DataFrame.unionByName, map(dealt, PROFILE_SCHEMAS))
+
+
+def parts_to_profile(parts: DataFrame) -> Profile:
+    """The tables of documents in parts: of all, or of those that are given."""
+
+    def table(name: str) -> DataFrame:
+        columns = PROFILE_SCHEMAS[name].removeprefix("agent_id string, ")
+        row = F.from_json("document", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in columns.split(', '))}>>", {"timestampFormat": PART_TIME})
+        return parts.where(F.col("component") == name).select("agent_id", F.inline(row))
+
+    return Profile(**{name: (lambda name=name: table(name)) for name in PROFILE_SCHEMAS})
+
+
+def parts_with(parts: DataFrame, component: str, *key: Column | str) -> DataFrame:
+    """The parts that hold a key (its values in the order of the table, without the agent) if any does: one for each agent."""
+    values = [F.lit(v) if isinstance(v, str) else v for v in key]
+    text = [F.array_join(v, "\x00") if c == "param_keys" else v.cast("string") for c, v in zip(PROFILE_KEYS[component][1:], values, strict=True)]
+    return parts.where((F.col("component") == component) & (F.col("part") == F.pmod(F.xxhash64(*text), F.col("parts"))))

@@ -228,6 +228,13 @@ UNION ALL SELECT 'anomalies', count(*) FROM found UNION ALL SELECT anomaly_type,
   (SELECT count(DISTINCT r) FROM (SELECT agent_id AS g, unnest(resource_ids) AS r FROM train) x WHERE g = a.agent_id) AS n_resources,
   (SELECT count(*) FROM bigram b WHERE b.agent_id = a.agent_id) AS n_bigrams, rate_count, round(rate_mean, 4) AS rate_mean, first_seen, last_updated FROM agent a""",
         "profile_documents": f"WITH {TRAINED} SELECT * FROM bigram",
+        "profile_parts": f"""WITH {TRAINED} SELECT 'agent' AS component, agent_id, '' AS item, CAST(event_count AS BIGINT) AS n, round(rate_mean, 4) AS x FROM agent
+UNION ALL SELECT 'tool', agent_id, tool_name, call_count, round(vol_mean, 4) FROM tool
+UNION ALL SELECT DISTINCT 'param_set', agent_id, coalesce(tool_name, 'unknown') || '|' || array_to_string(list_sort(param_keys), '|'), 1, NULL FROM train WHERE event_type = 'ToolCall'
+UNION ALL SELECT 'bigram', agent_id, first || '|' || second, n, NULL FROM bigram
+UNION ALL SELECT DISTINCT 'resource', agent_id, r, 1, NULL FROM (SELECT agent_id, unnest(resource_ids) AS r FROM train) x
+UNION ALL SELECT 'hour', agent_id, CAST(hour(timestamp) AS VARCHAR), count(*), NULL FROM train GROUP BY ALL
+UNION ALL SELECT 'hwm', agent_id, session_id, greatest(max(sequence_position), 0), NULL FROM train GROUP BY ALL""",
         "events_json_roundtrip": f"""WITH {EVENTS} SELECT timestamp, session_id, agent_id, event_type, tool_name, array_to_string(param_keys, '|') AS param_keys,
   array_to_string(resource_ids, '|') AS resource_ids, data_in_bytes, data_out_bytes, CAST(0 AS BIGINT) AS duration_ms,
   CASE WHEN event_type = 'ToolCall' THEN CAST(k AS BIGINT) END AS token_count, sequence_position FROM ev""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from conductlens.operators.detect import (
     unprofiled_agents,
     volume_spikes,
 )
-from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, profile_to_document
+from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, parts_to_profile, profile_to_document, profile_to_parts
 from conductlens.operators.sessions import accept_events, session_runs
 from conductlens.plans import oracles
 from conductlens.plans.fixtures import agent_folders, behaviour_events, halves, replays, split, spoiled, transcript_lines, with_replays, write_transcripts
@@ -206,6 +207,23 @@ def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_to_profile(profile_to_document(build_profile(_train(spark, sf_dir)))).bigram
 
 
+def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven tables after a round trip through documents of twenty rows at most or so."""
+    p = parts_to_profile(profile_to_parts(_trained(spark, sf_dir)[1], rows=20))
+    joined = lambda *c: F.concat_ws("|", *c)
+    shown = {
+        "agent": (p.agent, F.lit(""), F.col("event_count"), F.col("rate_mean")),
+        "tool": (p.tool, F.col("tool_name"), F.col("call_count"), F.col("vol_mean")),
+        "param_set": (p.param_set, joined("tool_name", "param_keys"), F.lit(1), F.lit(None)),
+        "bigram": (p.bigram, joined("first", "second"), F.col("n"), F.lit(None)),
+        "resource": (p.resource, F.col("resource_id"), F.lit(1), F.lit(None)),
+        "hour": (p.hour, F.col("hour").cast("string"), F.col("n"), F.lit(None)),
+        "hwm": (p.hwm, F.col("session_id"), F.col("hwm"), F.lit(None)),
+    }
+    tables = [df.select(F.lit(name).alias("component"), "agent_id", item.alias("item"), n.cast("long").alias("n"), x.cast("double").alias("x")) for name, (df, item, n, x) in shown.items()]
+    return _rounded(reduce(DataFrame.unionByName, tables))
+
+
 def events_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON text and read back strictly."""
     return _rounded(parse_events(events_to_json(behaviour_events(spark, sf_dir)))[0].select(*EVENT_COLUMNS))
@@ -219,7 +237,7 @@ def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = transcript_lines(spark, sf_dir)
-    return totals_of(lines, *parse_transcripts(lines))
+    return totals_of(lines)
 
 
 def transcript_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,6 +474,7 @@ ALL = [
     anomalies_json,
     profile_summary,
     profile_documents,
+    profile_parts,
     events_json_roundtrip,
     transcript_events,
     transcript_totals,

@@ -262,8 +262,11 @@ def parse_transcripts(
     return events.select(*EVENT_COLUMNS, F.struct("file", "line_no", "block").alias("arrival")), rejects
 
 
-def transcript_totals(lines: DataFrame, events: DataFrame, rejects: DataFrame) -> DataFrame:
-    """(metric, n): files, events and rejected lines."""
-    one = lambda df, value, name: df.agg(value.alias("n")).select(F.lit(name).alias("metric"), "n")
-    count = F.count(F.lit(1))
-    return one(lines, F.count_distinct("file"), "files").unionByName(one(events, count, "events")).unionByName(one(rejects, count, "rejected_lines"))
+def transcript_totals(lines: DataFrame) -> DataFrame:
+    """(metric, n): files, events and rejected lines, from one decoding of the lines; a file counts by any of its lines."""
+    decoded, rejects = decode_lines(lines)
+    one = decoded.select("file", F.size("events").cast("long").alias("events"), F.lit(0).cast("long").alias("rejected_lines"))
+    one = one.unionByName(rejects.select("file", F.lit(0).cast("long").alias("events"), F.lit(1).cast("long").alias("rejected_lines")))
+    files = one.groupBy("file").agg(F.sum("events").alias("events"), F.sum("rejected_lines").alias("rejected_lines"))
+    sums = files.agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("events", "rejected_lines")])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in sums.columns])))

@@ -9,7 +9,7 @@ import model
 from conductlens.functions.stats import merge_moments, moments, z_score
 from conductlens.functions.text import compact_size, fixed, float_text, looks_like_resource, strict_json
 from conductlens.operators.detect import DETECTORS, Detector, detect, detection_summary, rate_spikes, record, unknown_sequences, unknown_tools, unprofiled_agents, volume_spikes
-from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, empty_profile, last_state_of, profile_to_document
+from conductlens.operators.profile import Profile, build_profile, build_summary, document_to_profile, empty_profile, last_state_of, parts_to_profile, parts_with, profile_to_document, profile_to_parts
 from conductlens.operators.sessions import accept_events, session_runs
 from conductlens.schemas import ORDERED_EVENT, PROFILE_SCHEMAS
 
@@ -276,6 +276,26 @@ def test_document_round_trip(spark):
         assert sorted(map(key, rows(df))) == sorted(map(key, rows(getattr(back, name).select(*df.columns)))), name
 
 
+def test_parts_round_trip(spark):
+    """Rows of every table come back, no document is large, and a key is found in one part an agent."""
+    made = [event(k, agent="ab"[k % 3 == 0], session=f"s{k // 30}", tool=f"t{k * k % 11}", seq=k, at=k * 17, size=(k, 1), keys=["k", f"p{k % 4}"], resources=[f"/r/{k % 25}"]) for k in range(1, 121)]
+    p = build_profile(frame(spark, made)).staged()
+    parts = profile_to_parts(p, rows=6).persist()
+    key = lambda r: json.dumps(r, default=str, sort_keys=True)
+    back = parts_to_profile(parts)
+    for name, df in p.tables().items():
+        assert sorted(map(key, rows(df))) == sorted(map(key, rows(getattr(back, name).select(*df.columns)))), name
+    sizes = [r["n"] for r in rows(parts)]
+    assert max(sizes) <= 12 and len(sizes) > 7 and len({(r["agent_id"], r["component"], r["part"]) for r in rows(parts)}) == len(sizes)
+    pair = rows(p.bigram)[0]
+    found = parts_with(parts, "bigram", pair["first"], pair["second"]).where(F.col("agent_id") == pair["agent_id"])
+    assert found.count() == 1 and pair in rows(parts_to_profile(found).bigram.select(*p.bigram.columns))
+    whole = rows(p.param_set)[0]
+    found = parts_with(parts, "param_set", whole["tool_name"], F.array(*map(F.lit, whole["param_keys"])).cast("array<string>"))
+    assert whole in rows(parts_to_profile(found).param_set.select(*p.param_set.columns))
+    assert profile_to_parts(empty_profile(spark)).count() == 0
+
+
 def test_number_and_json_text(spark):
     df = spark.createDataFrame([(0.25, 2.5), (None, 3.5)], "x double, y double").select(fixed(F.col("x"), 1).alias("x"), fixed(F.col("y"), 0).alias("y"))
     assert rows(df) == [{"x": "0.2", "y": "2"}, {"x": None, "y": "4"}]

@@ -129,6 +129,13 @@ def test_lines():
             decode_line(line)
 
 
+def test_totals_count_files_without_events(spark):
+    lines = spark.createDataFrame([("a", 1, USER), ("a", 2, "{broken"), ("b", 1, "[]"), ("c", 1, SESSION)], "file string, line_no long, value string")
+    totals = lambda df: {r["metric"]: r["n"] for r in rows(transcript_totals(df))}
+    assert totals(lines) == {"files": 3, "events": 1, "rejected_lines": 2}
+    assert totals(lines.limit(0)) == {"files": 0, "events": 0, "rejected_lines": 0}
+
+
 def test_folder_of_transcripts(spark, tmp_path):
     (tmp_path / "b.jsonl").write_bytes((SESSION + "\r\n\r\n" + USER + "\n").encode())
     (tmp_path / "a.jsonl").write_text(USER)
@@ -136,7 +143,7 @@ def test_folder_of_transcripts(spark, tmp_path):
     lines = read_transcripts(spark, str(tmp_path))
     events, rejects = parse_transcripts(lines)
     assert [(e["sequence_position"], e["session_id"]) for e in sorted(rows(events), key=lambda r: tuple(r["arrival"].values()))] == [(1, ""), (1, "night-7")]
-    assert {r["metric"]: r["n"] for r in rows(transcript_totals(lines, events, rejects))} == {"files": 2, "events": 2, "rejected_lines": 0}
+    assert {r["metric"]: r["n"] for r in rows(transcript_totals(lines))} == {"files": 2, "events": 2, "rejected_lines": 0}
     with pytest.raises(FileNotFoundError):
         read_transcripts(spark, str(tmp_path / "none"))
     (tmp_path / "empty").mkdir()
