@@ -223,6 +223,8 @@ SELECT {SHOWN}, 'unseen sequence: ' || prev || '->' || tool_name AS description,
         "anomaly_summary": f"""WITH {ALL_FOUND} SELECT 'events_scanned' AS metric, count(*) AS n FROM score JOIN agent USING (agent_id)
 UNION ALL SELECT 'anomalies', count(*) FROM found UNION ALL SELECT anomaly_type, count(*) FROM found GROUP BY anomaly_type""",
         "anomalies_json": f"WITH {ALL_FOUND} SELECT arrival, detector, anomaly_type, session_id, severity FROM found",
+        "anomaly_evidence": f"""WITH {ALL_FOUND}, e AS (SELECT {EVENT_COLUMNS}, arrival FROM score),
+f AS (SELECT arrival, detector, anomaly_type, severity, z_score, confidence FROM found) SELECT * FROM e JOIN f USING (arrival)""",
         "profile_summary": f"""WITH {TRAINED} SELECT agent_id, session_count, event_count,
   (SELECT count(*) FROM tool t WHERE t.agent_id = a.agent_id) AS n_tools,
   (SELECT count(DISTINCT r) FROM (SELECT agent_id AS g, unnest(resource_ids) AS r FROM train) x WHERE g = a.agent_id) AS n_resources,

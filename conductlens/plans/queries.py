@@ -29,6 +29,7 @@ from conductlens.plans.fixtures import agent_folders, behaviour_events, halves,
 from conductlens.schemas import EVENT_COLUMNS, ORDERED_EVENT
 from conductlens.sources.feed import LogFolder, read_feed, stream_feed
 from conductlens.sources.store import (
+    TEXT_TIME,
     anomalies_to_json,
     append_events,
     compact_profiles,
@@ -198,6 +199,15 @@ def anomalies_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def anomaly_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole anomaly records, read back from their JSON text: the event, z-score and confidence of each."""
+    records = anomaly_records(detect(*_trained(spark, sf_dir)))
+    layout = records.drop("arrival", "detector").schema
+    read = anomalies_to_json(records).select("arrival", "detector", F.from_json("value", layout, {"timestampFormat": TEXT_TIME}).alias("r"))
+    event = [F.col(f"r.evidence.event.{c}").alias(c) for c in EVENT_COLUMNS]
+    return _rounded(read.select(*event, "arrival", "detector", "r.anomaly_type", "r.severity", "r.evidence.z_score", "r.evidence.confidence"))
+
+
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(build_summary(build_profile(_train(spark, sf_dir))))
 
@@ -472,6 +482,7 @@ ALL = [
     anomalies,
     anomaly_summary,
     anomalies_json,
+    anomaly_evidence,
     profile_summary,
     profile_documents,
     profile_parts,
