@@ -16,8 +16,9 @@ exactly two neighbouring tokens the best, leftmost one joins them.
 A character without a piece is an edge of byte pieces.  The units that are
 encoded this way are the ``dictionary_units`` most frequent ones of the corpus,
 counted over all texts; their number bounds what is broadcast.  Rarer units are
-met in the pass over the texts, which folds the same lattice for each of them
-there: shuffling every rare occurrence twice would move more than the texts.
+met in the pass over the texts, which folds the same lattice for them there,
+all rare units of a part of the texts at once (``MergeFold``): shuffling every
+rare occurrence twice would move more than the texts.
 The dictionary ends at a level of frequency, so it may hold somewhat fewer.
 
 Defined cases: null and empty texts have no tokens and decode to the empty
@@ -31,8 +32,8 @@ import heapq
 import os
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,6 @@ SPACE = "▁"
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 UNIT = f"[\\n\\t]|{SPACE}+[^{SPACE}\\n\\t]*|[^{SPACE}\\n\\t]+"
 UNKNOWN_PENALTY = 10.0
-NO_PIECE = float("-inf")
 
 
 class Vocabulary:
@@ -87,6 +87,21 @@ def prepared(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).otherwise(F.lit(""))
 
 
+def units_of(text: str) -> list[str]:
+    """The units (UNIT) of a text as the lattice sees it, cut at marks that are set before every one: quicker than matching them."""
+    if not text:
+        return []
+    text = SPACE + text.replace(" ", SPACE)
+    if "\0" in text:
+        return re.findall(UNIT, text)
+    text = text.replace(SPACE, "\0" + SPACE)
+    while SPACE + "\0" + SPACE in text:
+        text = text.replace(SPACE + "\0" + SPACE, SPACE + SPACE)
+    for sign in "\n\t":
+        text = text.replace(sign, f"\0{sign}\0")
+    return list(filter(None, text.split("\0")))
+
+
 def lattice(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
     """(unit, n, edges): the edges (end, start, score, id) of every unit; id -1 stands for byte pieces.
 
@@ -189,20 +204,156 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return paths.select("unit", ids.alias("ids"))
 
 
+class MergeFold:
+    """The lattice of many units folded merge by merge at once, a row of symbols to a unit.
+
+    Symbols are the pieces and the characters in pieces; 0 is a character that no piece holds.  An edge
+    over two neighbouring symbols is looked up by their numbers.
+    """
+
+    WIDTHS = (8, 12, 16, 24, 40, 64)  # characters of a row
+    CELLS = 1 << 17  # of a matrix: it stays in the cache
+    NONE = np.iinfo(np.int32).max
+    SLOTS, STEP = 20, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int]):
+        edges = {p: (s, i) for p, i, s in pieces}
+        chars = sorted({c for p in edges for c in p} - edges.keys())
+        symbol = {p: k for k, p in enumerate([*edges, *chars], 1)}
+        self.n = len(symbol) + 1
+        self.ids = np.array([-1, *(i for _, i in edges.values()), *[-1] * len(chars)], np.int32)
+        # equal scores share a rank, so the leftmost of them is taken
+        ranks = np.unique([-s for s, _ in edges.values()], return_inverse=True)[1]
+        self.rank = np.concatenate(([self.NONE], ranks, [self.NONE] * len(chars))).astype(np.int32)
+        self.bytes = np.array(byte_ids, np.int32)
+        pairs = sorted(
+            (a * self.n + b, symbol[p]) for p in edges for k in range(1, len(p)) if (a := symbol.get(p[:k])) and (b := symbol.get(p[k:]))
+        )
+        self.keys, self.joined = (np.array(x, kind) for x, kind in zip(zip(*pairs, strict=True) if pairs else ((), ()), (np.int64, np.int32), strict=True))
+        # characters up to the last one of a piece, and one more for all others
+        codes, symbols = zip(*((ord(p), k) for p, k in symbol.items() if len(p) == 1), strict=True)
+        self.symbol_of = np.zeros(max(codes) + 2, np.int32)
+        self.symbol_of[list(codes)] = symbols
+        self.slots: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _fill(self) -> tuple[np.ndarray, np.ndarray]:
+        """Made once a process, not sent.  A slot holds one pair, or -2 if several fall into it: these are searched in the sorted list."""
+        at = self._slot(self.keys)
+        key, joined = np.full(1 << self.SLOTS, -1), np.zeros(1 << self.SLOTS, np.int32)
+        key[at], joined[at] = self.keys, self.joined
+        key[np.bincount(at, minlength=1 << self.SLOTS) > 1] = -2
+        return key, joined
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * self.STEP >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Symbol of the edge over both, 0 without one."""
+        if self.slots is None:
+            self.slots = self._fill()
+        key = left.astype(np.int64) * self.n + right
+        slot = self._slot(key)
+        held = self.slots[0][slot]
+        out = np.where(held == key, self.slots[1][slot], 0)
+        many = np.flatnonzero(held == -2)
+        if len(many):
+            at = np.minimum(np.searchsorted(self.keys, key[many]), len(self.keys) - 1)
+            out[many] = np.where(self.keys[at] == key[many], self.joined[at], 0)
+        return out
+
+    def __call__(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(unit, ids as packed int32) of units of at most 64 characters, none of them empty."""
+        units = sorted(units, key=len)
+        sizes = np.array([len(u) for u in units])
+        first = 0
+        for width in self.WIDTHS:
+            last = int(np.searchsorted(sizes, width, "right"))
+            step = self.CELLS // (width + 1)
+            for at in range(first, last, step):
+                yield from self._fold(units[at : min(at + step, last)], width)
+            first = last
+
+    def _fold(self, units: list[str], width: int) -> Iterator[tuple[str, bytes]]:
+        sizes = np.array([len(u) for u in units])
+        wide, cells = width + 1, len(units) * (width + 1)
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) + np.repeat(np.arange(len(units)) * wide - begin, sizes)
+        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        symbol = np.zeros(cells, np.int32)
+        symbol[place] = self.symbol_of[np.minimum(code, len(self.symbol_of) - 1)]
+        there = np.zeros(cells, bool)
+        there[place] = True
+        # the last cell of a row is no character: it is before the first and after the last one
+        after = np.arange(1, cells + 1, dtype=np.int32)
+        before = np.arange(-1, cells - 1, dtype=np.int32)
+        before[::wide] += wide
+        joined = np.zeros(cells, np.int32)
+        inner = place[:-1][np.diff(place) == 1]
+        joined[inner] = self._join(symbol[inner], symbol[inner + 1])
+        rank = self.rank[joined]
+        rows, matrix = np.arange(len(units)), rank.reshape(len(units), wide)
+        while True:
+            at = matrix[rows].argmin(axis=1) + rows * wide  # the leftmost of the best
+            live = rank[at] < self.NONE
+            rows, at = rows[live], at[live]
+            if not len(rows):
+                break
+            gone, made, prior = after[at], joined[at], before[at]
+            later = after[gone]
+            symbol[at], after[at], before[later] = made, later, at
+            there[gone], rank[gone] = False, self.NONE
+            both = self._join(np.concatenate((made, symbol[prior])), np.concatenate((symbol[later], made)))
+            ends = np.concatenate((at, prior))
+            joined[ends] = both
+            rank[ends] = self.rank[both]
+        left = there[place]
+        ids, code = self.ids[symbol[place[left]]], code[left]
+        # a character without a piece: its bytes
+        lone = ids < 0
+        each = np.where(lone, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1)
+        flat = np.repeat(ids, each)
+        flat[np.repeat(lone, each)] = self.bytes[np.frombuffer("".join(map(chr, code[lone].tolist())).encode(), np.uint8)]
+        # tokens up to the end of every unit, in bytes of the packed ids
+        counted = np.concatenate(([0], np.cumsum(each)))
+        ends = (counted[np.cumsum(left)[begin + sizes - 1]] * 4).tolist()
+        packed = flat.astype(np.int32).tobytes()
+        for unit, a, b in zip(units, [0, *ends], ends, strict=False):
+            yield unit, packed[a:b]
+
+
 class Encoder(dict):
     """unit -> its ids as packed int32; missing units are folded here, by the same rule."""
 
-    def __init__(self, known: dict[str, bytes], pieces: list[tuple[str, int, float]], byte_ids: list[int], longest: int, unknown: float, merges: bool):
+    def __init__(
+        self,
+        known: dict[str, bytes],
+        pieces: list[tuple[str, int, float]],
+        byte_ids: list[int],
+        longest: int,
+        unknown: float,
+        merges: bool,
+        together: MergeFold | None = None,
+    ):
         super().__init__(known)
         self.known, self.byte_ids, self.longest, self.unknown = known, byte_ids, longest, unknown
         self.fold = self.merge if merges else self.viterbi
         self.edges = {p: (s, i) for p, i, s in pieces}
-        self.scores = {p: s for p, _, s in pieces}
+        self.together = together if together is not None or not merges else MergeFold(pieces, byte_ids)
 
-    def __missing__(self, unit: str) -> bytes:
+    def packed(self, units: list[str]) -> list[bytes]:
+        """The ids of every unit; the missing ones are folded together."""
         if len(self) > len(self.known) + 200_000:
             self.clear()
             self.update(self.known)
+        out = list(map(self.get, units))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if self.together is not None:
+            self.update(self.together([u for u in {units[k] for k in missing} if len(u) <= MergeFold.WIDTHS[-1]]))
+        for k in missing:
+            out[k] = self[units[k]]
+        return out
+
+    def __missing__(self, unit: str) -> bytes:
         self[unit] = packed = array("i", self.fold(unit)).tobytes()
         return packed
 
@@ -231,23 +382,6 @@ class Encoder(dict):
             at = start[at]
         return [i for part in reversed(path) for i in part]
 
-    def merge(self, unit: str) -> list[int]:
-        parts = list(unit)
-        # a heap keeps very long units linear in their merges
-        if len(parts) > 64:
-            return self._merge_long(parts)
-        get = self.scores.get
-        joins = [get(a + b, NO_PIECE) for a, b in zip(parts, parts[1:], strict=False)]
-        while joins and (best := max(joins)) > NO_PIECE:
-            at = joins.index(best)  # the leftmost of the best
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del joins[at]
-            if at:
-                joins[at - 1] = get(parts[at - 1] + parts[at], NO_PIECE)
-            if at < len(joins):
-                joins[at] = get(parts[at] + parts[at + 1], NO_PIECE)
-        return self._ids(parts)
-
     def _ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for p in parts:
@@ -255,7 +389,9 @@ class Encoder(dict):
             out += [edge[1]] if edge is not None else self.ids_of(p)
         return out
 
-    def _merge_long(self, parts: list[str]) -> list[int]:
+    def merge(self, unit: str) -> list[int]:
+        """One unit, by a heap: linear in its merges however long it is."""
+        parts = list(unit)
         n, get = len(parts), self.edges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, str]] = []
@@ -315,21 +451,23 @@ def encode(
             vocabulary.longest,
             vocabulary.unknown,
             vocabulary.merges,
+            MergeFold(vocabulary.pieces, vocabulary.byte_ids) if vocabulary.merges else None,
             vocabulary.bytes_of,
         )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, *rest, bytes_of = sent.value
-        encoder, find = Encoder(known, *rest), re.compile(UNIT).findall
+        encoder = Encoder(known, *rest)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             while part := list(islice(rows, 200)):
                 packed, same = [], []
-                for _, t in part:
+                found = [units_of(t or "") for _, t in part]
+                ids = iter(encoder.packed(list(chain.from_iterable(found))))
+                for (_, t), units in zip(part, found, strict=True):
                     t = t or ""
-                    ids = b"".join(map(encoder.__getitem__, find(SPACE + t.replace(" ", SPACE)))) if t else b""
-                    packed.append(np.frombuffer(ids, np.int32))
+                    packed.append(np.frombuffer(b"".join(islice(ids, len(units))), np.int32))
                     same.append(decoded(packed[-1], bytes_of) == t.replace(SPACE, " "))
                 flat = np.concatenate(packed)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, packed)]), pa.int32()), pa.array(flat, pa.int32()))

@@ -201,6 +201,36 @@ def test_sentencepiece(spark):
     assert v.merges and Encoder({}, v.pieces, v.byte_ids, v.longest, v.unknown, True)["\u2581" + "ab" * 50] == np.array(library.encode("ab" * 50), np.int32).tobytes()
 
 
+def test_rare_units_are_folded_together():
+    """Units outside the dictionary are folded in one go, with the library's ids; only those above 64 characters one by one."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from conductlens.llm.sentencepiece_lattice import MODEL, SPACE, UNIT, Encoder, MergeFold, Vocabulary, units_of
+
+    rng = random.Random(33)
+    signs = [*map(chr, range(33, 127)), *"éß你\u0300\U0001f600\U0010ffff"]
+    units = [SPACE + "".join(rng.choice(signs if rng.random() < 0.4 else "abet") for _ in range(rng.randint(1, 63))) for _ in range(2000)]
+    units += [SPACE + "a" * k for k in range(1, 64)] + [SPACE + SPACE + "x", units[0]]
+    v = Vocabulary()
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = Encoder({units[5]: b"known"}, v.pieces, v.byte_ids, v.longest, v.unknown, v.merges)
+    one, alone = encoder.merge, []
+    encoder.fold = lambda unit: alone.append(unit) or one(unit)
+    got = encoder.packed([*units, SPACE + "ab" * 50])
+    assert alone == [SPACE + "ab" * 50] and got[5] == b"known"
+    for unit, ids in list(zip(units, got, strict=False))[6:]:
+        ids = np.frombuffer(ids, np.int32).tolist()
+        assert ids == one(unit) == library.encode(unit[1:].replace(SPACE, " ")), unit
+    # equal scores: the leftmost pair first
+    tied = [("aa", 300, 0.0), ("ab", 301, 0.0), ("ba", 302, 0.0), ("abab", 303, -1.0), ("a", 304, -5.0)]
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    single = Encoder({}, tied, list(range(256)), 4, -20.0, True)
+    for unit, ids in MergeFold(tied, list(range(256)))(words):
+        assert np.frombuffer(ids, np.int32).tolist() == single.merge(unit), unit
+    for _ in range(3000):
+        text = "".join(rng.choice(" \n\tab\u2581\0é") for _ in range(rng.randint(0, 12)))
+        assert units_of(text) == (re.findall(UNIT, SPACE + text.replace(" ", SPACE)) if text else []), text
+
+
 def test_viterbi_fold(spark):
     from conductlens.llm.sentencepiece_lattice import Encoder, lattice, viterbi, way_back
 
