@@ -418,6 +418,20 @@ class Encoder(dict):
         return self._ids([p for p, g in zip(parts, gone, strict=True) if not g])
 
 
+def parts(batch: pa.RecordBatch, most_rows: int = 200, most_chars: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows (id, text) of a batch, so many at a time that their units fit a task's memory however long the texts are."""
+    for at in range(0, batch.num_rows, most_rows):
+        part, size = [], 0
+        for row in zip(*(c.to_pylist() for c in batch.slice(at, most_rows).columns), strict=True):
+            part.append(row)
+            size += len(row[1] or "")
+            if size >= most_chars:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -460,8 +474,7 @@ def encode(
         known, *rest, bytes_of = sent.value
         encoder = Encoder(known, *rest)
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            while part := list(islice(rows, 200)):
+            for part in parts(batch):
                 packed, same = [], []
                 found = [units_of(t or "") for _, t in part]
                 ids = iter(encoder.packed(list(chain.from_iterable(found))))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -231,6 +232,17 @@ def test_rare_units_are_folded_together():
         assert units_of(text) == (re.findall(UNIT, SPACE + text.replace(" ", SPACE)) if text else []), text
 
 
+def test_parts_of_long_texts():
+    """What is encoded at a time is bounded by characters, not by rows alone; no row is lost."""
+    from conductlens.llm.sentencepiece_lattice import parts
+
+    data = [(k, None if k % 7 == 0 else "a" * (900 if k % 5 == 0 else 3)) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in data]), pa.array([t for _, t in data])], ["id", "text"])
+    got = list(parts(batch, 20, 1000))
+    assert [row for part in got for row in part] == data
+    assert all(0 < len(part) <= 20 and sum(len(t or "") for _, t in part[:-1]) < 1000 for part in got) and len(got) > 3
+
+
 def test_viterbi_fold(spark):
     from conductlens.llm.sentencepiece_lattice import Encoder, lattice, viterbi, way_back
 
