@@ -20,6 +20,7 @@ from conductlens.llm.induced import permuted_lcp, suffix_array
 from conductlens.llm.line_dedup import dedup_lines
 from conductlens.llm.mixing import mix_sources, source_targets
 from conductlens.llm.near_dedup import estimate, near_duplicates
+from conductlens.llm.queries import queries
 from conductlens.llm.sentencepiece_lattice import encode
 from conductlens.llm.sharding import cut_links, shard_documents
 from conductlens.llm.shingles import WordHashes, shingle_set
@@ -127,6 +128,38 @@ def test_repeated_bytes_of_rows_that_share_an_id(spark, ids):
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
 
 
+def test_op1_keeps_passages_below_400_bytes(spark, tmp_path):
+    """As registered: a passage in two documents goes from 400 bytes on, however many words it has, and nothing else does; n_bytes is the input's length."""
+    rng = random.Random(41)
+    fresh = lambda size, letters="abcdefghijklmnopqrstuvw   ": "".join(rng.choices(letters, k=size))
+    passages = [fresh(399), fresh(400), fresh(900), "q ".join(fresh(120, "abcd")), fresh(200, "éüñß"), fresh(199, "éüñß"), fresh(400, "ab\x00"), (fresh(5) + " ") * 70]
+    assert len(passages[3]) < 400 and len(passages[3].split()) > 50
+    docs, want = [], {}
+
+    def add(*parts):
+        """Parts that repeat, in tuples, and others."""
+        kept = "".join(x for x in parts if isinstance(x, str))
+        gone = [len(x[0].encode()) for x in parts if isinstance(x, tuple)]
+        docs.append((len(docs), "".join(x if isinstance(x, str) else x[0] for x in parts)))
+        want[docs[-1][0]] = (len(docs[-1][1].encode()), sum(gone), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+    for p in passages:
+        goes = (p,) if len(p.encode()) >= 400 else p
+        add(fresh(500), "<", goes, ">", fresh(500))
+        add(fresh(70), "(", goes, ")", fresh(900))
+    twice = (fresh(450),)
+    add(fresh(30), "<", twice, ">", fresh(30), "(", twice, ")")
+    add("ab" * 200 + "a")  # its 400-byte strings differ
+    add(("cd" * 201,))
+    for size in (0, 399, 400, 5000):
+        add(fresh(size))
+    removed = brute.repeats(docs, 400)
+    assert {i: len(x) for i, x in removed.items()} == {i: x[1] for i, x in want.items()}
+    documents(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries()["op1_suffix_dedup"](spark, str(tmp_path)))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
 # --- 2 ---
 
 
