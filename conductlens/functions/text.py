@@ -86,6 +86,10 @@ def looks_like_resource(text: str) -> bool:
 END = "~ end of line ~"
 
 
+def _clean(line: Column) -> Column:
+    return ~F.contains(line, F.lit(END)) & ~F.contains(line, F.lit("\\u")) & F.is_valid_utf8(line)
+
+
 def plain_json(line: Column) -> Column:
     """The line as VARIANT if the JVM's reading of it is the strict one, else null: then ``strict_json`` has to look.
 
@@ -95,10 +99,19 @@ def plain_json(line: Column) -> Column:
     element of an array that must end with a text of our own.
     """
     both = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{END}"]')))
-    ours = (F.try_variant_get(both, "$[1]", "string") == END) & ~F.contains(line, F.lit(END)) & ~F.contains(line, F.lit("\\u")) & F.is_valid_utf8(line)
+    ours = (F.try_variant_get(both, "$[1]", "string") == END) & _clean(line)
     return F.when(ours, F.try_variant_get(both, "$[0]", "variant"))
 
 
+def plain_kind(line: Column) -> Column:
+    """Type of the VARIANT of ``plain_json`` as ``in_line`` writes it, without making that value; null or another text where that is null."""
+    return F.when(_clean(line), F.schema_of_variant(F.try_parse_json(F.concat(F.lit('{"line":'), line, F.lit(f',"{END}":0}}')))))
+
+
+def in_line(kind: str) -> str:
+    return f"OBJECT<line: {kind}, `{END}`: BIGINT>"
+
+
 def plain_numbers(line: Column) -> Column:
     """Whether all numbers of a JSON text are integers of fewer than 18 digits: of others the JVM writes another text."""
     outside = F.regexp_replace(F.regexp_replace(line, r"\\.", ""), r'"[^"]*"', "")

@@ -33,11 +33,24 @@ class Segment(NamedTuple):
     end: int  # the position after its last whole line
 
 
-class Slice(InputPartition):
+class Slice(NamedTuple):
     """The lines of a segment that begin from ``start`` up to ``end`` (exclusive)."""
 
-    def __init__(self, segment: str, start: int, end: int):
-        self.segment, self.start, self.end = segment, start, end
+    segment: str
+    start: int
+    end: int
+
+
+class Run(InputPartition):
+    """Slices that one task reads one after the other, each in pieces of ``size`` at most."""
+
+    def __init__(self, size: int):
+        self.size, self.slices = size, []
+
+    def pieces(self) -> Iterator[Slice]:
+        for name, start, end in self.slices:
+            for k in range(start, end, self.size):
+                yield Slice(name, k, min(k + self.size, end))
 
 
 class EventFeed(DataSource):
@@ -45,10 +58,14 @@ class EventFeed(DataSource):
 
     ``segments`` runs on the driver for every batch; ``lines`` runs in tasks and
     must give the same lines whenever it is asked for the same positions.
-    Option ``split`` is the largest piece of a segment that one task reads, in
-    the units of its positions.
+    Option ``split`` is the largest piece of a segment that ``lines`` is asked
+    for at once, in the units of its positions.  Each piece is a task of its own
+    while there are fewer than option ``tasks`` (64) says; a task reads more of
+    them, up to ``WHOLE``, if there are more.
     """
 
+    WHOLE = 64 << 20  # so much is worth a task of its own, however many there are
+
     def segments(self, since: str) -> list[Segment]:
         """The segments from the one named ``since`` on (all, if empty), in any order."""
         raise NotImplementedError
@@ -67,30 +84,48 @@ class EventFeed(DataSource):
         return _Stream(self)
 
     def slices(self, start: dict, end: dict | None) -> list[Slice]:
-        """What lies between two offsets, in pieces."""
-        size, out = int(self.options.get("split", 64 << 20)), []
+        """What lies between two offsets."""
+        out = []
         for name, reach in sorted(self.segments(start["segment"])):
             if name < start["segment"] or (end is not None and name > end["segment"]):
                 continue
             at = start["at"] if name == start["segment"] else 0
             stop = end["at"] if end is not None and name == end["segment"] else reach
-            out += [Slice(name, k, min(k + size, stop)) for k in range(at, stop, size)]
+            if at < stop:
+                out.append(Slice(name, at, stop))
         return out
 
-    def rows(self, piece: Slice) -> Iterator[tuple[str, str, int]]:
-        for at, text in self.lines(piece.segment, piece.start, piece.end):
-            yield text, piece.segment, at
+    def runs(self, start: dict, end: dict | None) -> list[Run]:
+        """What lies between two offsets, dealt to tasks in its order."""
+        size, slices, out, room = int(self.options.get("split", self.WHOLE)), self.slices(start, end), [], 0
+        share = -(-sum(s.end - s.start for s in slices) // int(self.options.get("tasks", 64)))
+        most = max(size, min(share, self.WHOLE))
+        for name, at, stop in slices:
+            while at < stop:
+                if room < min(size, stop - at):  # the next piece finds no place
+                    out.append(Run(size))
+                    room = most
+                to = min(stop, at + max(size, room // size * size))
+                out[-1].slices.append(Slice(name, at, to))
+                room -= to - at
+                at = to
+        return out
+
+    def rows(self, run: Run) -> Iterator[tuple[str, str, int]]:
+        for piece in run.pieces():
+            for at, text in self.lines(*piece):
+                yield text, piece.segment, at
 
 
 class _Batch(DataSourceReader):
     def __init__(self, feed: EventFeed):
         self.feed = feed
 
-    def partitions(self) -> list[Slice]:
-        return self.feed.slices(START, None) or [Slice("", 0, 0)]
+    def partitions(self) -> list[Run]:
+        return self.feed.runs(START, None) or [Run(1)]
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        return self.feed.rows(partition) if partition.end > partition.start else iter(())
+    def read(self, partition: Run) -> Iterator[tuple]:
+        return self.feed.rows(partition)
 
 
 class _Stream(DataSourceStreamReader):
@@ -105,10 +140,10 @@ class _Stream(DataSourceStreamReader):
         self.seen = last.name or self.seen
         return {"segment": last.name, "at": last.end}
 
-    def partitions(self, start: dict, end: dict) -> list[Slice]:
-        return self.feed.slices(start, end)
+    def partitions(self, start: dict, end: dict) -> list[Run]:
+        return self.feed.runs(start, end)
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: Run) -> Iterator[tuple]:
         return self.feed.rows(partition)
 
     def commit(self, end: dict) -> None:
@@ -161,13 +196,14 @@ class LogFolder(EventFeed):
             yield from _lines(f, start, end, f.size())
 
 
-def _lines(f, start: int, end: int, size: int, block: int = 1 << 20) -> Iterator[tuple[int, str]]:
-    """The lines that begin in [start, end), read in blocks; a line may go on beyond ``end``."""
+def _lines(f, start: int, end: int, size: int, block: int = 1 << 20, beyond: int = 1 << 14) -> Iterator[tuple[int, str]]:
+    """The lines that begin in [start, end), read in blocks; a line may go on beyond ``end``, where blocks begin small."""
     # the byte before ``start`` tells whether a line begins there
     at = max(0, start - 1)
     skip, held, begins = start > 0, [], at
-    while at < size:
-        data = f.read_at(min(block, size - at), at)
+    while at < size and not (skip and at >= end):
+        beyond *= 1 + (at >= end)
+        data = f.read_at(min(block, size - at, max(end - at, beyond)), at)
         from_ = 0
         while (cut := data.find(b"\n", from_)) >= 0:
             held.append(data[from_:cut])
@@ -182,15 +218,19 @@ def _lines(f, start: int, end: int, size: int, block: int = 1 << 20) -> Iterator
         yield begins, b"".join(held).decode("utf-8", "replace")
 
 
+def _options(spark: SparkSession, options: dict) -> dict:
+    return {"tasks": 4 * spark.sparkContext.defaultParallelism, **options}
+
+
 def _events(lines: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
     return parse_events(lines.where(F.trim("value") != "").select("value", F.struct("segment", "at").alias("arrival")), strict)
 
 
 def read_feed(spark: SparkSession, source: str, strict: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of all that a registered source holds now; ``arrival`` is the place in its log."""
-    return _events(spark.read.format(source).options(**options).load(), strict)
+    return _events(spark.read.format(source).options(**_options(spark, options)).load(), strict)
 
 
 def stream_feed(spark: SparkSession, source: str, strict: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) as streams that follow a registered source."""
-    return _events(spark.readStream.format(source).options(**options).load(), strict)
+    return _events(spark.readStream.format(source).options(**_options(spark, options)).load(), strict)

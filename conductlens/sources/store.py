@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conductlens.functions.staging import stage
-from conductlens.functions.text import Repeated, absent, kind_of, plain_json, strict_json
+from conductlens.functions.text import Repeated, absent, in_line, kind_of, plain_json, plain_kind, strict_json
 from conductlens.operators.profile import Profile
 from conductlens.schemas import EVENT, EVENT_COLUMNS, EVENT_TYPES, OPTIONAL, PROFILE_SCHEMAS
 from conductlens.sources.layers import BUCKETS, Layer, Layers, bucket, to_fold, write_bucketed
@@ -65,6 +66,18 @@ def _valid(lines: pd.Series) -> pd.Series:
     return pd.Series([None if line is None else valid_event(line) for line in lines], dtype=object)
 
 
+def _kinds(field: T.StructField) -> list[str]:
+    kind = {T.LongType: ["BIGINT"], T.ArrayType: ["ARRAY<STRING>", "ARRAY<VOID>"]}.get(type(field.dataType), ["STRING"])
+    return kind + ["VOID"] * (field.name in OPTIONAL)
+
+
+#: The types of lines that are events with all their fields and no others.
+WHOLE_EVENTS = [
+    in_line(f"OBJECT<{', '.join(f'{name}: {kind}' for name, kind in zip(sorted(EVENT_COLUMNS), kinds, strict=True))}>")
+    for kinds in product(*[_kinds(EVENT[c]) for c in sorted(EVENT_COLUMNS)])
+]
+
+
 def plain_event(v: Column) -> Column:
     """Whether a line is an event, of its VARIANT: fields there and of their types; null and false leave the decision to ``valid_event``."""
     tests = []
@@ -85,7 +98,9 @@ def parse_events(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, Data
     number in a text field.
     """
     more = [c for c in lines.columns if c != "value"]
-    parsed = lines.withColumn("e", F.from_json("value", EVENT, {"mode": "PERMISSIVE"}))
+    # each line is decoded once: what a generator makes is not evaluated again wherever it is used
+    decoded = {"e": F.from_json("value", EVENT, {"mode": "PERMISSIVE"})} | ({"_whole": plain_kind(F.col("value")).isin(WHOLE_EVENTS)} if strict else {})
+    parsed = lines.select("*", F.inline(F.array(F.struct(*[x.alias(c) for c, x in decoded.items()]))))
     required = [f"e.{c}" for c in EVENT_COLUMNS if c not in OPTIONAL]
     ok = F.col("e").isNotNull() & F.col("e.event_type").isin(EVENT_TYPES)
     for c in required:
@@ -96,9 +111,10 @@ def parse_events(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, Data
     for c in ("param_keys", "resource_ids"):
         ok = ok & ~F.exists(f"e.{c}", lambda x: x.isNull())
     if strict:
-        # Python gets the lines that the JVM does not read strictly, and nulls for the others
-        parsed = parsed.withColumn("_v", plain_json(F.col("value"))).withColumn("_plain", F.coalesce(plain_event(F.col("_v")), F.lit(False)))
-        ok = ok & (F.col("_plain") | F.pandas_udf(_valid, "boolean")(F.when(~F.col("_plain"), F.col("value"))))
+        # Python gets the lines that the JVM does not read strictly, and nulls, which it gives back, for the others
+        other = F.transform(F.array(plain_json(F.col("value"))), plain_event)[0]
+        plain = F.when(F.col("_whole"), True).otherwise(F.coalesce(other, F.lit(False)))
+        ok = ok & F.coalesce(F.pandas_udf(_valid, "boolean")(F.when(~plain, F.col("value"))), F.lit(True))
     marked = parsed.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     return marked.where("_ok").select("e.*", *more), marked.where("not _ok").select("value", *more)
 

@@ -3,6 +3,7 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from conductlens.sources.feed import EventFeed, LogFolder, Segment, _lines, read_feed, stream_feed
 from conductlens.sources.store import events_to_json
@@ -74,3 +75,53 @@ def test_a_source_of_ones_own(spark):
     lines = spark.read.format("counter").options(n=10, split=4).load()
     assert lines.rdd.getNumPartitions() == 3 and sorted(r["at"] for r in rows(lines)) == list(range(10))
     assert len(rows(read_feed(spark, "counter", n=10)[1])) == 10
+
+
+def test_many_pieces_are_dealt_to_few_tasks(spark):
+    """Pieces keep their size and every position is read once; tasks do not grow with the number of pieces."""
+
+    class Counted(EventFeed):
+        @classmethod
+        def name(cls):
+            return "counted"
+
+        def segments(self, since):
+            return [Segment(f"{k:04}", k % 5) for k in range(800)] + [Segment("9999", 5000)]
+
+        def lines(self, segment, start, end):
+            return ((k, f"{end - start}") for k in range(start, end))
+
+    spark.dataSource.register(Counted)
+    lines = spark.read.format("counted").options(split=3, tasks=8).load()
+    got = rows(lines)
+    assert lines.rdd.getNumPartitions() <= 17
+    assert sorted((r["segment"], r["at"]) for r in got) == sorted((f"{k:04}", at) for k in range(800) for at in range(k % 5)) + [("9999", at) for at in range(5000)]
+    assert {r["value"] for r in got} == {"1", "2", "3"}
+
+
+def test_log_in_many_pieces(spark, tmp_path):
+    """A log of many more pieces than cores is read by few tasks, each with its share."""
+    spark.dataSource.register(LogFolder)
+    events = [event(k, seq=k) for k in range(1, 601)]
+    (tmp_path / "log").mkdir()
+    for k in range(3):
+        (tmp_path / "log" / f"{k}").write_text(lines_of(spark, events[200 * k : 200 * k + 200]))
+    read = read_feed(spark, "event_log", path=str(tmp_path / "log"), split=100)[0]
+    places = read.withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert [r["sequence_position"] for r in rows(read.orderBy("arrival"))] == list(range(1, 601))
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert len(rows(places)) <= 2 * most + 1 and max(r["count"] for r in rows(places)) <= 600 // most * 2
+
+
+def test_pieces_read_little_beyond_their_end():
+    class Counting(Bytes):
+        read = 0
+
+        def read_at(self, n, at):
+            self.read += n
+            return super().read_at(n, at)
+
+    data = Counting(b"x" * 99 + b"\n")
+    data.data *= 50_000
+    assert sum(1 for k in range(0, 1_000_000, 100_000) for _ in _lines(data, k, k + 100_000, len(data.data))) == 10_000
+    assert data.read < 1_300_000

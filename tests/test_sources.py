@@ -501,3 +501,18 @@ def test_live_stream(spark, tmp_path):
         query = stream_live(spark.readStream.schema(frame(spark, score).schema).parquet(str(source)), known, str(tmp_path / "live"), str(tmp_path / "check"))
         query.awaitTermination()
     assert shown(load_anomalies(spark, str(tmp_path / "live"))) == shown(detect(frame(spark, score), known))
+
+
+def test_a_line_of_events_is_decoded_once(spark):
+    """Text around an event does not make it one, and no column decodes the line again."""
+    good = rows(events_to_json(frame(spark, [event(1, keys=["k"])])))[0]["value"]
+    spoilt = [',"x":1', "}", "} x", "}}", f',"{END}":0}}', f',"{END}":0', ",", " ", "\t", ' "x"', ',"line":1', ', {"a":1']
+    repeated = [good.replace("{", '{"' + k + '":' + json.dumps(json.loads(good)[k]) + ",", 1) for k in json.loads(good)]
+    lines = [good, *[good + x for x in spoilt], *[x + good for x in ("{", "[", " ", "1,", "x")], *repeated, good[:-1] + ',"more":[1]}', good[:-1]]
+    df = spark.createDataFrame([(x, n) for n, x in enumerate(lines)], "value string, n int")
+    events, rejects = parse_events(df)
+    got = {r.n for r in events.collect()}
+    assert {0} < got == {n for n, x in enumerate(lines) if valid_event(x)}
+    assert {r.n for r in rejects.collect()} == {*range(len(lines))} - got
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
