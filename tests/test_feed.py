@@ -125,3 +125,16 @@ def test_pieces_read_little_beyond_their_end():
     data.data *= 50_000
     assert sum(1 for k in range(0, 1_000_000, 100_000) for _ in _lines(data, k, k + 100_000, len(data.data))) == 10_000
     assert data.read < 1_300_000
+
+
+def test_a_stream_of_many_pieces_writes_few_files(spark, tmp_path):
+    """Two batches of a stream, the second from within a segment: few tasks and files, every line once."""
+    spark.dataSource.register(LogFolder)
+    (tmp_path / "log").mkdir()
+    for n in (1, 301):
+        with (tmp_path / "log" / "0").open("a") as f:
+            f.write(lines_of(spark, [event(k, seq=k) for k in range(n, n + 300)]))
+        feed = stream_feed(spark, "event_log", path=str(tmp_path / "log"), split=100)[0].writeStream.format("parquet")
+        feed.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert [r["sequence_position"] for r in rows(spark.read.parquet(str(tmp_path / "out")).orderBy("arrival"))] == list(range(1, 601))
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= 2 * (8 * spark.sparkContext.defaultParallelism + 1)
